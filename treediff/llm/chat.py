@@ -45,8 +45,9 @@ def parse_turns(formatted: Column) -> Column:
 def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (tree, node, up) of the ancestors 1, 2, 4, ... steps up, and (tree, node, total, depth) for nodes that hang on a root.
 
-    Each round joins the table with itself, which doubles the steps: the rounds
-    grow with the logarithm of the deepest path.
+    Each round joins the nodes that haven't reached their root with the table
+    itself, which doubles the steps: the rounds grow with the logarithm of the
+    deepest path, and a round's join makes a row for each node still on its way.
     """
     known = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     on = F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2"))
@@ -61,7 +62,8 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return tables[:-1], now.where("up is null")
         above = now.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         on = F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2"))
-        now = stash(now.join(above, on, "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "jump")
+        going = now.where("up is not null").join(above, on).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        now = stash(now.where("up is null").unionByName(going), "jump")
 
 
 def format_branches(messages: DataFrame, best: int | None = 1, answer: str = "assistant") -> DataFrame:

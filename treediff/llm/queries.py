@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from treediff.llm import chat, quality, sharding
+from treediff.llm import bpe, chat, decontaminate, licences, mixing, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
-    found = (chat.op3_chat_format, quality.op4_quality_rules, sharding.op10_jump_shards)
+    found = (
+        mixing.op1_mixing_scores, licences.op2_licences, chat.op3_chat_format, quality.op4_quality_rules, substrings.op5_substring_dedup,
+        bpe.op6_bpe, decontaminate.op7_decontamination, toxicity.op8_toxicity, simhash.op9_simhash, sharding.op10_jump_shards,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.SQL, "op4_quality_rules": quality.SQL}
+    return {"op2_licences": licences.SQL, "op3_chat_format": chat.SQL, "op4_quality_rules": quality.SQL, "op5_substring_dedup": substrings.SQL, "op7_decontamination": decontaminate.SQL}
