@@ -150,8 +150,10 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tup
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, unchanged; a measure is taken only when its rule is reached."""
     order = [x["rule"] for x in plan_cascade(docs, rules, text)]
-    own = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__w", words(F.col("__text")))
-    return own.where(verdict(features(F.col("__text"), F.col("__w")), order).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # bound by let: the optimiser moves a filter below the column that it reads, which would split the text anew for each word
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    by = let(body, lambda t: let(words(t), lambda w: verdict(features(t, w), order)))
+    return docs.where(by.isNull())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
