@@ -103,10 +103,21 @@ def parse_size(text: Column) -> Column:
     return F.when(value <= F.lit(2**63 - 1).cast("decimal(38,0)"), value.cast("long"))
 
 
+def one_digit(x: Column) -> Column:
+    """A number from 0 to 2^22 with one digit after the point, rounded from its exact binary value, ties to even."""
+    bits = F.when(x < 2048, F.lit(float(1 << 52))).otherwise(F.lit(float(1 << 41)))
+    unit = bits.cast("long").cast("decimal(20,0)")
+    tens = (x * bits).cast("long").cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
+    rest = F.pmod(tens, unit)
+    low = ((tens - rest) / unit).cast("long")
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & (low % 2 == 1))
+    n = low + up.cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def duration_text(us: Column) -> Column:
     """1.2s, 14ms, 1.4ms or 400µs."""
-    one = lambda x: F.format_string("%.1f", x)
-    return F.when(us >= 1_000_000, F.concat(one(us / 1e6), F.lit("s"))).when(us >= 10_000, F.concat(F.floor(us / 1000).cast("string"), F.lit("ms"))).when(us >= 1000, F.concat(one(us / 1000.0), F.lit("ms"))).otherwise(F.concat(us.cast("string"), F.lit("µs")))
+    return F.when(us >= 1_000_000, F.concat(one_digit(us / 1e6), F.lit("s"))).when(us >= 10_000, F.concat(F.floor(us / 1000).cast("string"), F.lit("ms"))).when(us >= 1000, F.concat(one_digit(us / 1000.0), F.lit("ms"))).otherwise(F.concat(us.cast("string"), F.lit("µs")))
 
 
 def machine_name(host: Column, pid: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from treediff.plans import jobs, trees
+
 
 def queries() -> dict:
-    return {}
+    return trees.QUERIES | jobs.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return trees.SQL | jobs.SQL
