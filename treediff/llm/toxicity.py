@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,7 +111,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: st
     chosen = graded.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("__id"))
     words = own.select("k", "__grade", F.col("t").alias("t")).mapInArrow(_word_lists, "k long, grade int, words array<string>").orderBy("k").limit(4 * rows)
-    return fit([(set(r["words"]), r["grade"]) for r in words.collect()])
+    return fit([({sys.intern(w) for w in r["words"]}, r["grade"]) for r in words.toLocalIterator()])  # each word is held once
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
