@@ -152,6 +152,67 @@ def test_licences(spark):
     assert (1, 1, "gpl-3.0") in got and (2, 0, "gpl-2.0") in got and {k for k, _, _ in got} == {1, 2}
 
 
+def brute_windows(text):
+    """(line, licence, dice) of windows, tried one by one."""
+    import re
+
+    norm = lambda x: re.findall(r"[^\W_]+", x.lower())
+    bag = lambda w: Counter(zip(w, w[1:]))
+    temps = {k: norm(v) for k, v in licences.NOTICES.items()}
+
+    def dice(w, t):
+        return 2.0 * (bag(w) & bag(t)).total() / max(1, len(w) + len(t) - 2)
+
+    unit = lambda w: len(w) > 1 and any(dice(w, t) >= 0.8 for t in temps.values())
+    lines = [norm(x) for x in text.split("\n")]
+    w, of = [x for ws in lines for x in ws], [k for k, ws in enumerate(lines) for _ in ws]
+    if len(lines) > 1 and unit(w):
+        return []
+
+    def apart(xs, place):
+        out = []
+        for x in xs:
+            s, e = place(x)
+            if all(e < a or b < s for a, b in map(place, out)):
+                out.append(x)
+        return out
+
+    found = []
+    for k, t in temps.items():
+        best = []
+        for s in range(len(w) - 1):
+            d, e = max(((dice(w[s : e + 1], t), -e) for e in range(s + 1, min(len(w), s + 2 * len(t)))), default=(0, 0))
+            if d >= 0.8:
+                best.append((-d, s, -e))
+        found += [(-(bag(w[s : e + 1]) & bag(t)).total(), d, k, s, e) for d, s, e in apart(sorted(best), lambda x: x[1:])]
+    return [(of[s], k, -d) for _, d, k, s, e in apart(sorted(found), lambda x: x[3:]) if of[s] != of[e] or not unit(lines[of[s]])]
+
+
+def test_licences_in_windows(spark):
+    rng, n = random.Random(6), licences.NOTICES
+    wrap = lambda x, k: "\n".join(" # " + " ".join(x.split()[i : i + k]) for i in range(0, len(x.split()), k))
+    texts = [
+        f"{prose(rng, 150)}\n{wrap(n['apache-2.0-header'], 11)}\n{prose(rng, 150)}",
+        f"{wrap(n['mit-grant'], 9)}\n{prose(rng, 200)}",
+        f"{prose(rng, 30)} it is licensed under the Apache License, Version 2.0, and {prose(rng, 30)}",
+        f"{prose(rng, 40)} {n['mit']} {n['mit']}\n{prose(rng, 9)} Released under\nthe MIT License. {prose(rng, 9)}",
+        f"{prose(rng, 20)}\n{n['gpl-3.0']}\n{prose(rng, 20)}",
+        f"{prose(rng, 5)} Licensed under CC BY-NC 4.0, or this work is licensed under the GNU General Public License version 2 or later {prose(rng, 5)}",
+        "license", "Released under", "the the license of the software the software", "",
+    ]
+    header = n["mit-grant"].split()
+    for _ in range(2):
+        texts.append(" ".join([*prose(rng, 60).split(), *(x for x in header if rng.random() < 0.95), *prose(rng, 60).split()]))
+    rows = [(k, x) for k, x in enumerate([*texts, texts[2]])] + [(2, texts[2]), (99, None)]
+    got = Counter((r["doc_id"], r["line"], r["licence"], r["dice"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {(k, c) for k, _, c, _ in got} >= {(0, "apache-2.0-header"), (1, "mit-grant"), (2, "apache-2.0"), (3, "mit"), (5, "cc-by-nc-4.0"), (5, "gpl-2.0")}
+    want = Counter((k, *x) for k, t in rows for x in brute_windows(t or ""))
+    assert not want - got
+    extra = {(k, line, c) for k, line, c, _ in got - want}
+    assert extra == {(4, 1, "gpl-3.0")} and got[2, 0, "apache-2.0", 1.0] == 2
+    assert sum(n for (k, *_), n in got.items() if k == 3) == 3
+
+
 def test_jump_hash_moves_only_into_new_shards(spark):
     def jump(key, n):
         b, j = -1, 0

@@ -60,16 +60,117 @@ def by_size(templates: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("a").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
 
+def in_one_row(templates: DataFrame, threshold: float) -> DataFrame:
+    """All templates that have bigrams, and the words of which every text with a matching window has one.
+
+    A window that matches shares `low` of a template's b bigrams at least, so it
+    has one of any b - low + 1 of them: the anchors, those with the longest words.
+    """
+    t = templates.where("licence is not null").withColumn("w", normal_words(F.coalesce("text", F.lit("")))).where(F.size("w") >= 2)
+    t = t.withColumn("g", bigrams(F.col("w"))).withColumn("bag", numbered(F.col("g"))).withColumn("b", F.size("g"))
+    t = t.withColumn("low", F.greatest(F.ceil(F.col("b") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.lit(1)))
+    t = t.withColumn("high", F.floor(F.col("b") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
+    longest = lambda g: F.array_max(F.transform(F.split(g, " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    by_length = F.sort_array(F.transform("g", lambda g: F.struct(longest(g).alias("l"), g.alias("g"))), asc=False)
+    t = t.withColumn("a", F.slice(by_length, F.lit(1), F.col("b") - F.col("low") + 1))
+    t = t.select(F.struct("licence", "g", "bag", "b", "low", "high", F.col("a.g").alias("anchors")).alias("t"), F.transform("a", lambda x: x["l"]["x"]).alias("words"))
+    return t.agg(F.sort_array(F.collect_list("t")).alias("ts"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("anchor_words"))
+
+
+def apart(found: Column) -> Column:
+    """Windows in turn, without those that share a word with one before."""
+    meets = lambda x, y: (x["s"] <= y["e"] + 1) & (y["s"] <= x["e"] + 1)
+    none = F.slice(found, 1, 0)
+    return F.aggregate(found, none, lambda have, x: F.when(F.exists(have, lambda y: meets(x, y)), have).otherwise(F.concat(have, F.array(x))))
+
+
+def windows_of(g: Column, t: Column, threshold: float) -> Column:
+    """Windows of the bigrams g that match t, none overlapping: the best of each start, best first.
+
+    A best window starts and ends with a bigram of t, so only such hits are tried. A hit
+    counts in a window unless the window has as many earlier ones of its kind as t has.
+    """
+
+    def found(h: Column, back: Column) -> Column:
+        at = lambda k: F.element_at(h, k)
+
+        def best(x: Column) -> Column:
+            def step(acc: Column, y: Column) -> Column:
+                def judge(n: Column) -> Column:
+                    d = 2.0 * n / (at(y) - at(x) + 1 + t["b"])
+                    return let(d, lambda d: F.when(d > acc["d"], state(n, d, n, at(y))).otherwise(state(n, acc["d"], acc["shared"], acc["e"])))
+
+                return let(acc["n"] + (F.element_at(back, y) < x).cast("int"), judge)
+
+            state = lambda n, d, shared, e: F.struct(n.alias("n"), d.alias("d"), shared.alias("shared"), e.alias("e"))
+            zero = F.lit(0)
+            last = F.least(F.size(h), x + t["high"] - 1)
+            return F.aggregate(F.sequence(x, last), state(zero, F.lit(0.0), zero, zero), step)
+
+        near = F.filter(F.sequence(F.lit(1), F.size(h) - t["low"] + 1), lambda x: at(x + t["low"] - 1) - at(x) < t["high"])
+        each = F.transform(near, lambda x: let(best(x), lambda b: F.struct((-b["d"]).alias("d"), at(x).alias("s"), b["e"].alias("e"), (-b["shared"]).alias("shared"), t["licence"].alias("licence"))))
+        return let(F.sort_array(F.filter(each, lambda x: x["d"] <= -threshold)), apart)
+
+    def kinds(h: Column) -> Column:
+        """Of each hit, the one that must lie before the window for it to count; 0 for none."""
+
+        def before(i: Column, k: Column) -> Column:
+            x = F.element_at(g, i)
+            cap = F.size(F.filter(t["g"], lambda y: y == x))
+            same = F.filter(F.sequence(F.lit(1), k + 1), lambda j: F.element_at(g, F.element_at(h, j)) == x)  # itself too
+            return let(same, lambda q: let(cap, lambda c: F.when(F.size(q) > c, F.element_at(q, F.size(q) - c)).otherwise(0)))
+
+        return F.transform(h, before)
+
+    hits = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(t["g"], F.element_at(g, i)))
+    none = F.array().cast("array<struct<d:double,s:int,e:int,shared:int,licence:string>>")
+    return let(hits, lambda h: F.when(F.size(h) >= t["low"], let(kinds(h), lambda back: found(h, back))).otherwise(none))
+
+
+def scan_windows(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, line (of the first word), licence, dice: windows of consecutive words, across lines, that match a template.
+
+    Windows don't overlap: those that share the most bigrams come first. Those
+    inside a line or text that itself matches are left out, as that has its row.
+    """
+    one = in_one_row(templates, threshold)
+
+    def matches(w: Column, ts: Column) -> Column:
+        alike = lambda t: let(let(bigrams(w), numbered), lambda bag: 2.0 * F.size(F.array_intersect(t["bag"], bag)) / (t["b"] + F.size(bag))) >= threshold
+        return F.exists(F.filter(ts, lambda t: (F.size(w) > t["low"]) & (F.size(w) <= t["high"] + 1)), alike)
+
+    def rows(lines: Column, w: Column, g: Column, ts: Column) -> Column:
+        near = F.filter(ts, lambda t: F.arrays_overlap(t["anchors"], g))
+        found = F.flatten(F.transform(near, lambda t: windows_of(g, t, threshold)))
+        ranked = F.sort_array(F.transform(found, lambda x: F.struct(x["shared"].alias("shared"), x["d"].alias("d"), x["licence"].alias("licence"), x["s"].alias("s"), x["e"].alias("e"))))
+
+        def place(picked: Column) -> Column:
+            of = F.flatten(F.transform(lines, lambda ws, i: F.array_repeat(i, F.size(ws))))
+            put = let(of, lambda of: F.transform(picked, lambda x: F.struct(F.element_at(of, x["s"]).alias("line"), F.element_at(of, x["e"] + 1).alias("last"), x["licence"].alias("licence"), (-x["d"]).alias("dice"))))
+            outside = lambda x: (x["line"] != x["last"]) | ~matches(F.element_at(lines, x["line"] + 1), ts)
+            return F.when((F.size(picked) > 0) & ~((F.size(lines) > 1) & matches(w, ts)), F.filter(put, outside))
+
+        return let(let(ranked, apart), place)
+
+    near = docs.join(F.broadcast(one), F.arrays_overlap(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), F.col("anchor_words")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: normal_words(x))
+    all_of = let(lines, lambda ls: let(F.flatten(ls), lambda w: F.when(F.size(w) >= 2, let(bigrams(w), lambda g: rows(ls, w, g, F.col("ts"))))))
+    return near.select("doc_id", F.explode(all_of).alias("x")).select("doc_id", "x.line", "x.licence", "x.dice")
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line (from 0; -1: the whole text), licence, dice: the best template of each unit with dice >= threshold.
 
-    Units are a text's lines and, where it has several, the text itself. Bags of
-    bigrams are compared; ties go to the licence whose name comes first. Units
+    Units are a text's lines and, where it has several, the text itself; then
+    windows of words within or across lines (scan_windows). Bags of bigrams are
+    compared; ties go to the licence whose name comes first. Units
     of fewer than two words (null and empty texts too) match nothing. Repeated
     rows give repeated rows; an empty table gives none; extra columns aren't
-    read. Only the templates are joined, by size: texts aren't shuffled.
+    read. Only the templates are joined, by size, and for windows all in one
+    broadcast row: texts aren't shuffled.
     """
-    sizes = by_size(default_templates(docs.sparkSession) if templates is None else templates, threshold).cache()
+    templates = default_templates(docs.sparkSession) if templates is None else templates
+    sizes = by_size(templates, threshold).cache()
     n, low, high = sizes.agg(F.count("*"), F.min("a"), F.max("a")).first()
     if n <= BROADCAST_ROWS:
         sizes = F.broadcast(sizes)
@@ -89,7 +190,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     u = u.withColumn("bag", numbered(F.col("g")))
     dice = lambda t: 2.0 * F.size(F.array_intersect(t["bag"], F.col("bag"))) / (t["b"] + F.col("a"))
     u = u.withColumn("found", F.filter(F.transform("ts", lambda t: F.struct((-dice(t)).alias("d"), t["licence"].alias("licence"))), lambda x: x["d"] <= -threshold)).where(F.size("found") > 0)
-    return u.select("doc_id", "line", F.array_min("found").alias("m")).select("doc_id", "line", "m.licence", (-F.col("m.d")).alias("dice"))
+    u = u.select("doc_id", "line", F.array_min("found").alias("m")).select("doc_id", "line", "m.licence", (-F.col("m.d")).alias("dice"))
+    return u.unionByName(scan_windows(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), templates, threshold))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
