@@ -280,6 +280,26 @@ def test_code_is_a_probability():
     assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-9
 
 
+def test_a_text_is_remembered_from_its_start():
+    """A passage that returns after 800 tokens costs far less than the first time; texts beside it change nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    names = [b"\n", *(b"w%d" % k for k in range(1000))]
+    code = mixing.Code({w: k for k, w in enumerate(names)}, np.ones(len(names) + 1))
+    odds = [np.zeros(n, np.float32) for n in (len(code.counts), mixing.SLOTS, mixing.SLOTS)]
+    weights = np.tile(np.array([0, 0, 0, 0.3, 1], np.float32), (2 * mixing.DEPTHS, 1))  # the text's own contexts only
+    model = mixing.Model(code, odds, weights, np.ones(len(names), np.int64), len(names), len(names))
+    draw = lambda n: [names[k] for k in rng.integers(1, 1001, n)]
+    passage, others = draw(100), draw(800)
+    rows = [passage + others + passage, passage + others + draw(100), draw(3), []]
+    score = mixing.score_heads(model, rows)[0]
+    alone = [mixing.score_heads(model, [ws])[0][0] for ws in rows]
+    assert np.allclose(score, alone, rtol=1e-4)
+    first = mixing.score_heads(model, [passage])[0][0]
+    assert score[0] - score[1] > 0.05 * -first
+
+
 def test_toxicity_finds_marked_texts(spark):
     rng = random.Random(9)
     rows = [(k, prose(rng, 40) + (" vile scum" if k % 4 == 0 else "")) for k in range(400)]
