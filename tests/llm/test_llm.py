@@ -311,6 +311,17 @@ def test_toxicity_finds_marked_texts(spark):
     assert toxicity.fit([]).above(__import__("numpy").zeros(1)).shape[1] >= 1
 
 
+def test_toxicity_learns_from_few_labels():
+    """No word is in 8 texts: 87 labelled ones, 10 of them toxic; words of single texts are no features."""
+    rng = random.Random(12)
+    clean = lambda k: {*prose(rng, 40).split(), f"only{k}"}
+    rows = [(clean(k) | ({"vile" if k % 2 else "scum"} if k < 10 else set()), int(k < 10)) for k in range(87)]
+    model = toxicity.fit(rows)
+    assert {"vile", "scum"} <= set(model.weights) and not any(w.startswith("only") for w in model.weights)
+    severity = lambda words: model.above(__import__("numpy").array([model.score(words)])).sum()
+    assert severity(clean(100) | {"vile"}) >= toxicity.CUT > severity(clean(101))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline

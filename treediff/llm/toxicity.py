@@ -16,9 +16,9 @@ from treediff.llm.common import read
 
 #: The model is fitted on at most this many labelled documents, those of the smallest id hashes.
 FIT_ROWS = 8192
-#: A word is a feature where at least this many of them have it, and where chi-squared of
-#: having it against being of a grade above 0 is this or more.
-LEAST_DOCS, LEAST_CHI2 = 8, 25.0
+#: A word is a feature where chi-squared of having it against being of a grade above 0, with
+#: Yates's correction (which rare words need), is this or more.
+LEAST_CHI2 = 25.0
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: A text is called toxic at an expected severity of this or more.
 CUT = 0.5
@@ -48,7 +48,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[tuple[set[str], int]], least: int = LEAST_DOCS, chi2: float = LEAST_CHI2, l2: float = 0.1, steps: int = 400) -> Ordinal:
+def fit(rows: list[tuple[set[str], int]], chi2: float = LEAST_CHI2, l2: float = 0.1, steps: int = 400) -> Ordinal:
     """Maximum likelihood with a ridge, by Adam on the whole bounded sample; the same rows in the same order give the same model.
 
     Words that the screen finds unrelated to the grades aren't features: labels
@@ -67,9 +67,9 @@ def fit(rows: list[tuple[set[str], int]], least: int = LEAST_DOCS, chi2: float =
     def linked(zero: int, above: int) -> float:
         n, has = len(rows), zero + above
         spread = has * (n - has) * bad * (n - bad)
-        return n * (above * n - has * bad) ** 2 / spread if spread else 0.0
+        return n * max(abs(above * n - has * bad) - n / 2, 0.0) ** 2 / spread if spread else 0.0
 
-    names = sorted(w for w, c in counts.items() if sum(c) >= least and linked(*c) >= chi2)
+    names = sorted(w for w, c in counts.items() if linked(*c) >= chi2)
     at = {w: k for k, w in enumerate(names)}
     held = [sorted(at[w] for w in words if w in at) for words, _ in rows]
     col = np.array([k for h in held for k in h], np.int64)
