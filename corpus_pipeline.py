@@ -53,7 +53,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe_ids),
 ]
 
-#: SQL can't express SimHash components and BPE: tests/llm compares each stage with brute force.
+#: SQL can't express SimHash components and BPE: tests/llm compares the operators of the stages with brute force, not yet the stages.
 ORACLE_SQL = None
 
 

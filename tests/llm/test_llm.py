@@ -334,3 +334,20 @@ def test_pipeline_keeps_clean_documents(spark):
         docs = out
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+@pytest.mark.parametrize("name", ["op2_licences", "op3_chat_format", "op4_quality_rules", "op5_substring_dedup", "op7_decontamination"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    plain = lambda x: round(x, 9) if isinstance(x, float) else bytes(x) if isinstance(x, bytearray) else x
+    df = __spark_entry__.queries()[name](spark, d)
+    con.execute(__spark_entry__.oracle_sql()[name])
+    at = [[c[0] for c in con.description].index(c) for c in df.columns]
+    assert Counter(tuple(map(plain, r)) for r in df.collect()) == Counter(tuple(plain(r[k]) for k in at) for r in con.fetchall())
