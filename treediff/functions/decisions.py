@@ -46,9 +46,9 @@ def run_outcome(fenced: Column, store_lost: Column, stopped: Column) -> Column:
     return F.struct(name.alias("outcome"), F.when(fenced & store_lost, 4).when(fenced, 3).otherwise(0).alias("code"))
 
 
-def error_scope(fatal: Column, message: Column) -> Column:
-    """Fatal errors of a shard stay so unless they look like a timeout."""
-    timeout = F.lower(message).contains("command timed out")
+def error_scope(fatal: Column, message: Column, typed: Column) -> Column:
+    """Fatal errors of a shard stay so, but untyped ones that look like a timeout."""
+    timeout = F.lower(message).contains("command timed out") & ~F.coalesce(typed, F.lit(False))
     return F.when(fatal & ~F.coalesce(timeout, F.lit(False)), "Fatal").otherwise("WorkerLocal")
 
 

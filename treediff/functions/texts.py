@@ -173,4 +173,4 @@ def glob_pattern(glob: str) -> str:
         else:
             out += "\\Q" + c + "\\E"
         k += 1
-    return "(?s)" + out + "$"
+    return "(?s)" + out + "\\z"

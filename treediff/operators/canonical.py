@@ -43,20 +43,32 @@ def canonicalise(raw: DataFrame, root: str, shard: Column, row: Column, strict:
     return raw.select(*[c.alias(k) for k, c in own.items()], *rest)
 
 
+#: Bytes of excluded paths up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
 def exclude_directories(index: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
     """The index without the directories whose name matches a glob, and without all below them.
 
-    Names of files and whole paths never match. Rows are matched to excluded
-    directories by an equi-join on each of their ancestors.
+    Names of files and whole paths never match. Excluded directories are counted
+    by depth first (one row a depth comes to the driver); then, from the top down,
+    each depth's are one anti-join on the rows' ancestor of that depth: broadcast
+    where all of them are small, else dealt out by that ancestor.
     """
     from treediff.functions.texts import glob_pattern
 
-    name = F.substring_index(F.col(path).cast("string"), "/", -1)
+    text = F.col(path).cast("string")
+    name = F.substring_index(text, "/", -1)
     hit = F.lit(False)
     for p in patterns:
         hit = hit | name.rlike(glob_pattern(p))
-    gone = index.where((F.col("file_type") == 2) & hit).select(F.col(path).cast("string").alias("__gone")).distinct()
-    parts = F.split(F.col(path).cast("string"), "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    lost = index.select(path, F.explode(above).alias("__up")).join(gone, F.col("__up") == F.col("__gone"), "left_semi").select(F.col(path).alias("__lost")).distinct()
-    return index.join(lost, F.col(path) == F.col("__lost"), "left_anti")
+    parts = F.split(text, "/")
+    gone = index.where((F.col("file_type") == 2) & hit).select(text.alias("gone"), F.size(parts).alias("depth")).distinct()
+    levels = gone.groupBy("depth").agg(F.sum(F.octet_length("gone") + 16).alias("bytes")).orderBy("depth").collect()
+    small = sum(r["bytes"] for r in levels) <= BROADCAST_BYTES
+    out = index
+    for r in levels:
+        at = gone.where(F.col("depth") == r["depth"]).select("gone")
+        above = F.when(F.size(parts) >= r["depth"], F.array_join(F.slice(parts, 1, r["depth"]), "/"))
+        out = out.join(F.broadcast(at) if small else at, above == F.col("gone"), "left_anti")
+    return out

@@ -2,44 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treediff.functions import entries as E
 
 NEW, DIRTY, PENDING, UNCHANGED, DELETED = "NEW", "DIRTY", "PENDING", "UNCHANGED", "DELETED"
-#: A set of pending paths is broadcast up to this many rows.
-BROADCAST_ROWS = 1_000_000
 
 
-def projected(index: DataFrame, side: str) -> DataFrame:
+def projected(index: DataFrame, side: str, *more: Column) -> DataFrame:
     """What the diff compares: path, row_id and the tuple of type, size, mtime and ctime; absent optional columns are null."""
     has = lambda c: F.col(c) if c in index.columns else F.lit(None).cast("long")
     exact = F.when(has("ctime_sec").isNotNull() & has("ctime_nsec").isNotNull(), F.struct(has("ctime_sec").cast("long").alias("sec"), has("ctime_nsec").cast("int").alias("nsec")))
     ctime = F.coalesce(exact, F.when(has("ctime_us").isNotNull(), E.split_us(has("ctime_us"))))
     seen = F.struct(F.col("file_type").cast("int").alias("file_type"), F.col("size").cast("long").alias("size"), E.scan_mtime(has("mtime_sec"), has("mtime_nsec")).alias("mtime"), ctime.alias("ctime"))
-    return index.select(F.col("path").alias(f"{side}_path"), F.col("row_id").alias(f"{side}_row_id"), seen.alias(f"{side}_seen"))
+    return index.select(F.col("path").alias(f"{side}_path"), F.col("row_id").alias(f"{side}_row_id"), seen.alias(f"{side}_seen"), *more)
+
+
+def _marked(cur: DataFrame, pending: DataFrame | None, path: str) -> DataFrame:
+    """cur with `waits`: whether its path is pending. Both are dealt out by the path, as the join that follows needs it."""
+    if pending is None:
+        return cur.withColumn("waits", F.lit(False))
+    p = pending.select(F.col("path").alias("pending_path")).distinct()
+    return cur.join(p, F.col(path) == F.col("pending_path"), "left").withColumn("waits", F.col("pending_path").isNotNull()).drop("pending_path")
+
+
+def _class() -> Column:
+    same = F.col("cur_seen").eqNullSafe(F.col("base_seen"))
+    return F.when(F.col("base_path").isNull(), NEW).when(~same, DIRTY).when(F.col("waits"), PENDING).otherwise(UNCHANGED)
 
 
 def classify(baseline: DataFrame, current: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """(path, class, row_id, baseline_row_id): one row for each path of either side.
 
     Paths are unique on each side by contract. Null times equal null times.
-    Pending matters only where nothing has changed. The full outer join is one
-    sort-merge join on the path; both sides carry only what is compared.
+    Pending matters only where nothing has changed. Pending paths mark the current
+    side before the full outer join, so each side is dealt out once by its path,
+    with no more than what is compared, and no row has a null key.
     """
-    cur, base = projected(current, "cur"), projected(baseline, "base")
+    cur, base = _marked(projected(current, "cur"), pending, "cur_path"), projected(baseline, "base")
     both = cur.join(base, F.col("cur_path") == F.col("base_path"), "full")
-    waits = F.lit(False)
-    if pending is not None:
-        p = pending.select(F.col("path").alias("pending_path")).distinct()
-        both = both.join(p, F.col("cur_path") == F.col("pending_path"), "left")
-        waits = F.col("pending_path").isNotNull()
-    same = F.col("cur_seen").eqNullSafe(F.col("base_seen"))
-    kind = F.when(F.col("cur_path").isNull(), DELETED).when(F.col("base_path").isNull(), NEW).when(~same, DIRTY).when(waits, PENDING).otherwise(UNCHANGED)
+    kind = F.when(F.col("cur_path").isNull(), DELETED).otherwise(_class())
     return both.select(F.coalesce("cur_path", "base_path").alias("path"), kind.alias("class"), F.col("cur_row_id").alias("row_id"), F.col("base_row_id").alias("baseline_row_id"))
 
 
+def kept_rows(baseline: DataFrame, current: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """The current rows that are new, dirty or pending, with all their columns: the current side meets the narrow baseline once."""
+    own = F.struct(*[F.col(f"`{c}`") for c in current.columns]).alias("own")
+    cur = _marked(projected(current, "cur", own), pending, "cur_path")
+    both = cur.join(projected(baseline, "base"), F.col("cur_path") == F.col("base_path"), "left")
+    return both.where(_class() != UNCHANGED).select("own.*")
+
+
 def class_counts(classes: DataFrame) -> DataFrame:
     of = lambda *k: F.count_if(F.col("class").isin(*k))
     return classes.agg(

@@ -84,12 +84,22 @@ class Job:
         return {"job": job, **self.s, "history": ",".join(self.s["history"])}
 
 
+def _without_runs(events: DataFrame) -> DataFrame:
+    """A job's deltas between two other events as one delta: its sums, the first one's time and the last one's seq."""
+    order = Window.partitionBy("job").orderBy("seq")
+    delta = F.col("kind") == "ProgressDelta"
+    rows = events.withColumn("run", F.sum((~delta).cast("long")).over(order))
+    top = lambda c: F.least(F.sum(F.coalesce(F.when(delta, F.col(c)), F.lit(0)).cast("decimal(20,0)")), F.lit(TOP)).cast("long").alias(c)
+    deltas = rows.where(delta).groupBy("job", "run").agg(F.max("seq").alias("seq"), F.min_by("at_us", "seq").alias("at_us"), F.lit("ProgressDelta").alias("kind"), top("files"), top("bytes"), top("errors"))
+    return rows.where(~delta).drop("run").unionByName(deltas.drop("run"), allowMissingColumns=True)
+
+
 def fold_jobs(events: DataFrame) -> DataFrame:
     """The state of each created job after all events.
 
-    Events are dealt out by job and sorted; each job is folded as its rows
-    stream by, with only its state in memory. Events of jobs that were never
-    created change nothing.
+    Events are dealt out by job once: by windows, deltas between two other events
+    become one, so the ordered fold sees few rows of a job; it holds its state
+    alone as they stream by. Events of jobs that were never created change nothing.
     """
     names = [c.split()[0] for c in EVENTS.split(", ")]
 
@@ -110,7 +120,8 @@ def fold_jobs(events: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out)
 
-    return events.where("job is not null").select(*names).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, JOBS)
+    rows = _without_runs(events.where("job is not null").select(*names))
+    return rows.select(*names).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, JOBS)
 
 
 def fold_workers(events: DataFrame) -> DataFrame:
@@ -157,6 +168,13 @@ def totals(events: DataFrame, by: str) -> DataFrame:
     return deltas.groupBy(by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "bytes", "errors")])
 
 
+def _classes(events: DataFrame, classes: int) -> DataFrame:
+    """Errors by job and class, pre-aggregated, with the class that they count under: beyond `classes` of a job, in the order of first errors, that of overflow."""
+    each = events.where("kind = 'ErrorEmitted'").groupBy("job", "class").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min_by("at_us", "seq").alias("first_us"), F.max_by("at_us", "seq").alias("last_us"), F.max_by("retryable", "seq").alias("retryable"))
+    rank = F.row_number().over(Window.partitionBy("job").orderBy("first_seq"))
+    return each.withColumn("counted", F.when(rank <= classes, F.col("class")).otherwise(OVERFLOW))
+
+
 def error_buckets(events: DataFrame, classes: int = CLASSES) -> DataFrame:
     """Errors by job and class: count, first and last time, and whether the last could be retried.
 
@@ -164,19 +182,20 @@ def error_buckets(events: DataFrame, classes: int = CLASSES) -> DataFrame:
     rest are one class of overflow. Classes are pre-aggregated, so the window
     that ranks them sees one row a class.
     """
-    each = events.where("kind = 'ErrorEmitted'").groupBy("job", "class").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.min_by("at_us", "seq").alias("first_us"), F.max_by("at_us", "seq").alias("last_us"), F.max_by("retryable", "seq").alias("retryable"))
-    rank = F.row_number().over(Window.partitionBy("job").orderBy("first_seq"))
-    capped = each.withColumn("class", F.when(rank <= classes, F.col("class")).otherwise(OVERFLOW))
-    return capped.groupBy("job", "class").agg(F.sum("n").alias("n"), F.min_by("first_us", "first_seq").alias("first_us"), F.max_by("last_us", "last_seq").alias("last_us"), F.max_by("retryable", "last_seq").alias("retryable"))
+    capped = _classes(events, classes).groupBy("job", "counted").agg(F.sum("n").alias("n"), F.min_by("first_us", "first_seq").alias("first_us"), F.max_by("last_us", "last_seq").alias("last_us"), F.max_by("retryable", "last_seq").alias("retryable"))
+    return capped.withColumnRenamed("counted", "class")
 
 
-def error_samples(events: DataFrame, keep: int = SAMPLES) -> DataFrame:
-    """(job, class, samples): paths of errors, known ones ignored, the oldest out beyond `keep`; an ordered fold with bounded state."""
+def error_samples(events: DataFrame, keep: int = SAMPLES, classes: int = CLASSES) -> DataFrame:
+    """(job, class, samples): paths of errors, known ones ignored, the oldest out beyond `keep`; an ordered fold with bounded state.
+
+    Classes beyond a job's first `classes` share the samples of overflow, as they share its bucket.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, out = None, [], []
         for df in batches:
-            for job, kind, path in df[["job", "class", "path"]].itertuples(index=False):
+            for job, kind, path in zip(df["job"], df["class"], df["path"]):
                 if (job, kind) != now:
                     if now:
                         out.append((*now, held))
@@ -189,7 +208,9 @@ def error_samples(events: DataFrame, keep: int = SAMPLES) -> DataFrame:
         if now:
             yield pd.DataFrame([*out, (*now, held)], columns=["job", "class", "samples"])
 
+    of = _classes(events, classes).select(F.col("job").alias("j"), F.col("class").alias("k"), "counted")
     rows = events.where("kind = 'ErrorEmitted'").select("job", "class", "path", "seq")
+    rows = rows.join(of, F.col("job").eqNullSafe(F.col("j")) & F.col("class").eqNullSafe(F.col("k"))).select("job", F.col("counted").alias("class"), "path", "seq")
     return rows.repartition("job", "class").sortWithinPartitions("job", "class", "seq").mapInPandas(run, "job string, class string, samples array<string>")
 
 

@@ -37,14 +37,22 @@ def io_bucket(size: Column) -> Column:
 
 
 def _batch_numbers(sizes: np.ndarray, files: int, budget: int, state: list[int]) -> np.ndarray:
-    """Greedy batches of consecutive rows; state: batch, rows in it, bytes in it, carried on."""
+    """Greedy batches of consecutive rows, a step for each batch; state: batch, rows in it, bytes in it, carried on."""
     out = np.empty(len(sizes), np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.float64 if sizes.sum(dtype=np.float64) > 2**62 else np.int64)])
     batch, n, used = state
-    for k, size in enumerate(sizes.tolist()):
-        if n and (n >= files or used + size > budget):
+    at = 0
+    while at < len(sizes):
+        # rows that still fit: by number, and by bytes; an empty batch takes its first row whatever its size
+        to = min(at + files - n, int(np.searchsorted(ends, ends[at] + budget - used, "right")) - 1)
+        if to <= at and n == 0:
+            to = at + 1
+        if to > at:
+            out[at:to] = batch
+            n, used = n + to - at, used + int(ends[to] - ends[at])
+            at = to
+        if at < len(sizes):
             batch, n, used = batch + 1, 0, 0
-        out[k] = batch
-        n, used = n + 1, used + size
     state[:] = batch, n, used
     return out
 

@@ -92,21 +92,19 @@ COOLDOWN, LONGEST = 300, 1800
 
 
 def backpressure(shards: DataFrame, by: str, order: str = "at_us") -> DataFrame:
-    """The recovery state after each shard outcome of a worker: an ordered fold in the JVM.
+    """(by, at, why, cooldown, until): the recovery state after each shard outcome of a worker, by windows alone.
 
     shards: by, order, degraded (null: healthy), probing (was this the probe
     shard?). A healthy outcome resets; a failed probe doubles the cooldown; a
-    straggler keeps it. One worker's outcomes form one array: shards are few.
+    straggler keeps it. So in a run of degraded outcomes the cooldown has doubled
+    once for each probe behind the first. Ties in time are ordered by reason
+    (healthy first), then probes last.
     """
-    seq = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col("degraded").alias("why"), F.col("probing").alias("probing"))))
-    start = F.array().cast("array<struct<at:bigint,why:string,cooldown:int,until:bigint>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(done, -1))
-        old = F.coalesce(last["cooldown"], F.lit(COOLDOWN))
-        was_down = F.coalesce(last["why"].isNotNull(), F.lit(False))
-        new = F.when(x["why"].isNull(), COOLDOWN).when(was_down & x["probing"], F.least(old * 2, F.lit(LONGEST))).when(was_down, old).otherwise(COOLDOWN)
-        until = F.when(x["why"].isNotNull(), x["at"] + new.cast("long") * 1_000_000)
-        return F.concat(done, F.array(F.struct(x["at"].alias("at"), x["why"].alias("why"), new.cast("int").alias("cooldown"), until.alias("until"))))
-
-    return shards.groupBy(by).agg(F.aggregate(seq, start, step).alias("s")).select(by, F.explode("s").alias("s")).select(by, "s.*")
+    at = [F.col(order), F.asc_nulls_first("degraded"), F.col("probing")]
+    healthy = F.col("degraded").isNull()
+    rows = shards.withColumn("run", F.sum(healthy.cast("long")).over(Window.partitionBy(by).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(by, "run", healthy).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
+    probes = F.sum(F.coalesce(F.col("probing"), F.lit(False)).cast("int")).over(inside) - F.first(F.coalesce(F.col("probing"), F.lit(False)).cast("int")).over(inside)
+    cooldown = F.when(healthy, COOLDOWN).otherwise(F.least(F.lit(LONGEST), F.pow(F.lit(2.0), F.least(probes, F.lit(10))).cast("int") * COOLDOWN)).cast("int")
+    out = rows.withColumn("cooldown", cooldown)
+    return out.select(by, F.col(order).alias("at"), F.col("degraded").alias("why"), "cooldown", F.when(~healthy, F.col(order) + F.col("cooldown").cast("long") * 1_000_000).alias("until"))

@@ -61,13 +61,13 @@ def phase_rules(spark, d):
     return rows.withColumns({"allowed": D.transition_allowed(F.col("old"), F.col("new")), "mode": D.control_mode(F.col("new"))})
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 5 <> 0 THEN 'Fatal' ELSE 'WorkerLocal' END AS scope, greatest(1, (event_id % 600) // greatest(1, user_id % 40))::BIGINT AS retries, least(30, CASE WHEN event_id % 9 >= 5 THEN 30 ELSE 1 << (event_id % 9)::INT END)::BIGINT AS backoff,
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 AND (event_id % 5 <> 0 OR event_id % 2 = 0) THEN 'Fatal' ELSE 'WorkerLocal' END AS scope, greatest(1, (event_id % 600) // greatest(1, user_id % 40))::BIGINT AS retries, least(30, CASE WHEN event_id % 9 >= 5 THEN 30 ELSE 1 << (event_id % 9)::INT END)::BIGINT AS backoff,
   CASE WHEN event_id % 4 = 0 THEN 'error' WHEN event_id % 6 = 1 THEN 'replay' ELSE 'conflict' END AS exists_as, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 130 WHEN 3 THEN 143 ELSE 1 END AS code FROM events""")
 def decision_codes(spark, d):
     e = F.col("event_id")
     outcome = F.element_at(F.array(*map(F.lit, ("success", "completed_with_failures", "sigint", "sigterm", "fatal"))), (e % 5 + 1).cast("int"))
     return _table(spark, d, "events").select(
-        "event_id", D.error_scope(e % 3 == 0, F.when(e % 5 == 0, "NFS: Command Timed Out").otherwise("stale handle")).alias("scope"), D.retry_budget(e % 600, F.col("user_id") % 40).alias("retries"), D.backoff_seconds(e % 9).alias("backoff"),
+        "event_id", D.error_scope(e % 3 == 0, F.when(e % 5 == 0, "NFS: Command Timed Out").otherwise("stale handle"), e % 2 == 0).alias("scope"), D.retry_budget(e % 600, F.col("user_id") % 40).alias("retries"), D.backoff_seconds(e % 9).alias("backoff"),
         D.link_exists(F.when(e % 4 != 0, e % 6), F.lit(1)).alias("exists_as"), D.exit_code(outcome).alias("code"),
     )
 
@@ -136,9 +136,14 @@ def error_buckets(spark, d):
     return events.error_buckets(views(spark, d, LOG), _CAP)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM ({LOG}) l WHERE kind = 'ErrorEmitted'), f AS (SELECT job, class, min(seq) AS s FROM e GROUP BY 1, 2),
+  c AS (SELECT job, class, CASE WHEN row_number() OVER (PARTITION BY job ORDER BY s) <= {_CAP} THEN class ELSE '(overflow)' END AS counted FROM f),
+  r AS (SELECT job, counted, path, row_number() OVER (PARTITION BY job, counted ORDER BY seq) AS n FROM e JOIN c USING (job, class)),
+  g AS (SELECT job, counted, n, [path] AS held FROM r WHERE n = 1
+    UNION ALL SELECT r.job, r.counted, r.n, CASE WHEN list_contains(held, path) THEN held ELSE list_append(held, path)[-10:] END FROM g JOIN r ON r.job = g.job AND r.counted = g.counted AND r.n = g.n + 1)
+SELECT job, counted AS class, array_to_string(arg_max(held, n), ',') AS samples FROM g GROUP BY 1, 2""")
 def error_samples(spark, d):
-    return events.error_samples(views(spark, d, LOG))
+    return events.error_samples(views(spark, d, LOG), classes=_CAP).withColumn("samples", F.array_join("samples", ","))
 
 
 @query(f"SELECT worker, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sum(errors)::BIGINT AS errors FROM ({LOG}) l WHERE kind = 'ProgressDelta' GROUP BY worker")
@@ -166,9 +171,28 @@ def rejected_batches(spark, d):
     return events.rejected_batches(rows, ["ProgressDelta", "ErrorEmitted", "WorkerFenced", "WorkerLeft", "JobCreated"])
 
 
-@query(None)
+_LEVEL = "list_position(['Planned', 'Scanning', 'Copying', 'Verifying', 'Cutover'], {})".format
+_ENDS = "('Completed', 'Failed', 'Cancelled')"
+#: One event on a job's state, in two steps: the phase that it asks for, then the state behind it.
+_ASKS = """CASE WHEN kind = 'JobPaused' THEN 'Paused' WHEN kind = 'VerifyStarted' THEN 'Verifying' WHEN kind = 'JobPhaseChanged' THEN to_phase
+  WHEN kind = 'JobResumed' AND phase = 'Paused' THEN coalesce(split_part(list_filter(hist, lambda h: NOT starts_with(h, 'Paused>'))[-1], '>', 1), 'Scanning')
+  WHEN kind = 'VerifyCompleted' THEN CASE WHEN mismatches > 0 THEN 'Failed' ELSE 'Cutover' END WHEN kind = 'ProgressDelta' AND phase = 'Planned' THEN 'Copying' END"""
+_MOVES = f"""(kind <> 'JobCreated' AND phase IS NOT NULL AND ask IS NOT NULL AND ask <> phase AND phase NOT IN {_ENDS} AND (ask IN {_ENDS} OR (ask = 'Paused' AND {_LEVEL("phase")} > 0)
+  OR ({_LEVEL("ask")} > 0 AND (phase = 'Paused' OR {_LEVEL("phase")} < {_LEVEL("ask")}))))"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq) AS n FROM ({LOG}) l),
+  g AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::VARCHAR AS phase, 0::BIGINT AS ft, 0::BIGINT AS bt, 0::BIGINT AS fd, 0::BIGINT AS bd, 0::BIGINT AS et, 0::BIGINT AS cr, 0 AS tr, []::VARCHAR[] AS hist, []::VARCHAR[] AS aw, NULL::BIGINT AS last FROM r
+  UNION ALL SELECT job, m, CASE WHEN kind = 'JobCreated' THEN 'Planned' WHEN moves THEN ask ELSE phase END, CASE WHEN kind = 'JobCreated' THEN files ELSE ft END, CASE WHEN kind = 'JobCreated' THEN bytes ELSE bt END,
+    CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN fd + files WHEN kind = 'ProgressSync' THEN greatest(fd, files) ELSE fd END, CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN bd + bytes WHEN kind = 'ProgressSync' THEN greatest(bd, bytes) ELSE bd END,
+    CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN et + errors ELSE et END, CASE WHEN made THEN 0 WHEN kind = 'ClaimConflictResolved' THEN cr + 1 ELSE cr END, CASE WHEN made THEN 0 WHEN moves THEN tr + 1 ELSE tr END,
+    CASE WHEN made THEN []::VARCHAR[] WHEN moves THEN list_append(hist, phase || '>' || ask || '@' || at_us)[-256:] ELSE hist END,
+    CASE WHEN made THEN []::VARCHAR[] WHEN kind = 'WorkerJoined' AND NOT list_contains(aw, worker) THEN list_append(aw, worker) ELSE aw END, seq
+  FROM (SELECT *, {_MOVES} AS moves FROM (SELECT g.job, g.phase, ft, bt, fd, bd, et, cr, tr, hist, aw, r.n AS m, r.kind, r.files, r.bytes, r.errors, r.at_us, r.worker, r.seq, r.kind = 'JobCreated' OR g.phase IS NULL AS made, {_ASKS} AS ask FROM g JOIN r ON r.job = g.job AND r.n = g.n + 1) x) y)
+SELECT job, phase, ft AS files_total, bt AS bytes_total, fd AS files_done, bd AS bytes_done, et AS errors_total, cr AS conflicts_resolved, tr AS transitions, array_to_string(hist, ',') AS history, array_to_string(aw, ',') AS assigned_workers, last AS last_seq
+FROM g WHERE phase IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1""")
 def phase_fold(spark, d):
-    return events.fold_jobs(views(spark, d, LOG))
+    return events.fold_jobs(views(spark, d, LOG)).withColumn("assigned_workers", F.array_join("assigned_workers", ","))
 
 
 @query(f"""WITH e AS (SELECT *, sum((kind = 'WorkerJoined')::INT) OVER (PARTITION BY worker ORDER BY seq) AS j FROM ({LOG}) l), f AS (SELECT *, max(j) OVER (PARTITION BY worker) AS last FROM e),
@@ -180,7 +204,11 @@ def worker_states(spark, d):
     return events.fold_workers(views(spark, d, LOG))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY job, worker ORDER BY seq) AS n FROM ({LOG}) l WHERE kind = 'ProgressDelta'),
+  g AS (SELECT job, worker, n, at_us AS opened, 1 AS leads FROM r WHERE n = 1
+    UNION ALL SELECT r.job, r.worker, r.n, CASE WHEN r.at_us - opened >= 3600000000 THEN r.at_us ELSE opened END, (r.at_us - opened >= 3600000000)::INT FROM g JOIN r ON r.job = g.job AND r.worker = g.worker AND r.n = g.n + 1),
+  f AS (SELECT r.*, leads, sum(leads) OVER (PARTITION BY g.job, g.worker ORDER BY g.n) AS frame FROM g JOIN r USING (job, worker, n))
+SELECT job, worker, max(seq) AS seq, CASE leads WHEN 1 THEN 'leading' ELSE 'trailing' END AS edge, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, arg_max(at_us, n) AS at_us FROM f GROUP BY job, worker, frame, leads""")
 def capped_progress(spark, d):
     return events.capped_progress(views(spark, d, LOG), 3_600_000_000)
 
@@ -281,7 +309,10 @@ def failure_share(spark, d):
     return e.select(F.concat(F.lit("source "), F.col("u").cast("string")).alias("who"), telemetry.failure_percent(F.col("ok"), F.col("failed")).alias("failure_pct"))
 
 
-@query(None)
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN 'FailureRate' END AS why, (event_id % 2 = 0)::INT AS p FROM events),
+  r AS (SELECT *, sum((why IS NULL)::INT) OVER (PARTITION BY user_id ORDER BY t, why NULLS FIRST, p ROWS UNBOUNDED PRECEDING) AS run FROM e),
+  c AS (SELECT *, sum(p) OVER w - first_value(p) OVER w AS probes FROM r WINDOW w AS (PARTITION BY user_id, run, why IS NULL ORDER BY t, p ROWS UNBOUNDED PRECEDING))
+SELECT user_id, t AS at, why, (CASE WHEN why IS NULL THEN 300 ELSE least(1800, 300 * (1 << least(probes, 10)::INT)) END)::INT AS cooldown, CASE WHEN why IS NOT NULL THEN t + least(1800, 300 * (1 << least(probes, 10)::INT))::BIGINT * 1000000 END AS until FROM c""")
 def backpressure_fold(spark, d):
     rows = _table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.when(F.col("event_id") % 3 == 0, "FailureRate").alias("degraded"), (F.col("event_id") % 2 == 0).alias("probing"))
     return telemetry.backpressure(rows, "user_id")

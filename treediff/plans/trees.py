@@ -53,7 +53,12 @@ def diff_pending(spark, d):
 
 @query(f"SELECT * FROM ({CURRENT}) c WHERE row_id IN (SELECT row_id FROM {_CLASSES} x WHERE class IN ('NEW', 'DIRTY', 'PENDING'))")
 def delta_rows(spark, d):
-    return diff.delta(views(spark, d, CURRENT), diff.keep_list(_classes(spark, d)))
+    return diff.kept_rows(views(spark, d, INDEX), views(spark, d, CURRENT), views(spark, d, PENDING))
+
+
+@query(f"SELECT row_id FROM {_CLASSES} x WHERE class IN ('NEW', 'DIRTY', 'PENDING')")
+def keep_list(spark, d):
+    return diff.keep_list(_classes(spark, d))
 
 
 @query(f"SELECT (SELECT count(*) FROM {_CLASSES} x WHERE class <> 'UNCHANGED') = 0 AS converged")

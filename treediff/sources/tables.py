@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,10 +91,28 @@ def read_keep(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("row_id") if exists(spark, path) else spark.createDataFrame([], "row_id long")
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, bytes, error) of the files below a folder, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("error"))
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files in pieces of 8 MB; one that can't be read has an error in place of a digest."""
+    for batch in batches:
+        rows = []
+        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            digest, error = hashlib.sha256(), None
+            try:
+                store, name = FileSystem.from_uri(path)
+                with store.open_input_stream(name) as f:
+                    while piece := f.read(8 << 20):
+                        digest.update(piece)
+            except OSError as e:
+                error = str(e)
+            rows.append((path, None if error else digest.hexdigest(), length, error))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], ["path", "sha256", "bytes", "error"])
+
+
+def digests(spark: SparkSession, path: str, files_a_task: int = 1000) -> DataFrame:
+    """(path, sha256, bytes, error) of the files below a folder, read as streams on the executors: no file is ever a row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    tasks = max(1, min(10_000, files.count() // files_a_task + spark.sparkContext.defaultParallelism))
+    return files.repartition(tasks).mapInArrow(_hash_files, "path string, sha256 string, bytes long, error string")
 
 
 SHARDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
@@ -110,15 +133,21 @@ def manifest_errors(shards: DataFrame, total_rows: int, total_bytes: int, versio
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """A small JSON file, written beside its place and renamed over it."""
+    """A small JSON file, written under a name of its own and renamed over its place: readers see the old one or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs, p = _fs(spark, path)
-    side = spark._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(side, True)
+    side = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(side, False)
     out.write(bytearray(json.dumps(value, sort_keys=True), "utf-8"))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(side, p):
-        raise OSError(f"can't write {path}")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(side), fs.makeQualified(p), over)
+    except Exception:
+        fs.delete(side, False)
+        raise
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
