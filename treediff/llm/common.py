@@ -14,16 +14,22 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one machine alone may take a temporary one."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treediff-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The result is lazy and may be read as long as the session lives, so the
+    folder isn't deleted here; whoever owns spark.checkpoint.dir clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -44,5 +50,21 @@ def words(text: Column) -> Column:
     return F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, SPACE_RE))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
