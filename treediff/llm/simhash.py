@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import partitions, read, stash
+from treediff.llm.common import column, free_names, partitions, read, stash
 from treediff.llm.components import EDGES, components
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes.
 LEAST_BYTES = 8 - MOST_BITS
+#: Parts that the rows of one fingerprint are dealt to where rows and fingerprints meet.
+SALTS = 64
 
 
 def byte_triples() -> list[tuple[int, int, int]]:
@@ -89,26 +91,53 @@ def linked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _postings_to_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All posting lists of a task, as links: a list of m fingerprints gives at most m - 1 of them."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not parts:
-        return
-    key, fp = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order].view(np.uint64)
-    cut = np.flatnonzero(np.diff(key)) + 1
-    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-    a, b = [], []
-    for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-        x = fp[s:e]
+    """Posting lists, one after another (rows come sorted by key), as links: a list of m fingerprints gives at most m - 1 of them."""
+    held: list[np.ndarray] = []  # the list that the last batch broke off in
+    last = None
+    a, b, size = [], [], 0
+
+    def add(x: np.ndarray) -> None:
+        nonlocal size
         i, j = linked(x)
         if len(i):
-            a.append(x[i])
-            b.append(x[j])
+            a.append(x[i].view(np.int64))
+            b.append(x[j].view(np.int64))
+            size += len(i)
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        a.clear(), b.clear()
+        return out
+
+    for batch in batches:
+        key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(key):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        ends = np.append(starts[1:], len(key))
+        if last is not None and key[0] != last:
+            if sum(map(len, held)) > 1:
+                add(np.concatenate(held))
+            held = []
+        if len(starts) > 1:
+            if len(held):
+                held.append(fp[: ends[0]])
+                add(np.concatenate(held))
+                held = []
+            elif ends[0] > 1:
+                add(fp[: ends[0]])
+            middle = slice(1, len(starts) - 1)
+            for s, e in zip(starts[middle][ends[middle] - starts[middle] > 1].tolist(), ends[middle][ends[middle] - starts[middle] > 1].tolist()):
+                add(fp[s:e])
+        held.append(fp[starts[-1] :])
+        last = key[-1]
+        if size > 100_000:
+            yield flush()
+            size = 0
+    if sum(map(len, held)) > 1:
+        add(np.concatenate(held))
     if a:
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        for k in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 100_000]), pa.array(b[k : k + 100_000])], ["a", "b"])
+        yield flush()
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -123,7 +152,7 @@ def links(prints: DataFrame) -> DataFrame:
 
     keys = F.explode(F.array(*[posting(k, t) for k, t in enumerate(byte_triples())]))
     rows = prints.select(keys.alias("key"), "fp")
-    return rows.repartition(partitions(prints.sparkSession), "key").mapInArrow(_postings_to_edges, EDGES)
+    return rows.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_postings_to_edges, EDGES)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -136,23 +165,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component_id unless a component has no other. Extra columns aren't read.
 
     Copies collapse to one fingerprint before the search, whose index lists
-    distinct fingerprints by the values of three bytes at fixed positions.
+    distinct fingerprints by the values of three bytes at fixed positions. Rows
+    and fingerprints meet by fingerprint and a salt of the row, so that the rows
+    of a frequent one spread; it is repeated for the salts that its rows have.
     """
-    each = stash(fingerprints(docs, key, text), "fingerprints")
-    distinct = stash(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    each = stash(fingerprints(docs, key, text).select("doc_id", "fp", salt), "fingerprints")
+    salted = stash(each.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")), "salted")
+    distinct = stash(salted.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
     roots = stash(components(links(distinct.select("fp"))), "roots")
     groups = roots.join(distinct, roots.v == distinct.fp).groupBy("root").agg(F.min("first").alias("low"))
     low = roots.join(groups, "root").select(F.col("v").alias("fp"), "low")
-    of = distinct.join(low, "fp", "left").select(F.col("fp").alias("p"), F.coalesce("low", "first").alias("component_id"))
-    return each.join(of, each.fp == of.p).select("doc_id", "fp", "component_id")
+    of = distinct.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    of = salted.select("fp", "salt").join(of, "fp").select(F.col("fp").alias("p"), F.col("salt").alias("s"), "component_id")
+    return each.join(of, (each.fp == of.p) & (each.salt == of.s)).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the smallest doc_id of each component left, equal copies of it once; rows without an id stay."""
-    groups = near_duplicates(docs.where(F.col(key).isNotNull()), key, text)
-    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(chosen, F.col(key) == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates([key, text]).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of docs with the smallest key of each component, equal copies (by key and text) of it once; rows without a key stay.
+
+    All columns of docs are carried, whatever their names. Null and blank texts
+    are near-duplicates of one another; an empty table gives no rows.
+    """
+    own = column(docs, key)
+    groups = near_duplicates(docs.where(own.isNotNull()).select(own.alias("doc_id"), column(docs, text).alias("text")))
+    (name,) = free_names(docs, "kept")
+    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(chosen, own == chosen[name], "left_semi")
+    return kept.dropDuplicates([key, text]).unionByName(docs.where(own.isNull()))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
