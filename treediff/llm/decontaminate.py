@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import read, stash
+from treediff.llm.common import column, free_names, read, stash
 from treediff.llm.licences import normal_words
 
 SHINGLE, FIFTHS = 5, 4
+#: Items of fewer words aren't searched: ordinary prose has them ("the", "of the").
+LEAST_WORDS = 3
 #: Rows of the items' shingles that are broadcast at most; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -29,9 +31,10 @@ def item_index(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
     least `need` of them, so any n - need + 1 of them include one that the text
     has. The sketch is the item's smallest hashes, as many as the largest item
     of its size partition (powers of two) needs; no contained item is missed.
-    Items of fewer than five words are one shingle; items without words have none.
+    Items of three or four words are one shingle, which must be in the text as it
+    is; items of fewer than LEAST_WORDS words have no rows and are in no result.
     """
-    t = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), normal_words(F.coalesce(F.col(text), F.lit(""))).alias("w")).distinct().where(F.size("w") > 0)
+    t = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), normal_words(F.coalesce(F.col(text), F.lit(""))).alias("w")).distinct().where(F.size("w") >= LEAST_WORDS)
     t = t.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
     own = F.lit(None).cast("array<string>")
     for k in range(1, SHINGLE + 1):
@@ -61,15 +64,15 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     kinds = sorted(r[0] for r in index.select("k").distinct().collect())  # at most five values
     small = index.count() <= BROADCAST_ROWS
     held = F.broadcast if small else (lambda df: df)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), normal_words(body).alias("w"))
+    body = F.coalesce(column(docs, text), F.lit(""))
+    rows = docs.select(column(docs, key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), normal_words(body).alias("w"))
     empty = lambda kind: F.array().cast(f"array<{kind}>")
     hashes = F.concat(*[shingle_hashes(F.col("w"), k) for k in kinds], empty("bigint"))
     sketch = index.where("sketch").select("item", "hash").distinct()
     likely = rows.select("doc_id", "text_hash", F.explode(hashes).alias("hash")).join(held(sketch), "hash").select("doc_id", "text_hash", "item").distinct()
     likely = stash(likely, "candidates")
     keys = likely.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct()
-    again = docs.select(F.col(key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
+    again = docs.select(column(docs, key).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     again = again.join(keys, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     again = again.select("doc_id", "text_hash", normal_words(F.col("body")).alias("w"))
     texts = F.array_distinct(F.concat(*[shingles(F.col("w"), k) for k in kinds], empty("string")))
@@ -84,10 +87,16 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that contain no item."""
-    hit = contained(docs, items, key, text).select(F.col("doc_id").alias("__d"), F.col("__text_hash").alias("__h")).distinct()
-    on = F.col(key).eqNullSafe(F.col("__d")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__h"))
-    return docs.join(hit, on, "left_anti")
+    """The rows of docs that contain no item.
+
+    All columns are carried, whatever their names. Null and empty texts contain
+    nothing and stay, rows without a key are judged by their texts alone,
+    repeated rows stay or go together; without items all rows stay.
+    """
+    body = F.coalesce(column(docs, text), F.lit(""))
+    k, h = free_names(docs, "hit_key", "hit_text")
+    hit = contained(docs, items, key, text).select(F.col("doc_id").alias(k), F.col("__text_hash").alias(h)).distinct()
+    return docs.join(hit, column(docs, key).eqNullSafe(hit[k]) & (F.xxhash64(body) == hit[h]), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +106,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ik AS (SELECT item_id, least(len(w), 5) AS k, w FROM i WHERE len(w) > 0),
+ik AS (SELECT item_id, least(len(w), 5) AS k, w FROM i WHERE len(w) >= 3),
 s AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM ik)),
 n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1),
 d AS (SELECT row_number() OVER () AS u, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
