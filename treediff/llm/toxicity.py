@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import read
+from treediff.llm.common import column, read, stash
 
-#: The model is fitted on at most this many labelled documents, those of the smallest id hashes.
+#: The model is fitted on at most this many labelled documents, those of the smallest hashes.
 FIT_ROWS = 8192
 #: A word is a feature where chi-squared of having it against being of a grade above 0, with
 #: Yates's correction (which rare words need), is this or more.
@@ -48,50 +48,44 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[tuple[set[str], int]], chi2: float = LEAST_CHI2, l2: float = 0.1, steps: int = 400) -> Ordinal:
-    """Maximum likelihood with a ridge, by Adam on the whole bounded sample; the same rows in the same order give the same model.
+def linked(has: int, above: int, rows: int, bad: int) -> float:
+    """Chi-squared, with Yates's correction, of having a word (has; above of them are of a grade over 0) against being of a grade over 0."""
+    spread = has * (rows - has) * bad * (rows - bad)
+    return rows * max(abs(above * rows - has * bad) - rows / 2, 0.0) ** 2 / spread if spread else 0.0
 
-    Words that the screen finds unrelated to the grades aren't features: labels
-    are noisy, and rare words would learn the noise. Thresholds are the first and positive steps up from it, so they keep their
+
+def loss(weight: np.ndarray, first: float, gap: np.ndarray, col: np.ndarray, row: np.ndarray, grades: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Minus the log likelihood, and its slopes over weights, first threshold and the logarithms of the steps between thresholds."""
+    n, top = len(grades), len(gap) + 1
+    theta = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(np.exp(gap))]), [np.inf]])
+    z = np.bincount(row, weights=weight[col], minlength=n)
+    # P(grade = g) = s(theta[g + 1] - z) - s(theta[g] - z)
+    s_hi, s_lo = sigmoid(theta[grades + 1] - z), sigmoid(theta[grades] - z)
+    p = np.maximum(s_hi - s_lo, 1e-9)
+    d_hi, d_lo = s_hi * (1 - s_hi), s_lo * (1 - s_lo)
+    g_z = (d_hi - d_lo) / p
+    g_theta = np.zeros(top + 2)
+    np.add.at(g_theta, grades + 1, -d_hi / p)
+    np.add.at(g_theta, grades, d_lo / p)
+    tail = np.cumsum(g_theta[1:-1][::-1])[::-1]
+    return float(-np.log(p).sum()), [np.bincount(col, weights=g_z[row], minlength=len(weight)), tail[:1], tail[1:] * np.exp(gap)]
+
+
+def fit_numbers(names: list[str], held: list[list[int]], grades: np.ndarray, l2: float = 0.1, steps: int = 400) -> Ordinal:
+    """Maximum likelihood with a ridge, by Adam on the whole sample of numbered features; the same rows in the same order give the same model.
+
+    Thresholds are the first and positive steps up from it, so they keep their
     order. Grades that no row has get thresholds out of reach.
     """
-    grades = np.array([g for _, g in rows], np.int64)
     top = int(grades.max(initial=1))
-    counts: dict[str, list[int]] = {}
-    for words, g in rows:
-        for w in words:
-            c = counts.setdefault(w, [0, 0])
-            c[g > 0] += 1
-    bad = int((grades > 0).sum())
-
-    def linked(zero: int, above: int) -> float:
-        n, has = len(rows), zero + above
-        spread = has * (n - has) * bad * (n - bad)
-        return n * max(abs(above * n - has * bad) - n / 2, 0.0) ** 2 / spread if spread else 0.0
-
-    names = sorted(w for w, c in counts.items() if linked(*c) >= chi2)
-    at = {w: k for k, w in enumerate(names)}
-    held = [sorted(at[w] for w in words if w in at) for words, _ in rows]
     col = np.array([k for h in held for k in h], np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
     weight, first, gap = np.zeros(len(names)), np.array([2.0]), np.full(top - 1, 0.5)
-    params, n = [weight, first, gap], len(rows)
+    params = [weight, first, gap]
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    for step in range(1, steps + 1 if n else 1):
-        theta = np.concatenate([[-np.inf], first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gap))]), [np.inf]])
-        z = np.bincount(row, weights=weight[col], minlength=n)
-        # P(grade = g) = s(theta[g + 1] - z) - s(theta[g] - z)
-        hi, lo = theta[grades + 1] - z, theta[grades] - z
-        s_hi, s_lo = sigmoid(hi), sigmoid(lo)
-        p = np.maximum(s_hi - s_lo, 1e-9)
-        d_hi, d_lo = s_hi * (1 - s_hi), s_lo * (1 - s_lo)
-        g_z = (d_hi - d_lo) / p  # of the loss, over z
-        g_theta = np.zeros(top + 2)
-        np.add.at(g_theta, grades + 1, -d_hi / p)
-        np.add.at(g_theta, grades, d_lo / p)
-        g_theta = g_theta[1:-1]
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        grads = [np.bincount(col, weights=g_z[row], minlength=len(names)) + l2 * weight, tail[:1], tail[1:] * np.exp(gap) + 0.1 * gap]
+    for step in range(1, steps + 1 if len(held) else 1):
+        slopes = loss(weight, first[0], gap, col, row, grades)[1]
+        grads = [slopes[0] + l2 * weight, slopes[1], slopes[2] + 0.1 * gap]
         for value, g, (m, v) in zip(params, grads, moment):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -100,24 +94,68 @@ def fit(rows: list[tuple[set[str], int]], chi2: float = LEAST_CHI2, l2: float =
     return Ordinal({w: float(x) for w, x in zip(names, weight) if abs(x) > 1e-4}, thresholds)
 
 
+def fit(rows: list[tuple[set[str], int]], chi2: float = LEAST_CHI2) -> Ordinal:
+    """The model of rows in memory. Words that the screen finds unrelated to the grades aren't features: labels are noisy, and rare words would learn the noise."""
+    has: Counter[str] = Counter()
+    above: Counter[str] = Counter()
+    for words, g in rows:
+        has.update(words)
+        above.update(words if g > 0 else ())
+    bad = sum(g > 0 for _, g in rows)
+    names = sorted(w for w in has if linked(has[w], above[w], len(rows), bad) >= chi2)
+    at = {w: k for k, w in enumerate(names)}
+    return fit_numbers(names, [sorted(at[w] for w in words if w in at) for words, _ in rows], np.array([g for _, g in rows], np.int64))
+
+
 def grade_of(quality: Column, toxic: Column) -> Column:
-    """Ordered severity from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    """Ordered severity from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
+
+    The labels have no degrees of toxicity, so the third grade is a proxy: a text
+    that is toxic and worth nothing besides ranks above one that is toxic alone.
+    """
     return F.when(F.coalesce(toxic, F.lit(0)) == 0, 0).when(F.coalesce(quality, F.lit(1)) == 1, 1).otherwise(2)
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> Ordinal:
-    """The model of the `rows` labelled documents of the smallest id hashes; their texts are turned into words on the executors."""
-    graded = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max(grade_of(F.col("quality"), F.col("toxic"))).alias("__grade"))
-    chosen = graded.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("__id"))
-    words = own.select("k", "__grade", F.col("t").alias("t")).mapInArrow(_word_lists, "k long, grade int, words array<string>").orderBy("k").limit(4 * rows)
-    return fit([({sys.intern(w) for w in r["words"]}, r["grade"]) for r in words.toLocalIterator()])  # each word is held once
+def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", chi2: float = LEAST_CHI2) -> Ordinal:
+    """The model of the `rows` labelled documents of the smallest hashes of key and text.
+
+    Documents are rows of docs whose key has a label; a key with several labels
+    has the worst one; rows that share key and text count once. Texts become
+    words, counts of words and chi-squared on the executors: the driver gets the
+    words that pass the screen and, for each document, their numbers.
+    """
+    graded = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max(grade_of(F.col("quality"), F.col("toxic"))).alias("grade"))
+    own = docs.select(column(docs, key).cast("long").alias("k"), F.coalesce(column(docs, text).cast("string"), F.lit("")).alias("t"))
+    h = F.xxhash64("k", "t").alias("h")
+    chosen = own.select("k", h).join(graded, "k").groupBy("k", "h", "grade").agg(F.lit(1).alias("one")).orderBy("h", "k").limit(rows)
+    chosen = stash(chosen.select(F.col("k").alias("c_k"), F.col("h").alias("c_h"), "grade"), "labelled")  # at most `rows` rows
+    texts = own.join(F.broadcast(chosen), (F.col("k") == F.col("c_k")) & (F.xxhash64("k", "t") == F.col("c_h"))).dropDuplicates(["c_k", "c_h"])
+    words = stash(texts.select("c_k", "c_h", "grade", "t").mapInArrow(_word_lists, "k long, h long, grade int, words array<string>"), "words")
+    n, bad = words.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
+    counts = words.select(F.explode("words").alias("word"), (F.col("grade") > 0).cast("int").alias("a")).groupBy("word").agg(F.count("*").alias("has"), F.sum("a").alias("above"))
+    d = lambda x: F.col(x).cast("double")
+    spread = d("has") * (n - d("has")) * float(bad) * float(n - bad)
+    score = F.when(spread > 0, n * F.pow(F.greatest(F.abs(d("above") * n - d("has") * float(bad)) - n / 2, F.lit(0.0)), 2) / spread)
+    names = [r["word"] for r in counts.where(score >= chi2).orderBy("word").collect()]
+    numbered = words.select("k", "h", "grade", "words").mapInArrow(_numbers(words.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})), "k long, h long, grade int, at array<int>")
+    held = numbered.orderBy("h", "k").collect()  # at most `rows` rows of small numbers
+    return fit_numbers(names, [list(r["at"]) for r in held], np.array([r["grade"] for r in held], np.int64))
 
 
 def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [sorted(text_words(t)) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(words, pa.list_(pa.string()))], ["k", "grade", "words"])
+        words = [sorted(text_words(t)) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.list_(pa.string()))], ["k", "h", "grade", "words"])
+
+
+def _numbers(numbers):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = numbers.value.get
+        for batch in batches:
+            at = [sorted(k for w in words if (k := get(w)) is not None) for words in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(at, pa.list_(pa.int32()))], ["k", "h", "grade", "at"])
+
+    return run
 
 
 def _grades(model):
@@ -135,8 +173,8 @@ def _grades(model):
 def severity(docs: DataFrame, model: Ordinal, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, severity (expected grade), grade (the last whose chance to be reached is half or more), toxic: one row per row of docs.
 
-    Null, empty and repeated texts are scored like any other; extra columns
-    aren't read; an empty table gives no rows. The model is broadcast: its size
+    Null, empty, repeated and very long texts are scored like any other, whole;
+    extra columns aren't read; an empty table gives no rows. The model is broadcast: its size
     is bounded by the words of the fitted sample.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
