@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import SPACE_RE, read, stash, words
+from treediff.llm.common import SPACE_RE, column, read, stash, words
 
 #: Bound of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 2000
@@ -90,34 +90,44 @@ BASE = ("short", "repeats")
 
 
 def sample_of(docs: DataFrame, text: str, rows: int) -> DataFrame:
-    """About `rows` rows, chosen by a hash of the text, in the shared folder."""
+    """About `rows` rows, each drawn by itself, in the shared folder."""
     total = docs.count()
-    part = 1_000_000 if total <= rows else max(1, 1_000_000 * rows // total)
-    return stash(docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < part), "sample").withColumn("text", F.coalesce("text", F.lit("")))
+    own = docs.select(F.coalesce(column(docs, text), F.lit("")).alias("text"))
+    return stash(own if total <= rows else own.sample(fraction=rows / total, seed=7), "sample")
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[dict]:
     """Rules in the order of rejections per second on a sample, with what was estimated.
 
     A rule's cost is the time of its own scan of the sample beyond that of the
-    word splitting alone; ties and an empty sample keep the given order. The
-    order changes how much work is done and never which texts are rejected.
+    word splitting alone. Rejections are conditional: each next rule is the one
+    that rejects most, per cost, of what those before it left. Ties and an empty
+    sample keep the given order. The order changes how much work is done and
+    never which texts are rejected.
     """
     sample = sample_of(docs, text, rows).select("text", words(F.col("text")).alias("w"))
     f = features(F.col("text"), F.col("w"))
 
-    def timed(rejects: Column) -> tuple[float, int, int]:
+    def timed(rejects: Column) -> float:
         began = time.perf_counter()
-        n, hit = sample.agg(F.count("*"), F.count_if(rejects & (F.size("w") >= 0))).first()
-        return time.perf_counter() - began, n, hit
+        sample.agg(F.count_if(rejects & (F.size("w") >= 0))).first()
+        return time.perf_counter() - began
 
+    if not rules:
+        return []
     timed(F.lit(False))
-    floor = timed(F.lit(False))[0]
-    found = []
-    for rule in rules:
-        s, n, hit = timed(rule.rejects(f))
-        found.append({"rule": rule, "cost": max(s - floor, 0.005) / max(n, 1), "rejects": hit / max(n, 1)})
-    return sorted(found, key=lambda x: -x["rejects"] / x["cost"])
+    floor = timed(F.lit(False))
+    cost = [max(timed(rule.rejects(f)) - floor, 0.005) for rule in rules]
+    hits = sample.select(F.array(*[F.coalesce(rule.rejects(f), F.lit(False)) for rule in rules]).alias("hits"))
+    groups = [(r["hits"], r["n"]) for r in hits.groupBy("hits").agg(F.count("*").alias("n")).collect()]  # at most 2 ** len(rules) rows
+    total, found, left = max(1, sum(n for _, n in groups)), [], list(range(len(rules)))
+    while left:
+        gain = {k: sum(n for h, n in groups if h[k]) for k in left}
+        best = max(left, key=lambda k: gain[k] / cost[k])
+        found.append({"rule": rules[best], "cost": cost[best] / total, "rejects": gain[best] / total})
+        groups = [(h, n) for h, n in groups if not h[best]]
+        left.remove(best)
+    return found
 
 
 def verdict(f: dict[str, Column], order: list[Rule]) -> Column:
@@ -129,29 +139,40 @@ def verdict(f: dict[str, Column], order: list[Rule]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
+#: What the result of `measure` shows of every row; other measures are taken when a rule that reads them is reached.
+SHOWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of docs: doc_id, the measures, base_failed, kept, rejected_by.
+    """One row per row of docs: doc_id, the measures in SHOWN, base_failed, kept, rejected_by.
 
     A null or blank text has no words and fails the base rules. Repeated rows
     are judged alike and all returned; an empty table gives no rows; other
-    columns of docs aren't read.
+    columns of docs aren't read; very long texts are measured whole. Rules beside
+    the base ones are tried in the planned order, on rows that passed all before.
     """
     order = [x["rule"] for x in plan_cascade(docs, rules, text)]
-    body = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = docs.select(column(docs, key).alias("doc_id"), F.coalesce(column(docs, text), F.lit("")).alias("text"))
     body = body.withColumn("w", words(F.col("text")))
-    each = body.select("doc_id", *(c.alias(k) for k, c in features(F.col("text"), F.col("w")).items()))
-    f = {k: F.col(k) for k in each.columns}
+    every = features(F.col("text"), F.col("w"))
+    each = body.select("doc_id", "text", "w", *(every[k].alias(k) for k in SHOWN))
+    f = every | {k: F.col(k) for k in SHOWN}
     base = [r for r in rules if r.name in BASE]
-    each = each.withColumn("base_failed", F.coalesce(*[F.when(r.rejects(f), True) for r in base], F.lit(False)) if base else F.lit(False))
-    by = F.when(F.col("base_failed"), verdict(f, base)).otherwise(verdict(f, [r for r in order if r.name not in BASE]))
-    return each.withColumn("rejected_by", by).withColumn("kept", F.col("rejected_by").isNull())
+    failed = F.coalesce(*[F.when(r.rejects(f), True) for r in base], F.lit(False)) if base else F.lit(False)
+    by = F.when(failed, verdict(f, base)).otherwise(verdict(f, [r for r in order if r.name not in BASE]))
+    return each.select("doc_id", *SHOWN, failed.alias("base_failed"), by.alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, unchanged; a measure is taken only when its rule is reached."""
+    """The rows of docs that no rule rejects, unchanged; a measure is taken only when its rule is reached.
+
+    Null and blank texts have no words and go (the rule on short texts); repeated
+    rows stay or go together; all columns are carried, whatever their names; an
+    empty table gives no rows.
+    """
     order = [x["rule"] for x in plan_cascade(docs, rules, text)]
     # bound by let: the optimiser moves a filter below the column that it reads, which would split the text anew for each word
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    body = F.coalesce(column(docs, text), F.lit(""))
     by = let(body, lambda t: let(words(t), lambda w: verdict(features(t, w), order)))
     return docs.where(by.isNull())
 
