@@ -13,6 +13,10 @@ MULTIPLIER = "2862933555777941757"
 TWO_64 = "18446744073709551616"
 #: Buckets that a shard's rows are numbered in, so that no task numbers a whole shard.
 SLOT_BUCKETS = 1024
+#: Slots that one row is spread into at once.
+COPIES = 4096
+#: Rows of the table of buckets up to which it is broadcast; there are SLOT_BUCKETS for each shard.
+BROADCAST_ROWS = 65_536
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -62,7 +66,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     starts = each.groupBy("shard", "bucket").agg(F.sum("copies").alias("rows"))
     starts = starts.withColumn("start", F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")).drop("rows")
     first = F.col("start") + F.col("before")
-    return placed.join(F.broadcast(starts), ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("copies") - 1)).alias("slot"), "grown_shard")
+    placed = placed.join(F.broadcast(starts) if shards * SLOT_BUCKETS <= BROADCAST_ROWS else starts, ["shard", "bucket"])
+    # copies of an equal row come apart in parts of COPIES, so that no row carries a huge array
+    parts = F.explode(F.sequence(first, first + F.col("copies") - 1, F.lit(COPIES).cast("long")))
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", "grown_shard", (first + F.col("copies")).alias("end"), parts.alias("part"))
+    slots = F.explode(F.sequence("part", F.least(F.col("part") + COPIES, F.col("end")) - 1)).alias("slot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slots, "grown_shard")
 
 
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
