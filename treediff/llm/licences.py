@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from treediff.llm.common import read
 from treediff.llm.quality import let
 
 THRESHOLD = 0.8
-#: Templates by size are broadcast up to this many rows, else joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes of all templates up to which they are broadcast by size class, else joined by a shuffle. For windows all of
+#: them are one row, so more than this many can't be searched for in windows.
+BROADCAST_BYTES = 4 << 20
 #: Notices as their licences word them.
 NOTICES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -26,6 +29,13 @@ NOTICES = {
     "mit": "Released under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
@@ -39,25 +49,37 @@ def bigrams(w: Column) -> Column:
 
 
 def numbered(g: Column) -> Column:
-    """Each bigram with how often it has come: the intersection of two such arrays is that of the bags."""
-    return F.transform(g, lambda x, i: F.concat_ws("#", x, F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x)).cast("string")))
+    """The sorted bigrams, each with how often it has come: the intersection of two such arrays is that of the bags."""
+    return let(F.array_sort(g), lambda xs: F.transform(xs, lambda x, i: F.concat_ws("#", x, (i + 2 - F.array_position(xs, x)).cast("string"))))
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(NOTICES.items()), "licence string, text string")
+    rows = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(v).alias("text")) for k, v in NOTICES.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def size_class(n: Column) -> Column:
+    """Classes of sizes, each half as large again as the one before."""
+    return F.floor(F.log(n.cast("double")) / math.log(1.5)).cast("int")
 
 
 def by_size(templates: DataFrame, threshold: float) -> DataFrame:
-    """For each number of bigrams that a text may have, the templates that it can match.
+    """For each class of sizes, the templates that a text of such a number of bigrams may match, with their bounds low and high.
 
-    A Dice coefficient of t needs min / max >= t / (2 - t) of the two sizes.
+    A Dice coefficient of t needs min / max >= t / (2 - t) of the two sizes, so
+    a template is in a few classes, however long it is.
     """
+    t = with_bounds(templates, threshold)
+    rows = t.select(F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("class"), F.struct("licence", "g", "bag", "b", "low", "high").alias("t"))
+    return rows.groupBy("class").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+
+
+def with_bounds(templates: DataFrame, threshold: float) -> DataFrame:
+    """Templates of two words or more: bigrams g, as a bag, how many (b), and how many a text must and may have (low, high)."""
     t = templates.where("licence is not null").withColumn("w", normal_words(F.coalesce("text", F.lit("")))).where(F.size("w") >= 2)
     t = t.withColumn("g", bigrams(F.col("w"))).withColumn("bag", numbered(F.col("g"))).withColumn("b", F.size("g"))
-    low = F.ceil(F.col("b") * (threshold / (2 - threshold)) - 1e-9).cast("int")
-    high = F.floor(F.col("b") * ((2 - threshold) / threshold) + 1e-9).cast("int")
-    rows = t.select(F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("a"), F.struct("licence", "g", "bag", "b").alias("t"))
-    return rows.groupBy("a").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    t = t.withColumn("low", F.greatest(F.ceil(F.col("b") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.lit(1)))
+    return t.withColumn("high", F.floor(F.col("b") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
 
 
 def in_one_row(templates: DataFrame, threshold: float) -> DataFrame:
@@ -66,10 +88,7 @@ def in_one_row(templates: DataFrame, threshold: float) -> DataFrame:
     A window that matches shares `low` of a template's b bigrams at least, so it
     has one of any b - low + 1 of them: the anchors, those with the longest words.
     """
-    t = templates.where("licence is not null").withColumn("w", normal_words(F.coalesce("text", F.lit("")))).where(F.size("w") >= 2)
-    t = t.withColumn("g", bigrams(F.col("w"))).withColumn("bag", numbered(F.col("g"))).withColumn("b", F.size("g"))
-    t = t.withColumn("low", F.greatest(F.ceil(F.col("b") * (threshold / (2 - threshold)) - 1e-9).cast("int"), F.lit(1)))
-    t = t.withColumn("high", F.floor(F.col("b") * ((2 - threshold) / threshold) + 1e-9).cast("int"))
+    t = with_bounds(templates, threshold)
     longest = lambda g: F.array_max(F.transform(F.split(g, " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     by_length = F.sort_array(F.transform("g", lambda g: F.struct(longest(g).alias("l"), g.alias("g"))), asc=False)
     t = t.withColumn("a", F.slice(by_length, F.lit(1), F.col("b") - F.col("low") + 1))
@@ -170,9 +189,10 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     broadcast row: texts aren't shuffled.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    sizes = by_size(templates, threshold).cache()
-    n, low, high = sizes.agg(F.count("*"), F.min("a"), F.max("a")).first()
-    if n <= BROADCAST_ROWS:
+    sizes = by_size(templates, threshold)
+    low, high, n = with_bounds(templates, threshold).agg(F.min("low"), F.max("high"), F.sum(F.octet_length("text"))).first()
+    small = (n or 0) <= BROADCAST_BYTES
+    if small:
         sizes = F.broadcast(sizes)
     fits = lambda w: (F.size(w) > (low or 0)) & (F.size(w) <= (high or 0) + 1)
     lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: normal_words(x))
@@ -186,11 +206,14 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
 
     u = body.select("doc_id", F.explode(let(F.col("lines"), units)).alias("u")).select("doc_id", "u.line", F.col("u.w").alias("w"))
     u = u.withColumn("g", bigrams(F.col("w"))).withColumn("a", F.size("g")).drop("w")
-    u = u.join(sizes, "a").withColumn("ts", F.filter("ts", lambda t: F.arrays_overlap(t["g"], F.col("g")))).where(F.size("ts") > 0)
+    u = u.join(sizes, size_class(F.col("a")) == F.col("class")).drop("class")
+    u = u.withColumn("ts", F.filter("ts", lambda t: (F.col("a") >= t["low"]) & (F.col("a") <= t["high"]) & F.arrays_overlap(t["g"], F.col("g")))).where(F.size("ts") > 0)
     u = u.withColumn("bag", numbered(F.col("g")))
     dice = lambda t: 2.0 * F.size(F.array_intersect(t["bag"], F.col("bag"))) / (t["b"] + F.col("a"))
     u = u.withColumn("found", F.filter(F.transform("ts", lambda t: F.struct((-dice(t)).alias("d"), t["licence"].alias("licence"))), lambda x: x["d"] <= -threshold)).where(F.size("found") > 0)
     u = u.select("doc_id", "line", F.array_min("found").alias("m")).select("doc_id", "line", "m.licence", (-F.col("m.d")).alias("dice"))
+    if not small:
+        raise ValueError(f"templates of more than {BROADCAST_BYTES} bytes can't be searched for in windows")
     return u.unionByName(scan_windows(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), templates, threshold))
 
 
