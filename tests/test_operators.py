@@ -1,6 +1,7 @@
 """Operators over small tables, with results worked out by hand or by a plain loop."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,10 +200,105 @@ def test_job_fold_matches_a_loop_and_the_stream(spark, tmp_path):
             log.write_chunk(part.where(F.col("job") == job).drop("job").withColumn("job", F.lit(job)).orderBy("seq"), str(tmp_path / "log"), start, job)
     assert log.read_log(spark, str(tmp_path / "log"), after=390).count() == 10
     assert log.read_log(spark, str(tmp_path / "log"), job="j1").select("job").distinct().count() == 1
-    q = log.jobs(log.fresh(log.stream_log(spark, str(tmp_path / "log")))).writeStream.outputMode("update").format("memory").queryName("jobs_now").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = log.jobs(log.stream_log(spark, str(tmp_path / "log"))).writeStream.outputMode("update").format("memory").queryName("jobs_now").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     last = spark.table("jobs_now").groupBy("job").agg(F.max_by(F.struct("phase", "files_done", "transitions"), "last_seq").alias("s")).collect()
     assert {r["job"]: tuple(r["s"]) for r in last} == got
+    log.write_chunk(df.where("seq <= 40 and job = 'j0'").orderBy("seq"), str(tmp_path / "log2"), 1, "j0")
+    log.write_chunk(df.where("seq > 20 and seq <= 60 and job = 'j0'").orderBy("seq"), str(tmp_path / "log2"), 21, "j0")
+    seen = []
+    log.follow(log.fresh(log.stream_log(spark, str(tmp_path / "log2"), 1)), lambda batch, _: seen.extend(r["seq"] for r in batch.select("seq").collect()), str(tmp_path / "cp2")).awaitTermination(120)
+    assert sorted(seen) == [r["seq"] for r in rows if r["job"] == "j0" and r["seq"] <= 60]
+
+
+def test_chunks_that_end_before_are_skipped(spark, tmp_path):
+    assert log.chunks_since([1, 150, 300], 0) == [1, 150, 300]
+    assert log.chunks_since([300, 1, 150], 150) == [150, 300]
+    assert log.chunks_since([1, 150, 300], 149) == [1, 150, 300]
+    assert log.chunks_since([1, 150, 300], 10**6) == [300] and log.chunks_since([], 5) == []
+    assert log.read_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_replay_from_any_snapshot(spark, tmp_path):
+    rows = make_log(300, 9)
+    df = spark.createDataFrame(rows, events.EVENTS)
+    want = sorted(map(str, events.fold_jobs(df).collect()))
+    for at in (0, 120, 300):
+        tables.write_snapshot(events.snapshot_jobs(df.where(F.col("seq") <= at)), str(tmp_path / "s"), at + 1, keep=2)
+        snapshot = tables.read_snapshot(spark, str(tmp_path / "s"), events.SNAPSHOTS)
+        assert sorted(map(str, events.replay(snapshot, df).collect())) == want
+    assert len(tables.children(spark, str(tmp_path / "s"), "snapshot-*")) == 2
+    with pytest.raises(Exception, match="exist"):
+        tables.write_snapshot(snapshot, str(tmp_path / "s"), 301)
+    assert tables.read_snapshot(spark, str(tmp_path / "none"), events.SNAPSHOTS).count() == 0
+
+
+def test_capped_stream_loses_nothing(spark, tmp_path):
+    df = spark.createDataFrame(make_log(400, 8), events.EVENTS)
+    for start in (1, 200):
+        df.where((F.col("seq") >= start) & (F.col("seq") < start + 199 + (start > 1))).coalesce(1).write.json(str(tmp_path / "log" / f"{start}"))
+    frames = []
+    stream = log.stream_log(spark, str(tmp_path / "log"), 1)
+    q = log.capped(stream, 5000).writeStream.foreachBatch(lambda b, _: frames.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    want = {(r["job"], r["worker"]): r["f"] for r in df.where("kind = 'ProgressDelta'").groupBy("job", "worker").agg(F.sum("files").alias("f")).collect()}
+    got = {}
+    for _ in range(90):
+        time.sleep(0.5)
+        got = {}
+        for r in list(frames):
+            got[r["job"], r["worker"]] = got.get((r["job"], r["worker"]), 0) + r["files"]
+        if got == want:
+            break
+    q.stop()
+    assert got == want  # the timer drains what was retained
+    leading = [r["seq"] for r in frames if r["edge"] == "leading"]
+    assert len(leading) == len(set(leading)) and len(frames) < df.where("kind = 'ProgressDelta'").count()
+
+
+def test_errors_beyond_the_cap_share_their_samples(spark):
+    rows = [(k, k, "ErrorEmitted", "j", f"c{k % 66}", f"/p{k}") for k in range(132)]
+    df = spark.createDataFrame(rows, "seq long, at_us long, kind string, job string, class string, path string").withColumn("retryable", F.lit(True))
+    got = {r["class"]: r["samples"] for r in events.error_samples(df).collect()}
+    assert len(got) == 65 and got[events.OVERFLOW] == ["/p64", "/p65", "/p130", "/p131"] and got["c0"] == ["/p0", "/p66"]
+    assert {r["class"] for r in events.error_buckets(df).collect()} == set(got)
+
+
+def test_error_windows_match_a_loop(spark):
+    rows = make_log(500, 3)
+    start, seen, want = {}, {}, {}
+    for e in rows:
+        if e["kind"] == "ErrorEmitted":
+            j = e["job"]
+            if j not in start or e["at_us"] - start[j] >= 60_000_000:
+                start[j], seen[j] = e["at_us"], {}
+            n = seen[j][e["class"]] = seen[j].get(e["class"], 0) + 1
+            want[e["seq"]] = (start[j], n <= 1)
+    got = {r["seq"]: (r["window_us"], r["shown"]) for r in events.error_cap(spark.createDataFrame(rows, events.EVENTS), 1, 60_000_000).collect()}
+    assert got == want and not all(ok for _, ok in want.values())
+
+
+def test_scope_of_errors(spark):
+    rows = spark.createDataFrame([(True, "command timed out", False), (True, "command timed out", True), (True, "corrupt", False), (False, "corrupt", True), (True, None, None)], "fatal boolean, m string, typed boolean")
+    assert [r[0] for r in rows.select(D.error_scope(F.col("fatal"), F.col("m"), F.col("typed"))).collect()] == ["WorkerLocal", "Fatal", "Fatal", "WorkerLocal", "Fatal"]
+
+
+def test_shards_are_checked_against_their_files(spark, tmp_path):
+    import hashlib
+
+    for name, n in (("a", 3), ("b", 4), ("c", 5)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / name))
+    files = {d: next((tmp_path / d).glob("part-*.parquet")) for d in "abc"}
+    row = lambda d, rows, extra=0, sha=None: (f"{d}/{files[d].name}", rows, files[d].stat().st_size + extra, sha or hashlib.sha256(files[d].read_bytes()).hexdigest())
+    shards = spark.createDataFrame([row("a", 3), row("b", 5), row("c", 5, 1, "0" * 64), ("d/x.parquet", 1, 1, "0" * 64)], tables.SHARDS)
+    got = {(r["path"][0], r["why"]) for r in tables.verify_shards(spark, str(tmp_path), shards).collect()}
+    assert got == {("b", "rows"), ("c", "size"), ("c", "digest"), ("d", "absent")}
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    for k in range(3):
+        tables.write_json(spark, str(tmp_path / "x.json"), {"k": k})
+        assert tables.read_json(spark, str(tmp_path / "x.json")) == {"k": k}
+    assert [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
 
 
 def test_progress_caps_lose_nothing(spark):

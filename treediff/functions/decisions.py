@@ -40,10 +40,10 @@ def exit_code(outcome: Column) -> Column:
     return F.when(outcome == "success", 0).when(outcome == "completed_with_failures", 2).when(outcome == "sigint", 130).when(outcome == "sigterm", 143).otherwise(1)
 
 
-def run_outcome(fenced: Column, store_lost: Column, stopped: Column) -> Column:
-    """Of a worker's run: struct(outcome, code)."""
+def run_outcome(fenced: Column, store_lost: Column, stopped: Column, wedged: Column | bool = False) -> Column:
+    """Of a worker's run: struct(outcome, code). A shutdown that hangs exits with 2 whatever the outcome."""
     name = F.when(fenced & store_lost, "StoreUnreachable").when(fenced, "Fenced").when(stopped, "Interrupted").otherwise("Clean")
-    return F.struct(name.alias("outcome"), F.when(fenced & store_lost, 4).when(fenced, 3).otherwise(0).alias("code"))
+    return F.struct(name.alias("outcome"), F.when(F.lit(wedged) if isinstance(wedged, bool) else wedged, 2).when(fenced & store_lost, 4).when(fenced, 3).otherwise(0).alias("code"))
 
 
 def error_scope(fatal: Column, message: Column, typed: Column) -> Column:
@@ -57,6 +57,11 @@ def retry_budget(lease: Column, heartbeat: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor((lease - F.pmod(lease, each)).cast("decimal(20,0)") / each).cast("long"))
 
 
+def race_backoff(heartbeat: Column) -> Column:
+    """struct(low, high) of the milliseconds to wait after a lost race, drawn from [low, high): a quarter to half a heartbeat of seconds."""
+    return F.struct((heartbeat * 250).cast("long").alias("low"), (heartbeat * 500).cast("long").alias("high"))
+
+
 def backoff_seconds(attempt: Column) -> Column:
     """1, 2, 4, ... seconds, 30 at most."""
     return F.least(F.lit(30).cast("long"), F.pow(F.lit(2.0), F.least(attempt, F.lit(5))).cast("long"))

@@ -48,6 +48,12 @@ def url_parts(url: Column) -> Column:
     return F.when(good, F.struct(host.alias("host"), F.when(port != DEFAULT_PORT, port).alias("port"), path.alias("path"), F.when(query != "", query).alias("query")))
 
 
+def with_address(parts: Column) -> Column:
+    """url_parts with an IP literal as host in its one form; only hosts that may be one (a colon, or digits and dots) go through Python's parser."""
+    literal = F.when(parts["host"].rlike("^([0-9.]+|.*:.*)$"), parts["host"])
+    return F.when(parts.isNotNull(), F.struct(F.coalesce(canonical_address(literal), parts["host"]).alias("host"), parts["port"].alias("port"), parts["path"].alias("path"), parts["query"].alias("query")))
+
+
 def url_text(parts: Column) -> Column:
     host = F.when(F.instr(parts["host"], ":") > 0, F.concat(F.lit("["), parts["host"], F.lit("]"))).otherwise(parts["host"])
     return F.concat(F.lit("nfs://"), host, F.coalesce(F.concat(F.lit(":"), parts["port"].cast("string")), F.lit("")), parts["path"], F.coalesce(F.concat(F.lit("?"), parts["query"]), F.lit("")))

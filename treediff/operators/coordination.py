@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treediff.functions import decisions as D
 from treediff.functions import texts as X
 
 
@@ -68,12 +69,25 @@ def expired_leases(leases: DataFrame, now: Column, grace: int = 5) -> DataFrame:
     return leases.where(F.col("expires_at") + grace < now)
 
 
-def fence_runs(beats: DataFrame, by: str, budget: Column) -> DataFrame:
-    """Heartbeats (by, at, ok) with the failures in a row up to each, and whether they fence the worker."""
-    before = F.sum(F.col("ok").cast("int")).over(Window.partitionBy(by).orderBy("at"))
-    rows = beats.withColumn("run", before)
-    failed = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy(by, "run").orderBy("at"))
-    return rows.withColumn("failures", failed).withColumn("fenced", F.col("failures") >= budget).drop("run")
+def fence_runs(beats: DataFrame, by: str, budget: Column, lease: Column | None = None) -> DataFrame:
+    """Heartbeats with the failures in a row up to each, and whether one fences the worker.
+
+    beats: by, at, ok; with `lease` (seconds) also held_claim, lost_claim (of a
+    beat that was told that a claim is lost, else null), wall_s and mono_s. A
+    success resets the run, as does a beat without a claim and one that lost
+    another claim than the held one; losing the held one fences at once, as do
+    clocks that differ by more than half the lease (a second at least).
+    """
+    reset = F.col("ok")
+    if lease is not None:
+        reset = reset | F.col("held_claim").isNull() | F.coalesce(F.col("lost_claim") != F.col("held_claim"), F.lit(False))
+    rows = beats.withColumn("reset", reset)
+    rows = rows.withColumn("run", F.sum(F.col("reset").cast("int")).over(Window.partitionBy(by).orderBy("at")))
+    failed = F.sum((~F.col("reset")).cast("int")).over(Window.partitionBy(by, "run").orderBy("at"))
+    fenced = F.col("failures") >= budget
+    if lease is not None:
+        fenced = fenced | F.coalesce(F.col("lost_claim") == F.col("held_claim"), F.lit(False)) | (F.abs(F.col("wall_s") - F.col("mono_s")) > F.greatest(F.lit(1), F.floor(lease / 2)))
+    return rows.withColumn("failures", failed).withColumn("fenced", fenced).drop("run", "reset")
 
 
 def stale_registrations(workers: DataFrame, arriving: DataFrame) -> DataFrame:
@@ -128,3 +142,53 @@ def checkpoints(inputs: DataFrame, done: DataFrame) -> DataFrame:
     both = inputs.join(d, F.col("part") == F.col("d_part"), "full")
     state = F.when(F.col("part").isNull(), "orphan").when(F.col("d_part").isNull(), "to_do").when(F.col("fingerprint").eqNullSafe(F.col("d_print")), "done").otherwise("changed")
     return both.select(F.coalesce("part", "d_part").alias("part"), state.alias("state"))
+
+
+#: Fixed: what a command asks of a job's phase, and the event that it makes (none: an audit row alone).
+COMMANDS = {"pause": ("active", "JobPaused"), "drain": ("active", "JobPaused"), "resume": ("paused", "JobResumed"), "cancel": ("not over", "JobCancelled"), "retry-failed": ("any", None)}
+
+
+def decide_commands(commands: DataFrame, jobs: DataFrame) -> DataFrame:
+    """commands (command, job, ...) with `error` (null: accepted) and the `event` that an accepted one makes; jobs: job, phase."""
+    j = jobs.select(F.col("job").alias("j_job"), "phase")
+    rows = commands.join(j, F.col("job") == F.col("j_job"), "left")
+    phase, known, event, fits = F.col("phase"), F.col("command").isin(*COMMANDS), None, None
+    may = {"active": D.phase_rank(phase).isNotNull(), "paused": phase == "Paused", "not over": ~D.is_terminal(phase), "any": F.lit(True)}
+    for name, (asks, makes) in COMMANDS.items():
+        one = F.col("command") == name
+        fits = F.when(one, may[asks]) if fits is None else fits.when(one, may[asks])
+        event = F.when(one, F.lit(makes)) if event is None else event.when(one, F.lit(makes))
+    error = (
+        F.when(~known, "unknown_command").when(X.job_id_error(F.col("job")).isNotNull(), "invalid_job_id").when(F.col("j_job").isNull(), "job_not_found").when(~fits, "invalid_phase")
+    )
+    return rows.withColumn("error", error).withColumn("event", F.when(F.col("error").isNull(), event)).drop("j_job", "phase")
+
+
+def audit_keys(entries: DataFrame, taken: DataFrame | None = None, at: str = "at", tie: str = "command_id") -> DataFrame:
+    """Entries with the key of their audit row, audit/<date>/<number>.jsonl: numbered by day behind the numbers that are taken (date, seq)."""
+    date = F.date_format(at, "yyyy-MM-dd")
+    rows = entries.withColumn("date", date).withColumn("n", F.row_number().over(Window.partitionBy("date").orderBy(at, tie)))
+    start = F.lit(0)
+    if taken is not None:
+        top = taken.groupBy(F.col("date").alias("t_date")).agg(F.max("seq").alias("top"))
+        rows, start = rows.join(top, F.col("date") == F.col("t_date"), "left").drop("t_date"), F.coalesce(F.col("top"), F.lit(0))
+    rows = rows.withColumn("seq", (start + F.col("n")).cast("long"))
+    return rows.withColumn("key", X.seq_key("", F.col("seq"))).withColumn("key", F.concat(F.lit("audit/"), "date", F.lit("/"), "key")).drop("n", "top")
+
+
+def archivable(jobs: DataFrame, snapshot: DataFrame, buffered: DataFrame) -> DataFrame:
+    """Jobs that may be archived: over, and so in a durable snapshot (job, phase) too, with no event still buffered (job)."""
+    safe = snapshot.where(D.is_terminal(F.col("phase"))).select("job")
+    return jobs.where(D.is_terminal(F.col("phase"))).join(safe, "job", "left_semi").join(buffered.select("job").distinct(), "job", "left_anti")
+
+
+def connection_tally(pairs: DataFrame) -> DataFrame:
+    """(side, addresses, list): how many addresses each side's connections use, and each with its number of connections; pairs: source, dest."""
+    each = pairs.select(F.explode(F.array(F.struct(F.lit("source").alias("side"), F.col("source").alias("a")), F.struct(F.lit("dest").alias("side"), F.col("dest").alias("a")))).alias("x"))
+    n = each.groupBy("x.side", F.coalesce("x.a", F.lit("host name")).alias("a")).agg(F.count("*").alias("n"))
+    return n.groupBy("side").agg(F.count("*").alias("addresses"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "n"))), lambda x: F.concat(x["a"], F.lit(" x"), x["n"].cast("string"))), ", ").alias("list"))
+
+
+def report_totals(parts: DataFrame) -> DataFrame:
+    """One row over the parts of a rewrite (rows, state): how many, their rows, and those of finished ones."""
+    return parts.agg(F.count("*").alias("parts"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("state") == "done", F.col("rows"))), F.lit(0)).alias("rows_done"))

@@ -6,6 +6,7 @@ client_seq and the fields of the kinds, null where a kind hasn't them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -40,6 +41,8 @@ class Job:
 
     def __init__(self, state: dict | None = None):
         self.s = state
+        self.tick: int | None = None
+        self.synced: tuple | None = None
 
     def move(self, to: str, at: int) -> None:
         s = self.s
@@ -51,6 +54,9 @@ class Job:
     def apply(self, e: dict) -> None:
         kind, s = e["kind"], self.s
         number = lambda k: 0 if pd.isna(e[k]) else int(e[k])
+        if kind == SNAPSHOT:
+            self.s = json.loads(e["reason"])
+            return
         if kind == "JobCreated":
             self.s = s = {"phase": "Planned", "files_total": number("files"), "bytes_total": number("bytes"), "files_done": 0, "bytes_done": 0, "errors_total": 0, "conflicts_resolved": 0, "transitions": 0, "history": [], "assigned_workers": []}
         if not s:
@@ -94,12 +100,15 @@ def _without_runs(events: DataFrame) -> DataFrame:
     return rows.where(~delta).drop("run").unionByName(deltas.drop("run"), allowMissingColumns=True)
 
 
-def fold_jobs(events: DataFrame) -> DataFrame:
-    """The state of each created job after all events.
+#: The kind of a row that sets a job's state instead of changing it; its reason is the state as JSON.
+SNAPSHOT = "Snapshot"
+SNAPSHOTS = "job string, last_seq long, state string"
+
 
-    Events are dealt out by job once: by windows, deltas between two other events
-    become one, so the ordered fold sees few rows of a job; it holds its state
-    alone as they stream by. Events of jobs that were never created change nothing.
+def _fold(events: DataFrame, schema: str, finish, step=None) -> DataFrame:
+    """Ordered folds over jobs: events are dealt out by job and sorted; each streams by with only its state in memory.
+
+    finish(job, state) gives a job's last rows; step(job, state, event) those before an event.
     """
     names = [c.split()[0] for c in EVENTS.split(", ")]
 
@@ -109,19 +118,63 @@ def fold_jobs(events: DataFrame) -> DataFrame:
             for e in df.to_dict("records"):
                 if e["job"] != now:
                     if state.s:
-                        out.append(state.row(now))
+                        out += finish(now, state)
                     now, state = e["job"], Job()
+                if step:
+                    out += step(now, state, e)
                 state.apply(e)
             if len(out) >= 1000:
                 yield pd.DataFrame(out)
                 out = []
         if state.s:
-            out.append(state.row(now))
+            out += finish(now, state)
         if out:
             yield pd.DataFrame(out)
 
-    rows = _without_runs(events.where("job is not null").select(*names))
-    return rows.select(*names).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, JOBS)
+    return events.select(*names).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, schema)
+
+
+def fold_jobs(events: DataFrame) -> DataFrame:
+    """The state of each created job after all events.
+
+    By windows, deltas between two other events become one, so the fold sees few
+    rows of a job. Events of jobs that were never created change nothing.
+    """
+    return _fold(_without_runs(events.where("job is not null")), JOBS, lambda job, state: [state.row(job)])
+
+
+def snapshot_jobs(events: DataFrame) -> DataFrame:
+    """(job, last_seq, state): what `replay` goes on from."""
+    last = lambda job, state: [{"job": job, "last_seq": state.s["last_seq"], "state": json.dumps(state.s)}]
+    return _fold(_without_runs(events.where("job is not null")), SNAPSHOTS, last)
+
+
+def replay(snapshot: DataFrame, events: DataFrame) -> DataFrame:
+    """The state of each job by a snapshot and the events behind its last_seq; events that the snapshot has seen change nothing."""
+    marks = snapshot.select(F.col("job").alias("s_job"), F.col("last_seq").alias("mark"))
+    rows = events.where("job is not null").join(marks, F.col("job") == F.col("s_job"), "left").where("mark is null or seq > mark").drop("s_job", "mark")
+    start = snapshot.select("job", F.col("last_seq").alias("seq"), F.lit(SNAPSHOT).alias("kind"), F.lit(0).cast("long").alias("at_us"), F.col("state").alias("reason"))
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    return _fold(_without_runs(rows.select(*names)).unionByName(start, allowMissingColumns=True), JOBS, lambda job, state: [state.row(job)])
+
+
+def progress_syncs(events: DataFrame, tick_us: int = 1_000_000) -> DataFrame:
+    """(job, tick_us, files_done, bytes_done): at the end of each tick with events, the absolutes of a job in an active phase, where they differ from the last ones."""
+
+    def sync(job: str, state: Job, tick: int) -> list[dict]:
+        now = (state.s["files_done"], state.s["bytes_done"])
+        if state.s["phase"] not in RANKS or state.synced == now:
+            return []
+        state.synced = now
+        return [{"job": job, "tick_us": tick, "files_done": now[0], "bytes_done": now[1]}]
+
+    def step(job: str, state: Job, e: dict) -> list[dict]:
+        tick = int(e["at_us"]) // tick_us * tick_us
+        was = state.tick
+        state.tick = tick if was is None else max(was, tick)
+        return sync(job, state, was) if state.s and was is not None and tick > was else []
+
+    return _fold(events.where("job is not null"), "job string, tick_us long, files_done long, bytes_done long", lambda job, state: sync(job, state, state.tick), step)
 
 
 def fold_workers(events: DataFrame) -> DataFrame:
@@ -214,6 +267,31 @@ def error_samples(events: DataFrame, keep: int = SAMPLES, classes: int = CLASSES
     return rows.repartition("job", "class").sortWithinPartitions("job", "class", "seq").mapInPandas(run, "job string, class string, samples array<string>")
 
 
+def error_cap(events: DataFrame, keep: int = 10, width_us: int = 1_000_000) -> DataFrame:
+    """(job, class, seq, window_us, shown): which errors of a job a live view shows.
+
+    A window starts with the first error after the last one has passed, shared by
+    all classes of the job, and shows `keep` errors of each class. Where windows
+    start depends on all errors before: a fold in order with one number of state
+    for a job; the rest is a window function.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, start = None, 0
+        for df in batches:
+            starts = []
+            for job, at in zip(df["job"], df["at_us"]):
+                if job != now or at - start >= width_us:
+                    now, start = job, at
+                starts.append(start)
+            yield df[["job", "class", "seq"]].assign(window_us=starts)
+
+    rows = events.where("kind = 'ErrorEmitted' and job is not null").select("job", "class", "at_us", "seq")
+    rows = rows.repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, "job string, class string, seq long, window_us long")
+    rank = F.row_number().over(Window.partitionBy("job", "window_us", "class").orderBy("seq"))
+    return rows.withColumn("shown", rank <= keep)
+
+
 def conflicts(events: DataFrame) -> DataFrame:
     return events.where("kind = 'ClaimConflictResolved'").groupBy("job").agg(F.count("*").alias("conflicts"))
 

@@ -121,9 +121,30 @@ def hardlinks(rows: DataFrame, batch: str = "batch", order: str = "row_id", ok:
     return led.withColumn("leader_path", F.min_by(F.when(ok, F.col("path")), F.when(ok, F.col(order))).over(w)).withColumn("is_leader", F.col(order) == F.col("leader")).withColumn("group_size", F.count("*").over(w))
 
 
-def placement(rows: DataFrame, connections: int, order: str = "row_id", shard: str = "shard") -> DataFrame:
-    """Round robin over the connections of a shard."""
-    return rows.withColumn("slot", F.pmod(F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1, F.lit(connections)))
+def placement(rows: DataFrame, connections: int, dead: tuple[int, ...] = (), order: str = "row_id", shard: str = "shard") -> DataFrame:
+    """Round robin over the connections of a shard that aren't dead; ValueError where none is left."""
+    live = [k for k in range(connections) if k not in dead]
+    if not live:
+        raise ValueError("no live connection")
+    turn = F.pmod(F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1, F.lit(len(live)))
+    return rows.withColumn("slot", F.element_at(F.array(*map(F.lit, live)), turn.cast("int") + 1))
+
+
+def batch_audit(batches: DataFrame, shard: str = "shard", order: str = "row_id", size: str = "size") -> DataFrame:
+    """batch_records with the number of rows by strategy (as a map) and of failures; batches: with strategy and failed."""
+    counts = batches.groupBy(shard, "batch", "strategy").agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count("*").alias("n"), F.sum(size).alias("b"), F.count_if("failed").alias("f"))
+    return counts.groupBy(shard, "batch").agg(
+        F.min("a").alias("row_first"), F.max("z").alias("row_last"), F.sum("n").alias("files"), F.sum("b").alias("bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("strategy", "n")))).alias("strategy_counts"), F.sum("f").alias("failures"),
+    )
+
+
+def copy_summary(shards: DataFrame, total: int, interrupted: bool = False) -> DataFrame:
+    """One row over finished shards (files_ok, files_failed, torn, special, bytes_ok), with the state of the copy and its closing line."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files_ok", "files_failed", "torn", "special", "bytes_ok")]
+    state = F.when(F.lit(interrupted), "interrupted").when(F.col("shards_done") == total, "complete").otherwise("stopped")
+    special = F.when(F.col("special") > 0, F.format_string(", %d special NOT copied", "special")).otherwise("")
+    line = F.concat(F.format_string("%s: %d/%d shards, %d files ok (%d torn), %d failed", "state", "shards_done", F.lit(total), "files_ok", "torn", "files_failed"), special, F.format_string(", %d bytes moved", "bytes_ok"))
+    return shards.agg(F.count("*").alias("shards_done"), *sums).withColumn("state", state).withColumn("line", line)
 
 
 @dataclass(frozen=True)
@@ -191,10 +212,10 @@ def copy_downgrades(results: DataFrame, unchanged_size: bool = False) -> DataFra
     return results.select("row_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("kind"))
 
 
-def outcomes(results: DataFrame) -> DataFrame:
-    """Counts of copy results; outcome: ok, failed, fenced, special. Torn copies are among the ok ones; only those have bytes."""
+def outcomes(results: DataFrame, *by: str) -> DataFrame:
+    """Counts of copy results, by shard or whatever is named; outcome: ok, failed, fenced, special. Torn copies are among the ok ones; only those have bytes."""
     of = lambda k: F.count_if(F.col("outcome") == k)
-    return results.agg(of("ok").alias("files_ok"), of("failed").alias("files_failed"), of("fenced").alias("files_fenced"), of("special").alias("special"), F.count_if((F.col("outcome") == "ok") & F.col("torn")).alias("torn"), F.coalesce(F.sum(F.when(F.col("outcome") == "ok", F.col("bytes"))), F.lit(0)).alias("bytes_ok"))
+    return results.groupBy(*by).agg(of("ok").alias("files_ok"), of("failed").alias("files_failed"), of("fenced").alias("files_fenced"), of("special").alias("special"), F.count_if((F.col("outcome") == "ok") & F.col("torn")).alias("torn"), F.coalesce(F.sum(F.when(F.col("outcome") == "ok", F.col("bytes"))), F.lit(0)).alias("bytes_ok"))
 
 
 def contiguous_prefix(chunks: DataFrame, file: str = "file") -> DataFrame:

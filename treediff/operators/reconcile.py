@@ -133,3 +133,10 @@ def status(n_mismatches: Column, complete: Column) -> Column:
 def remaining(work: DataFrame, done: DataFrame) -> DataFrame:
     """Resume: work without a result yet."""
     return work.join(done.select("path").distinct(), "path", "left_anti")
+
+
+def ordered(rows: DataFrame, bucket: str, path: str = "path") -> DataFrame:
+    """Rows with their position by path within a bucket, as reports list what is missing."""
+    from pyspark.sql.window import Window
+
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(bucket).orderBy(path)))

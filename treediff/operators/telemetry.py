@@ -50,6 +50,12 @@ def quantiles(hist: DataFrame, by: list[str], wanted: dict[str, float] | None =
     return out.select(*by, "n", "sum_us", "max_us", mean, *[value(k) for k in wanted])
 
 
+def window_quantiles(samples: DataFrame, by: list[str], width_us: int = 30_000_000, ts: str = "at_us", us: str = "duration_us") -> DataFrame:
+    """Histograms of each window of fixed width, with their quantiles: one shuffle of pre-aggregated buckets."""
+    start = (F.col(ts) - F.pmod(F.col(ts), F.lit(width_us).cast("long"))).alias("window_us")
+    return quantiles(histogram(samples.withColumn("window_us", start), [*by, "window_us"], us), [*by, "window_us"])
+
+
 def counter_steps(counters: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
     """Growth of cumulative counters from one row to the next, never below 0; the first row's growth is its value."""
     w = Window.partitionBy(*by).orderBy(order)

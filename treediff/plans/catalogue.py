@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from treediff.plans import jobs, trees
+from treediff.plans import control, jobs, trees
 
 
 def queries() -> dict:
-    return trees.QUERIES | jobs.QUERIES
+    return trees.QUERIES | jobs.QUERIES | control.QUERIES
 
 
 def oracle_sql() -> dict:
-    return trees.SQL | jobs.SQL
+    return trees.SQL | jobs.SQL | control.SQL

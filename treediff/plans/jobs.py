@@ -181,14 +181,18 @@ _MOVES = f"""(kind <> 'JobCreated' AND phase IS NOT NULL AND ask IS NOT NULL AND
   OR ({_LEVEL("ask")} > 0 AND (phase = 'Paused' OR {_LEVEL("phase")} < {_LEVEL("ask")}))))"""
 
 
-@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq) AS n FROM ({LOG}) l),
-  g AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::VARCHAR AS phase, 0::BIGINT AS ft, 0::BIGINT AS bt, 0::BIGINT AS fd, 0::BIGINT AS bd, 0::BIGINT AS et, 0::BIGINT AS cr, 0 AS tr, []::VARCHAR[] AS hist, []::VARCHAR[] AS aw, NULL::BIGINT AS last FROM r
+#: The fold of a job's events as a recursion: a row of g for each event, with the state behind it.
+FOLD = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY seq) AS n FROM ({LOG}) l),
+  g AS (SELECT DISTINCT job, 0::BIGINT AS n, NULL::VARCHAR AS phase, 0::BIGINT AS ft, 0::BIGINT AS bt, 0::BIGINT AS fd, 0::BIGINT AS bd, 0::BIGINT AS et, 0::BIGINT AS cr, 0 AS tr, []::VARCHAR[] AS hist, []::VARCHAR[] AS aw, NULL::BIGINT AS last, NULL::BIGINT AS "at" FROM r
   UNION ALL SELECT job, m, CASE WHEN kind = 'JobCreated' THEN 'Planned' WHEN moves THEN ask ELSE phase END, CASE WHEN kind = 'JobCreated' THEN files ELSE ft END, CASE WHEN kind = 'JobCreated' THEN bytes ELSE bt END,
     CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN fd + files WHEN kind = 'ProgressSync' THEN greatest(fd, files) ELSE fd END, CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN bd + bytes WHEN kind = 'ProgressSync' THEN greatest(bd, bytes) ELSE bd END,
     CASE WHEN made THEN 0 WHEN kind = 'ProgressDelta' THEN et + errors ELSE et END, CASE WHEN made THEN 0 WHEN kind = 'ClaimConflictResolved' THEN cr + 1 ELSE cr END, CASE WHEN made THEN 0 WHEN moves THEN tr + 1 ELSE tr END,
     CASE WHEN made THEN []::VARCHAR[] WHEN moves THEN list_append(hist, phase || '>' || ask || '@' || at_us)[-256:] ELSE hist END,
-    CASE WHEN made THEN []::VARCHAR[] WHEN kind = 'WorkerJoined' AND NOT list_contains(aw, worker) THEN list_append(aw, worker) ELSE aw END, seq
-  FROM (SELECT *, {_MOVES} AS moves FROM (SELECT g.job, g.phase, ft, bt, fd, bd, et, cr, tr, hist, aw, r.n AS m, r.kind, r.files, r.bytes, r.errors, r.at_us, r.worker, r.seq, r.kind = 'JobCreated' OR g.phase IS NULL AS made, {_ASKS} AS ask FROM g JOIN r ON r.job = g.job AND r.n = g.n + 1) x) y)
+    CASE WHEN made THEN []::VARCHAR[] WHEN kind = 'WorkerJoined' AND NOT list_contains(aw, worker) THEN list_append(aw, worker) ELSE aw END, seq, at_us
+  FROM (SELECT *, {_MOVES} AS moves FROM (SELECT g.job, g.phase, ft, bt, fd, bd, et, cr, tr, hist, aw, r.n AS m, r.kind, r.files, r.bytes, r.errors, r.at_us, r.worker, r.seq, r.kind = 'JobCreated' OR g.phase IS NULL AS made, {_ASKS} AS ask FROM g JOIN r ON r.job = g.job AND r.n = g.n + 1) x) y)"""
+
+
+@query(FOLD + """
 SELECT job, phase, ft AS files_total, bt AS bytes_total, fd AS files_done, bd AS bytes_done, et AS errors_total, cr AS conflicts_resolved, tr AS transitions, array_to_string(hist, ',') AS history, array_to_string(aw, ',') AS assigned_workers, last AS last_seq
 FROM g WHERE phase IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job ORDER BY n DESC) = 1""")
 def phase_fold(spark, d):

@@ -132,6 +132,38 @@ def manifest_errors(shards: DataFrame, total_rows: int, total_bytes: int, versio
     return each.unionByName(twice).unionByName(off)
 
 
+def verify_shards(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
+    """(path, why) of a manifest's shards that the files below root don't bear out: absent, or of another size, digest or number of rows.
+
+    Digests are read as streams on the executors; rows are counted from the files' footers.
+    """
+    base = _fs(spark, root)[1].toUri().getPath().rstrip("/") + "/"
+    own = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), base, -1)
+    found = digests(spark, root).select(own.alias("f_path"), F.col("sha256").alias("f_sha"), F.col("bytes").alias("f_bytes"), "error")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("f_rows")).select(own.alias("r_path"), "f_rows")
+    both = shards.join(found, F.col("path") == F.col("f_path"), "left").join(rows, F.col("path") == F.col("r_path"), "left")
+    why = F.array(
+        F.when(F.col("f_path").isNull(), "absent"), F.when(F.col("error").isNotNull(), "unreadable"), F.when(F.col("f_bytes") != F.col("bytes"), "size"), F.when(F.col("f_sha") != F.col("sha256"), "digest"),
+        F.when(F.col("f_path").isNotNull() & (F.coalesce("f_rows", F.lit(0)) != F.col("rows")), "rows"),
+    )
+    return both.select("path", F.explode(F.filter(why, lambda x: x.isNotNull())).alias("why"))
+
+
+def write_snapshot(snapshot: DataFrame, root: str, version: int, keep: int = 5) -> None:
+    """A snapshot of jobs under its version; one that exists isn't replaced; beyond the newest `keep`, old ones go."""
+    spark = snapshot.sparkSession
+    snapshot.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/snapshot-{version:020d}")
+    for old in [p for p in children(spark, root, "snapshot-*") if exists(spark, f"{p}/_SUCCESS")][:-keep]:
+        fs, p = _fs(spark, old)
+        fs.delete(p, True)
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The newest whole snapshot; an empty one where there is none."""
+    whole = [p for p in children(spark, root, "snapshot-*") if exists(spark, f"{p}/_SUCCESS")]
+    return spark.read.schema(schema).parquet(whole[-1]) if whole else spark.createDataFrame([], schema)
+
+
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """A small JSON file, written under a name of its own and renamed over its place: readers see the old one or the new one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from treediff.operators.events import EVENTS, JOBS, Job
+from treediff.sources import tables
 
 SCHEMA_VERSION = 1
 
@@ -20,9 +21,22 @@ def write_chunk(events: DataFrame, path: str, start_seq: int, job: str) -> None:
     events.coalesce(1).write.mode("errorifexists").json(f"{path}/job={job}/{start_seq:020d}")
 
 
+def chunks_since(starts: list[int], after: int) -> list[int]:
+    """Of a route's chunks by their first seq: all but those whose successor starts at or before `after`."""
+    order = sorted(starts)
+    return [s for s, then in zip(order, [*order[1:], None]) if then is None or then > after]
+
+
 def read_log(spark: SparkSession, path: str, after: int = 0, job: str | None = None) -> DataFrame:
-    """The log as a table in order of seq; a job's events are one partition folder, so others aren't read."""
-    rows = spark.read.schema(EVENTS + ", schema_version int").option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(f"{path}/job={job}" if job else path)
+    """The log as a table in order of seq; other jobs' folders and chunks that end before `after` aren't read."""
+    found = []
+    for folder in [f"{path}/job={job}"] if job else tables.children(spark, path, "job=*"):
+        names = {int(p.rstrip("/").rsplit("/", 1)[1]): p for p in tables.children(spark, folder, "[0-9]*")}
+        found += [names[s] for s in chunks_since(list(names), after)]
+    schema = EVENTS + ", schema_version int"
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(found)
     newer = F.coalesce(F.col("schema_version") > SCHEMA_VERSION, F.lit(False))
     checked = rows.withColumn("seq", F.when(newer, F.raise_error(F.concat(F.lit("event of a newer schema: "), F.col("seq").cast("string"))).cast("long")).otherwise(F.col("seq")))
     return checked.where(F.col("seq") > after).orderBy("seq")
@@ -33,8 +47,61 @@ def stream_log(spark: SparkSession, path: str, chunks: int = 100) -> DataFrame:
 
 
 def fresh(events: DataFrame) -> DataFrame:
-    """Each seq once: the reader's position decides what is new, the state only guards against repeated chunks."""
-    return events.dropDuplicates(["seq"])
+    """Each event once, by a high-water mark: a job's chunks come in order of seq, so the state is one number a job, however long the log."""
+    names = events.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.get[0] if state.exists else -1
+        rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("seq")
+        rows = rows[rows["seq"] > mark]
+        if len(rows):
+            state.update((int(rows["seq"].iloc[-1]),))
+            yield rows[names]
+
+    return events.groupBy("job").applyInPandasWithState(step, events.schema, "mark long", "append", GroupStateTimeout.NoTimeout)
+
+
+CAPPED = "job string, worker string, seq long, edge string, files long, bytes long, at_us long"
+
+
+def capped(events: DataFrame, width_ms: int = 1000) -> DataFrame:
+    """Progress frames of a live view: one at once, then what comes within the interval summed up behind it.
+
+    State: the last frame's time and the retained sums, by job and worker. Retained
+    sums go out when the interval has passed, by an event or by the timer; every
+    delta is in one frame or retained.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, seq, files, n, at = state.get if state.exists else (None, None, 0, 0, None)
+        out = []
+
+        def drain() -> None:
+            nonlocal seq, files, n
+            if seq is not None:
+                out.append((*key, seq, "trailing", files, n, at))
+            seq, files, n = None, 0, 0
+
+        if state.hasTimedOut:
+            drain()
+        else:
+            for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+                f, b = (0 if pd.isna(x) else int(x) for x in (e.files, e.bytes))
+                if opened is None or e.at_us - opened >= width_ms * 1000:
+                    drain()
+                    opened, at = int(e.at_us), int(e.at_us)
+                    out.append((*key, int(e.seq), "leading", f, b, opened))
+                else:
+                    seq, files, n, at = int(e.seq), files + f, n + b, int(e.at_us)
+        state.update((opened, seq, files, n, at))
+        if seq is not None:
+            state.setTimeoutDuration(width_ms)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CAPPED.split(", ")])
+
+    rows = events.where("kind = 'ProgressDelta' and job is not null and worker is not null")
+    kept = "opened long, seq long, files long, bytes long, at_us long"
+    return rows.groupBy("job", "worker").applyInPandasWithState(step, CAPPED, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def jobs(events: DataFrame) -> DataFrame:
