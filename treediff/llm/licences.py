@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import read
+from treediff.llm.common import column, read, stash
 from treediff.llm.quality import let
 
 THRESHOLD = 0.8
@@ -50,7 +50,7 @@ def bigrams(w: Column) -> Column:
 
 def numbered(g: Column) -> Column:
     """The sorted bigrams, each with how often it has come: the intersection of two such arrays is that of the bags."""
-    return let(F.array_sort(g), lambda xs: F.transform(xs, lambda x, i: F.concat_ws("#", x, (i + 2 - F.array_position(xs, x)).cast("string"))))
+    return let(F.sort_array(g), lambda xs: F.transform(xs, lambda x, i: F.concat_ws("#", x, (i + 2 - F.array_position(xs, x)).cast("string"))))
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -83,17 +83,20 @@ def with_bounds(templates: DataFrame, threshold: float) -> DataFrame:
 
 
 def in_one_row(templates: DataFrame, threshold: float) -> DataFrame:
-    """All templates that have bigrams, and the words of which every text with a matching window has one.
+    """All templates that have bigrams, and all their words.
 
-    A window that matches shares `low` of a template's b bigrams at least, so it
-    has one of any b - low + 1 of them: the anchors, those with the longest words.
+    A window that matches shares `low` of a template's b bigrams at least. So it
+    has one of any b - low + 1 of them, the anchors: those with the longest words.
+    And as words that are absent spoil at least as many bigrams, it has `need` of
+    the template's distinct words: all but b - low.
     """
     t = with_bounds(templates, threshold)
     longest = lambda g: F.array_max(F.transform(F.split(g, " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
     by_length = F.sort_array(F.transform("g", lambda g: F.struct(longest(g).alias("l"), g.alias("g"))), asc=False)
     t = t.withColumn("a", F.slice(by_length, F.lit(1), F.col("b") - F.col("low") + 1))
-    t = t.select(F.struct("licence", "g", "bag", "b", "low", "high", F.col("a.g").alias("anchors")).alias("t"), F.transform("a", lambda x: x["l"]["x"]).alias("words"))
-    return t.agg(F.sort_array(F.collect_list("t")).alias("ts"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("anchor_words"))
+    t = t.withColumn("words", F.array_distinct("w")).withColumn("need", F.greatest(F.size("words") - F.col("b") + F.col("low"), F.lit(1)))
+    t = t.select(F.struct("licence", "g", "bag", "b", "low", "high", F.col("a.g").alias("anchors"), "words", "need").alias("t"), "words", "need")
+    return t.agg(F.sort_array(F.collect_list("t")).alias("ts"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("all_words"), F.min("need").alias("least"))
 
 
 def apart(found: Column) -> Column:
@@ -146,20 +149,28 @@ def windows_of(g: Column, t: Column, threshold: float) -> Column:
     return let(hits, lambda h: F.when(F.size(h) >= t["low"], let(kinds(h), lambda back: found(h, back))).otherwise(none))
 
 
-def scan_windows(docs: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+def candidates(docs: DataFrame, one: DataFrame) -> DataFrame:
+    """doc_id, text and hits (words that some template has) of the texts that have enough distinct words of a template for any unit or window to match it."""
+    hits = F.array_intersect(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), F.col("all_words"))
+    words = F.transform("ts", lambda t: F.struct(t["words"].alias("words"), t["need"].alias("need"))).alias("ts")
+    near = docs.join(F.broadcast(one.select(words, "all_words", "least"))).select("doc_id", "text", hits.alias("hits"), "ts", "least")
+    near = near.where((F.size("hits") >= F.col("least")) & F.exists("ts", lambda t: F.size(F.array_intersect(t["words"], F.col("hits"))) >= t["need"]))
+    return stash(near.select("doc_id", "text", "hits"), "licence-candidates")
+
+
+def scan_windows(docs: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
     """doc_id, line (of the first word), licence, dice: windows of consecutive words, across lines, that match a template.
 
-    Windows don't overlap: those that share the most bigrams come first. Those
+    docs: what `candidates` gives; one: all templates. Windows don't overlap: those that share the most bigrams come first. Those
     inside a line or text that itself matches are left out, as that has its row.
     """
-    one = in_one_row(templates, threshold)
 
     def matches(w: Column, ts: Column) -> Column:
         alike = lambda t: let(let(bigrams(w), numbered), lambda bag: 2.0 * F.size(F.array_intersect(t["bag"], bag)) / (t["b"] + F.size(bag))) >= threshold
         return F.exists(F.filter(ts, lambda t: (F.size(w) > t["low"]) & (F.size(w) <= t["high"] + 1)), alike)
 
     def rows(lines: Column, w: Column, g: Column, ts: Column) -> Column:
-        near = F.filter(ts, lambda t: F.arrays_overlap(t["anchors"], g))
+        near = F.filter(F.filter(ts, lambda t: F.size(F.array_intersect(t["words"], F.col("hits"))) >= t["need"]), lambda t: F.arrays_overlap(t["anchors"], g))
         found = F.flatten(F.transform(near, lambda t: windows_of(g, t, threshold)))
         ranked = F.sort_array(F.transform(found, lambda x: F.struct(x["shared"].alias("shared"), x["d"].alias("d"), x["licence"].alias("licence"), x["s"].alias("s"), x["e"].alias("e"))))
 
@@ -171,7 +182,7 @@ def scan_windows(docs: DataFrame, templates: DataFrame, threshold: float) -> Dat
 
         return let(let(ranked, apart), place)
 
-    near = docs.join(F.broadcast(one), F.arrays_overlap(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), F.col("anchor_words")))
+    near = docs.join(F.broadcast(one.select("ts")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: normal_words(x))
     all_of = let(lines, lambda ls: let(F.flatten(ls), lambda w: F.when(F.size(w) >= 2, let(bigrams(w), lambda g: rows(ls, w, g, F.col("ts"))))))
     return near.select("doc_id", F.explode(all_of).alias("x")).select("doc_id", "x.line", "x.licence", "x.dice")
@@ -185,8 +196,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     compared; ties go to the licence whose name comes first. Units
     of fewer than two words (null and empty texts too) match nothing. Repeated
     rows give repeated rows; an empty table gives none; extra columns aren't
-    read. Only the templates are joined, by size, and for windows all in one
-    broadcast row: texts aren't shuffled.
+    read. Texts that lack the words that every match with some template needs are
+    left out first; the rest, usually few, are written once and read for units
+    and for windows. Only the templates are joined: texts aren't shuffled.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
     sizes = by_size(templates, threshold)
@@ -195,8 +207,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     if small:
         sizes = F.broadcast(sizes)
     fits = lambda w: (F.size(w) > (low or 0)) & (F.size(w) <= (high or 0) + 1)
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: normal_words(x))
-    body = docs.select(F.col(key).alias("doc_id"), lines.alias("lines"))
+    one = in_one_row(templates, threshold)
+    near = candidates(docs.select(column(docs, key).alias("doc_id"), F.coalesce(column(docs, text), F.lit("")).alias("text")), one)
+    body = near.select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: normal_words(x)).alias("lines"))
 
     def units(ls: Column) -> Column:
         total = F.aggregate(ls, F.lit(0), lambda n, x: n + F.size(x))
@@ -214,7 +227,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     u = u.select("doc_id", "line", F.array_min("found").alias("m")).select("doc_id", "line", "m.licence", (-F.col("m.d")).alias("dice"))
     if not small:
         raise ValueError(f"templates of more than {BROADCAST_BYTES} bytes can't be searched for in windows")
-    return u.unionByName(scan_windows(docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), templates, threshold))
+    return u.unionByName(scan_windows(near, one, threshold))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
