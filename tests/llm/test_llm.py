@@ -690,7 +690,7 @@ def test_pipeline_keeps_clean_documents(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
-@pytest.mark.parametrize("name", ["op2_licences", "op3_chat_format", "op4_quality_rules", "op5_substring_dedup", "op7_decontamination"])
+@pytest.mark.parametrize("name", ["op2_licences", "op3_chat_format", "op4_quality_rules", "op5_substring_dedup", "op7_decontamination", "op10_jump_shards"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 

@@ -14,4 +14,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licences": licences.SQL, "op3_chat_format": chat.SQL, "op4_quality_rules": quality.SQL, "op5_substring_dedup": substrings.SQL, "op7_decontamination": decontaminate.SQL}
+    return {"op2_licences": licences.SQL, "op3_chat_format": chat.SQL, "op4_quality_rules": quality.SQL, "op5_substring_dedup": substrings.SQL, "op7_decontamination": decontaminate.SQL, "op10_jump_shards": sharding.SQL}

@@ -76,3 +76,17 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
 def op10_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
+
+
+#: CRC-32 by a table of bytes, the jumps as a recursion in 128-bit integers.
+SQL = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (SELECT row_number() OVER () AS u, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT u, doc_id, (octet_length(b) + 1)::BIGINT AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d, t),
+g AS (SELECT u, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS k, 0::BIGINT AS j FROM d
+  UNION ALL SELECT u, k2, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (k2 // 8589934592 + 1)::DOUBLE))::BIGINT FROM (SELECT u, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM g WHERE j < 9) x),
+s AS (SELECT u, max(j) FILTER (j < 8)::INT AS shard, max(j) FILTER (j < 9)::INT AS grown_shard FROM g GROUP BY u)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ((coalesce(doc_id, 0) + text_crc32) % 1024 + 1024) % 1024, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM c JOIN s USING (u)
+"""
