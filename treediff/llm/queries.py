@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from treediff.llm import bpe, chat, decontaminate, licences, mixing, pieces, quality, sharding, simhash, substrings, toxicity
+from treediff.llm import alignment, bpe, chat, decontaminate, licences, mixing, pieces, quality, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
     found = (
         mixing.op1_mixing_scores, licences.op2_licences, chat.op3_chat_format, quality.op4_quality_rules, substrings.op5_substring_dedup,
         bpe.op6_bpe, decontaminate.op7_decontamination, toxicity.op8_toxicity, simhash.op9_simhash, sharding.op10_jump_shards,
-        pieces.op11_sentencepiece,
+        pieces.op11_sentencepiece, alignment.op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
