@@ -23,6 +23,8 @@ from treediff.llm.pieces import SPACE, binaries, joined, model, places, slices,
 
 #: White space beside a space, or a space at an end: such texts aren't cut into words.
 UNEVEN = "[\\pZ\\t-\\r\\x{1c}-\\x{1f}\\x{85}] | [\\pZ\\t-\\r\\x{1c}-\\x{1f}\\x{85}]|^ | $"
+#: Bytes of texts that are aligned together and make a block; a longer text is one alone.
+TOGETHER = 4_000_000
 #: Characters of words that the first tokenizer gets as one text.
 LINE = 20_000
 
@@ -227,7 +229,7 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = aligner(*[s.value for s in sources])
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), TOGETHER):
                 part = batch.slice(at, n)
                 found = use.align(part.column(1))
                 offsets, links = found.texts_links()
@@ -257,7 +259,7 @@ def _parts(sources):
         schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_links", pa.int64()), ("groups_sha256", pa.string()),
                             ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("held", pa.list_(pa.int64()))])
         for batch in batches:
-            for at, n in slices(batch.column(1)):
+            for at, n in slices(batch.column(1), TOGETHER):
                 part = batch.slice(at, n)
                 found = use.align(part.column(1))
                 pairs, own = np.unique(found.links, return_inverse=True)
@@ -296,8 +298,8 @@ def _sum_up(docs: pa.Table, counts: pa.Table) -> pa.Table:
 def count_links(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """COUNTED of each row of docs: its tokens, groups and links, how many of its links are the best for their second token, and the sum of their counts.
 
-    Links meet their counts by blocks: the texts of a slice (at most 16 MB, or one
-    text) share one list of distinct pairs, which is summed up over the corpus
+    Links meet their counts by blocks: the texts of a slice (at most TOGETHER
+    bytes, or one text) share one list of distinct pairs, which is summed up over the corpus
     and comes back to the block once. So what is shuffled goes with the blocks'
     distinct pairs and not with the links, a pair that every text has is one row
     a block, and no table is broadcast. Rows as in `align`.
