@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
-from collections.abc import Iterator
 from urllib.parse import urlparse
 
-import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treediff.functions import entries as E
 from treediff.operators.schema import CANONICAL, FORMAT_VERSION, check_rows, conform
+from treediff.sources import files
+from treediff.sources.files import digests, fs_of  # noqa: F401
 
 #: Fixed: fields of the line records.
 FAILURES = "row_id long, shard string, path_b64 string, error string, phase string, ts string"
@@ -26,18 +24,13 @@ CLAIMS = "host string, claimed_utc string, epoch long, state string"
 ROW_GROUP = 32 << 20
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = fs_of(spark, path)
     return fs.exists(p)
 
 
 def children(spark: SparkSession, path: str, pattern: str = "*") -> list[str]:
-    fs, p = _fs(spark, f"{path}/{pattern}")
+    fs, p = fs_of(spark, f"{path}/{pattern}")
     return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
 
 
@@ -91,30 +84,6 @@ def read_keep(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("row_id") if exists(spark, path) else spark.createDataFrame([], "row_id long")
 
 
-def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files in pieces of 8 MB; one that can't be read has an error in place of a digest."""
-    for batch in batches:
-        rows = []
-        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            digest, error = hashlib.sha256(), None
-            try:
-                store, name = FileSystem.from_uri(path)
-                with store.open_input_stream(name) as f:
-                    while piece := f.read(8 << 20):
-                        digest.update(piece)
-            except OSError as e:
-                error = str(e)
-            rows.append((path, None if error else digest.hexdigest(), length, error))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], ["path", "sha256", "bytes", "error"])
-
-
-def digests(spark: SparkSession, path: str, files_a_task: int = 1000) -> DataFrame:
-    """(path, sha256, bytes, error) of the files below a folder, read as streams on the executors: no file is ever a row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    tasks = max(1, min(10_000, files.count() // files_a_task + spark.sparkContext.defaultParallelism))
-    return files.repartition(tasks).mapInArrow(_hash_files, "path string, sha256 string, bytes long, error string")
-
-
 SHARDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 
 
@@ -137,9 +106,9 @@ def verify_shards(spark: SparkSession, root: str, shards: DataFrame) -> DataFram
 
     Digests are read as streams on the executors; rows are counted from the files' footers.
     """
-    base = _fs(spark, root)[1].toUri().getPath().rstrip("/") + "/"
+    base = fs_of(spark, root)[1].toUri().getPath().rstrip("/") + "/"
     own = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), base, -1)
-    found = digests(spark, root).select(own.alias("f_path"), F.col("sha256").alias("f_sha"), F.col("bytes").alias("f_bytes"), "error")
+    found = files.digests(spark, root).select(own.alias("f_path"), F.col("sha256").alias("f_sha"), F.col("bytes").alias("f_bytes"), "error")
     rows = spark.read.option("recursiveFileLookup", "true").parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("f_rows")).select(own.alias("r_path"), "f_rows")
     both = shards.join(found, F.col("path") == F.col("f_path"), "left").join(rows, F.col("path") == F.col("r_path"), "left")
     why = F.array(
@@ -154,7 +123,7 @@ def write_snapshot(snapshot: DataFrame, root: str, version: int, keep: int = 5)
     spark = snapshot.sparkSession
     snapshot.write.mode("errorifexists").option("compression", "zstd").parquet(f"{root}/snapshot-{version:020d}")
     for old in [p for p in children(spark, root, "snapshot-*") if exists(spark, f"{p}/_SUCCESS")][:-keep]:
-        fs, p = _fs(spark, old)
+        fs, p = fs_of(spark, old)
         fs.delete(p, True)
 
 
@@ -167,7 +136,7 @@ def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """A small JSON file, written under a name of its own and renamed over its place: readers see the old one or the new one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs, p = _fs(spark, path)
+    fs, p = fs_of(spark, path)
     side = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(side, False)
     out.write(bytearray(json.dumps(value, sort_keys=True), "utf-8"))
@@ -194,7 +163,7 @@ def commit_pass(spark: SparkSession, root: str, number: int, keep: int = 2) -> N
     passes = sorted((int(urlparse(p).path.rsplit("-", 1)[1]), p) for p in children(spark, root, "pass-*"))
     for n, p in passes:
         if n <= number - keep:
-            fs, q = _fs(spark, p)
+            fs, q = fs_of(spark, p)
             fs.delete(q, True)
 
 
