@@ -19,7 +19,7 @@ from treediff.llm.common import read
 #: Symbols up to which chunks of one length are merged side by side; longer ones have a heap each.
 SIDE_BY_SIDE = 40
 #: Bytes of texts that are encoded together; a longer text is encoded alone.
-TOGETHER = 16_000_000
+TOGETHER = 8_000_000
 #: The sign for a space inside models, and what stands for a byte that is no character.
 SPACE, LOST = "\u2581", "\ufffd"
 NONE = np.int64(2**62)
@@ -31,12 +31,12 @@ def places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, number of rows) of slices of at most TOGETHER bytes, or of one row."""
+def slices(texts: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of slices of at most that many bytes, or of one row."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, to - at
         at = to
 
