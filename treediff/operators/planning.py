@@ -218,7 +218,72 @@ def outcomes(results: DataFrame, *by: str) -> DataFrame:
     return results.groupBy(*by).agg(of("ok").alias("files_ok"), of("failed").alias("files_failed"), of("fenced").alias("files_fenced"), of("special").alias("special"), F.count_if((F.col("outcome") == "ok") & F.col("torn")).alias("torn"), F.coalesce(F.sum(F.when(F.col("outcome") == "ok", F.col("bytes"))), F.lit(0)).alias("bytes_ok"))
 
 
+#: Bytes of a file whose reads are ordered in one window.
+SPAN = 1 << 36
+
+
+def _intervals(reads: DataFrame, file: str) -> DataFrame:
+    """Reads with bytes (file, offset, length), each offset once with its longest read, and `before`: how far the reads before it reach.
+
+    The running maximum is taken within spans of a file, then over the spans'
+    maxima, so a file of any number of reads is no single task's.
+    """
+    span = F.floor(F.col("offset") / SPAN).cast("long")
+    one = reads.where("length > 0").groupBy(file, "offset").agg(F.max("length").alias("length")).withColumn("span", span)
+    within = Window.partitionBy(file, "span").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("here", F.max(F.col("offset") + F.col("length")).over(within))
+    spans = one.groupBy(F.col(file).alias("s_file"), F.col("span").alias("s_span")).agg(F.max(F.col("offset") + F.col("length")).alias("top"))
+    earlier = Window.partitionBy("s_file").orderBy("s_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("earlier", F.max("top").over(earlier)).drop("top")
+    on = F.col(file).eqNullSafe(F.col("s_file")) & (F.col("span") == F.col("s_span"))
+    before = F.greatest(F.coalesce("here", F.lit(0)), F.coalesce("earlier", F.lit(0)))
+    return one.join(spans, on).select(file, "offset", "length", before.alias("before"))
+
+
+def file_ends(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
+    """(file, end): the size, or where a read found the file's end before it (length 0)."""
+    short = reads.where("length = 0").groupBy(F.col(file).alias("e_file")).agg(F.min("offset").alias("short"))
+    both = sizes.join(short, F.col(file).eqNullSafe(F.col("e_file")), "left")
+    return both.select(F.col(file).alias("e_file"), F.least("size", F.coalesce("short", "size")).alias("end"))
+
+
+def gaps(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
+    """(file, offset, length) that is still to be read, in as few rows as there are holes.
+
+    reads: file, offset, wanted, length (bytes that came; 0: the file's end lay at
+    or before the offset), in any order, repeats and overlaps included; sizes:
+    file, size. A short read leaves the rest of what it wanted; a range that was
+    never asked for is a hole as well; nothing at or beyond the file's end is
+    asked for again. Files without reads are whole holes, empty ones none.
+    """
+    ends = file_ends(reads, sizes, file)
+    held = _intervals(reads, file).join(ends, F.col(file).eqNullSafe(F.col("e_file"))).where(F.col("offset") < F.col("end"))
+    inner = held.where(F.col("offset") > F.col("before")).select(file, F.col("before").alias("offset"), (F.col("offset") - F.col("before")).alias("length"))
+    reach = held.groupBy(F.col(file).alias("r_file")).agg(F.max(F.col("offset") + F.col("length")).alias("reach"))
+    last = ends.join(reach, F.col("e_file").eqNullSafe(F.col("r_file")), "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
+    last = last.where(F.col("reach") < F.col("end")).select(F.col("e_file").alias(file), F.col("reach").alias("offset"), (F.col("end") - F.col("reach")).alias("length"))
+    return inner.unionByName(last)
+
+
+def delivered(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
+    """(file, end, delivered, buffered, drained): bytes that can be written in order, bytes that wait behind a hole, and whether the file is done.
+
+    A read that begins before the file's end and crosses it counts whole, as its
+    bytes were there when they were read.
+    """
+    first = gaps(reads, sizes, file).groupBy(F.col(file).alias("g_file")).agg(F.min("offset").alias("hole"))
+    ends = file_ends(reads, sizes, file).join(first, F.col("e_file").eqNullSafe(F.col("g_file")), "left")
+    held = _intervals(reads, file).join(ends, F.col(file).eqNullSafe(F.col("e_file"))).where(F.col("offset") < F.col("end"))
+    top, fresh = F.col("offset") + F.col("length"), F.greatest(F.lit(0), F.col("offset") + F.col("length") - F.greatest("offset", "before"))
+    waits = F.col("hole").isNotNull() & (F.col("offset") >= F.col("hole"))
+    sums = held.groupBy(F.col(file).alias("h_file")).agg(F.max(F.when(~waits, top)).alias("delivered"), F.sum(F.when(waits, fresh)).alias("buffered"))
+    out = ends.join(sums, F.col("e_file").eqNullSafe(F.col("h_file")), "left")
+    return out.select(F.col("e_file").alias(file), "end", F.coalesce("delivered", F.lit(0)).alias("delivered"), F.coalesce("buffered", F.lit(0)).alias("buffered"), F.col("hole").isNull().alias("drained"))
+
+
 def contiguous_prefix(chunks: DataFrame, file: str = "file") -> DataFrame:
-    """Chunks (file, offset, length) that can be released: all before them are there."""
-    before = F.coalesce(F.sum("length").over(Window.partitionBy(file).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("released", before == F.col("offset"))
+    """Chunks (file, offset, length) with `released`: all bytes before them are there. Repeats and overlaps change nothing."""
+    held = _intervals(chunks, file)
+    hole = held.where(F.col("offset") > F.col("before")).groupBy(F.col(file).alias("h_file")).agg(F.min("before").alias("hole"))
+    rows = chunks.join(hole, F.col(file).eqNullSafe(F.col("h_file")), "left").drop("h_file")
+    return rows.withColumn("released", F.col("hole").isNull() | (F.col("offset") <= F.col("hole"))).drop("hole")
