@@ -56,7 +56,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
         prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,6 +155,24 @@ def links(prints: DataFrame) -> DataFrame:
     return rows.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_postings_to_edges, EDGES)
 
 
+def _grouped(docs: DataFrame, key: str, text: str, marked: bool) -> DataFrame:
+    """(doc_id, fp, component_id, root) and, if marked, a hash of the text (mark) of each row; root is a fingerprint of the component."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    mark = ["mark"] if marked else []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text")) if marked else rows
+    prints = rows.mapInArrow(_fingerprints, "doc_id long, fp long" + ", mark long" * marked)
+    each = stash(prints.select("doc_id", "fp", *mark, salt), "fingerprints")
+    salted = stash(each.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")), "salted")
+    distinct = stash(salted.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
+    roots = stash(components(links(distinct.select("fp"))), "roots")
+    groups = roots.join(distinct, roots.v == distinct.fp).groupBy("root").agg(F.min("first").alias("low"))
+    low = roots.join(groups, "root").select(F.col("v").alias("fp"), "low", "root")
+    of = distinct.join(low, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    of = salted.select("fp", "salt").join(of, "fp").select(F.col("fp").alias("p"), F.col("salt").alias("s"), "component_id", "root")
+    return each.join(of, (each.fp == of.p) & (each.salt == of.s)).select("doc_id", "fp", "component_id", "root", *mark)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp (signed long), component_id.
 
@@ -169,29 +187,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     and fingerprints meet by fingerprint and a salt of the row, so that the rows
     of a frequent one spread; it is repeated for the salts that its rows have.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
-    each = stash(fingerprints(docs, key, text).select("doc_id", "fp", salt), "fingerprints")
-    salted = stash(each.groupBy("fp", "salt").agg(F.min("doc_id").alias("first")), "salted")
-    distinct = stash(salted.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
-    roots = stash(components(links(distinct.select("fp"))), "roots")
-    groups = roots.join(distinct, roots.v == distinct.fp).groupBy("root").agg(F.min("first").alias("low"))
-    low = roots.join(groups, "root").select(F.col("v").alias("fp"), "low")
-    of = distinct.join(low, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    of = salted.select("fp", "salt").join(of, "fp").select(F.col("fp").alias("p"), F.col("salt").alias("s"), "component_id")
-    return each.join(of, (each.fp == of.p) & (each.salt == of.s)).select("doc_id", "fp", "component_id")
+    return _grouped(docs, key, text, False).drop("root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the smallest key of each component, equal copies (by key and text) of it once; rows without a key stay.
+    """Of each component one row of docs: the one of its smallest key (and there of the smallest hash of the text), equal rows once; rows without a key stay.
 
-    All columns of docs are carried, whatever their names. Null and blank texts
-    are near-duplicates of one another; an empty table gives no rows.
+    Keys may be shared by rows of different components: each row is judged by
+    its own component. All columns of docs are carried, whatever their names.
+    Null and blank texts are near-duplicates of one another; an empty table gives
+    no rows.
     """
     own = column(docs, key)
-    groups = near_duplicates(docs.where(own.isNotNull()).select(own.alias("doc_id"), column(docs, text).alias("text")))
-    (name,) = free_names(docs, "kept")
-    chosen = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(chosen, own == chosen[name], "left_semi")
+    groups = _grouped(docs.where(own.isNotNull()).select(own.alias("doc_id"), column(docs, text).alias("text")), "doc_id", "text", True)
+    name, hashed = free_names(docs, "kept", "hashed")
+    chosen = groups.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select(F.col("x.doc_id").alias(name), F.col("x.mark").alias(hashed)).distinct()
+    kept = docs.join(chosen, (own == chosen[name]) & (F.xxhash64(column(docs, text)) == chosen[hashed]), "left_semi")
     return kept.dropDuplicates([key, text]).unionByName(docs.where(own.isNull()))
 
 
