@@ -297,7 +297,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     Runs of windows travel to the bucket of their minimiser as compressed text;
     ranges of words come back by key and a 64-bit hash of the text, which keeps
-    apart different texts that have one key.
+    apart different texts that have one key; equal rows share one set of ranges.
     """
     n = partitions(docs.sparkSession)
     names = free_names(docs, "__n_words", "__n_removed", *([] if replace else ["__kept"]))
@@ -305,7 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     id_of, mark = F.coalesce(own.cast("long"), F.lit(0)), F.xxhash64(body, own.isNull())
     packed = docs.select(id_of.alias("doc_id"), mark.alias("mark"), body.alias("text")).mapInArrow(deal_out(window, m, n * BUCKETS), PACKED)
     ranges = packed.groupBy("bucket").applyInArrow(count_windows(window, m), RANGES)
-    ranges = ranges.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("h")).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = ranges.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("h")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     whole = docs.select(*[column(docs, c).alias(f"c{k}") for k, c in enumerate(docs.columns)], id_of.alias("id"), mark.alias("mark"))
     joined = whole.join(ranges, (whole["id"] == ranges["i"]) & (whole["mark"] == ranges["h"]), "left").drop("id", "mark", "i", "h")
     at, left = docs.columns.index(text), [c for c in docs.columns if carry_text or c != text]
