@@ -24,9 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one of the smallest doc_id.
 
-    Rows that share that id and its text stay once, rows that share the id and
-    have another text each stay; rows without an id all stay. Null and blank
-    texts are one component; an empty table gives no rows.
+    Rows that share that id and its text stay once; a row that shares the id and
+    is of another component is judged by its own; rows without an id all stay.
+    Null and blank texts are one component; an empty table gives no rows.
     """
     return simhash.keep_one(docs).select(*COLUMNS)
 
