@@ -112,3 +112,34 @@ def depth(path: Column) -> Column:
 
 def size_class(size: Column) -> Column:
     return F.when(size < 1 << 20, "small").when(size < 1 << 30, "medium").otherwise("large")
+
+
+def attributes(blob: Column) -> Column:
+    """Extended attributes packed as big-endian length and bytes, names and values in turn: struct(attrs: array<struct(name, value)>, error).
+
+    A null blob (not looked at) gives nulls, an empty one no attributes. Lengths
+    that reach beyond the end give an error, with the attributes before it. Each
+    attribute takes eight bytes at least, which bounds the steps.
+    """
+    size = F.octet_length(blob)
+    number = lambda at: F.conv(F.hex(F.substring(blob, at + 1, F.lit(4))), 16, 10).cast("long")
+    bytes_ = lambda at, n: F.substring(blob, (at + 1).cast("int"), n.cast("int"))
+    empty = F.array().cast("array<struct<name:binary,value:binary>>")
+    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("attrs"), F.lit(None).cast("string").alias("error"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        name_len = number(at.cast("int"))
+        value_at = at + 4 + name_len
+        value_len = number(value_at.cast("int"))
+        fault = (
+            F.when(at + 4 > size, "torn name length").when(value_at > size, "name beyond the end")
+            .when(value_at + 4 > size, "torn value length").when(value_at + 4 + value_len > size, "value beyond the end")
+        )
+        one = F.struct(bytes_(at + 4, name_len).alias("name"), bytes_(value_at + 4, value_len).alias("value"))
+        more = F.struct((value_at + 4 + value_len).alias("at"), F.concat(s["attrs"], F.array(one)).alias("attrs"), F.lit(None).cast("string").alias("error"))
+        bad = F.struct(at.alias("at"), s["attrs"].alias("attrs"), F.concat(fault, F.lit(" at byte "), at.cast("string")).alias("error"))
+        return F.when(s["error"].isNotNull() | (at >= size), s).when(fault.isNotNull(), bad).otherwise(more)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(size / 8).cast("int")))
+    return F.when(blob.isNotNull(), F.aggregate(steps, start, step, lambda s: F.struct(s["attrs"].alias("attrs"), s["error"].alias("error"))))

@@ -11,8 +11,12 @@ from treediff.functions import texts as X
 
 
 def tally(manifest: DataFrame, claims: DataFrame) -> DataFrame:
-    """One row of totals over a manifest (shard, rows, bytes) and its claims (shard, state); other runs' claims don't count."""
-    one = claims.groupBy(F.col("shard").alias("claimed")).agg(F.max("state").alias("state"))
+    """One row of totals over a manifest (shard, rows, bytes) and its claims (shard, state and, where a shard may have several, epoch).
+
+    The claim of the highest epoch counts, of equal ones the last by name; other runs' claims don't.
+    """
+    epoch = F.col("epoch") if "epoch" in claims.columns else F.lit(0)
+    one = claims.groupBy(F.col("shard").alias("claimed")).agg(F.max(F.struct(epoch.alias("epoch"), F.col("state").alias("state")))["state"].alias("state"))
     rows = manifest.join(one, F.col("shard") == F.col("claimed"), "left")
     of = lambda s: F.count_if(F.col("state") == s)
     done = lambda c: F.coalesce(F.sum(F.when(F.col("state") == "completed", F.col(c))), F.lit(0))

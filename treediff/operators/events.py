@@ -149,13 +149,23 @@ def snapshot_jobs(events: DataFrame) -> DataFrame:
     return _fold(_without_runs(events.where("job is not null")), SNAPSHOTS, last)
 
 
-def replay(snapshot: DataFrame, events: DataFrame) -> DataFrame:
-    """The state of each job by a snapshot and the events behind its last_seq; events that the snapshot has seen change nothing."""
+def _replayed(snapshot: DataFrame, events: DataFrame, schema: str, finish) -> DataFrame:
     marks = snapshot.select(F.col("job").alias("s_job"), F.col("last_seq").alias("mark"))
     rows = events.where("job is not null").join(marks, F.col("job") == F.col("s_job"), "left").where("mark is null or seq > mark").drop("s_job", "mark")
     start = snapshot.select("job", F.col("last_seq").alias("seq"), F.lit(SNAPSHOT).alias("kind"), F.lit(0).cast("long").alias("at_us"), F.col("state").alias("reason"))
     names = [c.split()[0] for c in EVENTS.split(", ")]
-    return _fold(_without_runs(rows.select(*names)).unionByName(start, allowMissingColumns=True), JOBS, lambda job, state: [state.row(job)])
+    return _fold(_without_runs(rows.select(*names)).unionByName(start, allowMissingColumns=True), schema, finish)
+
+
+def replay(snapshot: DataFrame, events: DataFrame) -> DataFrame:
+    """The state of each job by a snapshot and the events behind its last_seq; events that the snapshot has seen change nothing."""
+    return _replayed(snapshot, events, JOBS, lambda job, state: [state.row(job)])
+
+
+def advance(snapshot: DataFrame, events: DataFrame) -> DataFrame:
+    """The snapshot that a later one replaces it by: (job, last_seq, state) after the events behind it."""
+    last = lambda job, state: [{"job": job, "last_seq": state.s["last_seq"], "state": json.dumps(state.s)}]
+    return _replayed(snapshot, events, SNAPSHOTS, last)
 
 
 def progress_syncs(events: DataFrame, tick_us: int = 1_000_000) -> DataFrame:

@@ -80,10 +80,6 @@ def pending(failures: DataFrame, downgrades: DataFrame) -> DataFrame:
     return failures.select("path_b64").unionByName(torn.select("path_b64")).distinct().select(F.unbase64("path_b64").alias("path"))
 
 
-def read_keep(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("row_id") if exists(spark, path) else spark.createDataFrame([], "row_id long")
-
-
 SHARDS = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("sha256", T.StringType())])
 
 

@@ -31,7 +31,7 @@ def read_log(spark: SparkSession, path: str, after: int = 0, job: str | None = N
     """The log as a table in order of seq; other jobs' folders and chunks that end before `after` aren't read."""
     found = []
     for folder in [f"{path}/job={job}"] if job else tables.children(spark, path, "job=*"):
-        names = {int(p.rstrip("/").rsplit("/", 1)[1]): p for p in tables.children(spark, folder, "[0-9]*")}
+        names = {int(p.rstrip("/").rsplit("/", 1)[1].removeprefix("start=")): p for p in tables.children(spark, folder, "*[0-9]")}
         found += [names[s] for s in chunks_since(list(names), after)]
     schema = EVENTS + ", schema_version int"
     if not found:
@@ -47,18 +47,28 @@ def stream_log(spark: SparkSession, path: str, chunks: int = 100) -> DataFrame:
 
 
 def fresh(events: DataFrame) -> DataFrame:
-    """Each event once, by a high-water mark: a job's chunks come in order of seq, so the state is one number a job, however long the log."""
+    """Each event once, by a high-water mark: a job's chunks come in order of seq, so the state is two numbers a job, however long the log.
+
+    What arrives at or below its job's mark in a later batch is taken for a
+    repeat and dropped: a writer must not bring a job's chunks out of order.
+    `dropped` tells how many there were.
+    """
     names = events.columns
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.get[0] if state.exists else -1
+        mark, gone = state.get if state.exists else (-1, 0)
         rows = pd.concat(list(batches)).sort_values("seq").drop_duplicates("seq")
-        rows = rows[rows["seq"] > mark]
-        if len(rows):
-            state.update((int(rows["seq"].iloc[-1]),))
-            yield rows[names]
+        new = rows[rows["seq"] > mark]
+        state.update((int(new["seq"].iloc[-1]) if len(new) else mark, gone + len(rows) - len(new)))
+        if len(new):
+            yield new[names]
+
+    return events.groupBy("job").applyInPandasWithState(step, events.schema, "mark long, dropped long", "append", GroupStateTimeout.NoTimeout)
+
 
-    return events.groupBy("job").applyInPandasWithState(step, events.schema, "mark long", "append", GroupStateTimeout.NoTimeout)
+def dropped(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(job, mark, dropped) of a stream of `fresh` events, from its state."""
+    return spark.read.format("statestore").load(checkpoint).select("key.job", "value.groupState.mark", "value.groupState.dropped")
 
 
 CAPPED = "job string, worker string, seq long, edge string, files long, bytes long, at_us long"
