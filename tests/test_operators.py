@@ -89,10 +89,19 @@ def test_excluded_directories_take_what_lies_below(spark):
     rows = [("/a", 2), ("/a/skip7", 2), ("/a/skip7/x", 1), ("/a/skip7/d/skip7", 2), ("/a/skip7/d/skip7/y", 1), ("/a/skip70", 2), ("/skip7", 1), ("/b/skip7\n", 2), ("/b/skip7\n/z", 1)]
     index = spark.createDataFrame([(p.encode(), t) for p, t in rows], "path binary, file_type int")
     want = {"/a", "/a/skip70", "/skip7", "/b/skip7\n", "/b/skip7\n/z"}
-    for limit in (canonical.BROADCAST_BYTES, 0):
-        old, canonical.BROADCAST_BYTES = canonical.BROADCAST_BYTES, limit
-        assert {bytes(r["path"]).decode() for r in canonical.exclude_directories(index, ["skip*7"]).collect()} == want
-        canonical.BROADCAST_BYTES = old
+    out = canonical.exclude_directories(index, ["skip*7", "no[!x]e"])
+    assert {bytes(r["path"]).decode() for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert canonical.exclude_directories(index, []).count() == len(rows) and canonical.exclude_directories(index, ["*"]).count() == 0
+
+
+def test_the_claim_of_the_highest_epoch_counts(spark):
+    manifest = spark.createDataFrame([("a", 1, 10), ("b", 2, 20), ("c", 3, 30)], "shard string, rows long, bytes long")
+    claims = spark.createDataFrame([("a", "failed", 1), ("a", "completed", 2), ("b", "completed", 1), ("b", "active", 3), ("x", "failed", 9)], "shard string, state string, epoch long")
+    got = coordination.tally(manifest, claims).first()
+    assert (got["completed"], got["failed"], got["active"], got["rows_completed"], got["all_terminal"]) == (1, 0, 1, 1, False)
+    assert coordination.tally(manifest, claims.where("epoch < 3").drop("epoch")).first()["failed"] == 1
 
 
 def test_diff_of_mostly_deleted_rows_has_one_shuffle_a_side(spark):

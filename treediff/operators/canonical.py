@@ -43,32 +43,20 @@ def canonicalise(raw: DataFrame, root: str, shard: Column, row: Column, strict:
     return raw.select(*[c.alias(k) for k, c in own.items()], *rest)
 
 
-#: Bytes of excluded paths up to which they are broadcast.
-BROADCAST_BYTES = 32 << 20
-
-
 def exclude_directories(index: DataFrame, patterns: list[str], path: str = "path") -> DataFrame:
     """The index without the directories whose name matches a glob, and without all below them.
 
-    Names of files and whole paths never match. Excluded directories are counted
-    by depth first (one row a depth comes to the driver); then, from the top down,
-    each depth's are one anti-join on the rows' ancestor of that depth: broadcast
-    where all of them are small, else dealt out by that ancestor.
+    Names of files and whole paths never match. In a tree every name above a
+    path's last one is a directory's, so each row is judged by its own path: one
+    scan, and nothing is joined or shuffled, whatever the depth. A directory that
+    the index itself doesn't list excludes what lies below it as well.
     """
     from treediff.functions.texts import glob_pattern
 
-    text = F.col(path).cast("string")
-    name = F.substring_index(text, "/", -1)
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | name.rlike(glob_pattern(p))
-    parts = F.split(text, "/")
-    gone = index.where((F.col("file_type") == 2) & hit).select(text.alias("gone"), F.size(parts).alias("depth")).distinct()
-    levels = gone.groupBy("depth").agg(F.sum(F.octet_length("gone") + 16).alias("bytes")).orderBy("depth").collect()
-    small = sum(r["bytes"] for r in levels) <= BROADCAST_BYTES
-    out = index
-    for r in levels:
-        at = gone.where(F.col("depth") == r["depth"]).select("gone")
-        above = F.when(F.size(parts) >= r["depth"], F.array_join(F.slice(parts, 1, r["depth"]), "/"))
-        out = out.join(F.broadcast(at) if small else at, above == F.col("gone"), "left_anti")
-    return out
+    if not patterns:
+        return index
+    pattern = "|".join(f"(?:{glob_pattern(p)})" for p in patterns)
+    names = F.split(F.col(path).cast("string"), "/")
+    above = F.exists(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))), lambda n: n.rlike(pattern))
+    own = (F.col("file_type") == 2) & F.element_at(names, -1).rlike(pattern)
+    return index.where(~F.coalesce(above | own, F.lit(False)))

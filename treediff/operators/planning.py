@@ -100,9 +100,12 @@ def interleave_by_parent(rows: DataFrame, shard: str = "shard", order: str = "ro
 
 
 def deepest_first(rows: DataFrame, shard: str = "shard") -> DataFrame:
-    """Directories with their depth and level: level 1 holds a shard's deepest ones."""
+    """Directories with their depth and level: level 1 holds a shard's deepest ones. Levels are numbered over the depths, not over the rows."""
     out = rows.where("file_type = 2").withColumn("depth", E.depth(F.col("path").cast("string")))
-    return out.withColumn("level", F.dense_rank().over(Window.partitionBy(shard).orderBy(F.desc("depth"))))
+    depths = out.groupBy(F.col(shard).alias("l_shard"), F.col("depth").alias("l_depth")).agg(F.count("*").alias("n")).drop("n")
+    levels = depths.withColumn("level", F.row_number().over(Window.partitionBy("l_shard").orderBy(F.desc("l_depth"))))
+    on = F.col(shard).eqNullSafe(F.col("l_shard")) & F.col("depth").eqNullSafe(F.col("l_depth"))
+    return out.join(levels, on).drop("l_shard", "l_depth")
 
 
 def hardlink_key() -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from treediff.plans import control, jobs, trees
+from treediff.plans import control, jobs, stores, trees
 
 
 def queries() -> dict:
-    return trees.QUERIES | jobs.QUERIES | control.QUERIES
+    return trees.QUERIES | jobs.QUERIES | control.QUERIES | stores.QUERIES
 
 
 def oracle_sql() -> dict:
-    return trees.SQL | jobs.SQL | control.SQL
+    return trees.SQL | jobs.SQL | control.SQL | stores.SQL
