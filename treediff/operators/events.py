@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,32 +91,45 @@ class Job:
         return {"job": job, **self.s, "history": ",".join(self.s["history"])}
 
 
-def _without_runs(events: DataFrame) -> DataFrame:
-    """A job's deltas between two other events as one delta: its sums, the first one's time and the last one's seq."""
-    order = Window.partitionBy("job").orderBy("seq")
-    delta = F.col("kind") == "ProgressDelta"
-    rows = events.withColumn("run", F.sum((~delta).cast("long")).over(order))
-    top = lambda c: F.least(F.sum(F.coalesce(F.when(delta, F.col(c)), F.lit(0)).cast("decimal(20,0)")), F.lit(TOP)).cast("long").alias(c)
-    deltas = rows.where(delta).groupBy("job", "run").agg(F.max("seq").alias("seq"), F.min_by("at_us", "seq").alias("at_us"), F.lit("ProgressDelta").alias("kind"), top("files"), top("bytes"), top("errors"))
-    return rows.where(~delta).drop("run").unionByName(deltas.drop("run"), allowMissingColumns=True)
-
-
 #: The kind of a row that sets a job's state instead of changing it; its reason is the state as JSON.
 SNAPSHOT = "Snapshot"
 SNAPSHOTS = "job string, last_seq long, state string"
 
 
+#: What a job's state is made of.
+FOLDED = ("seq", "at_us", "kind", "job", "worker", "files", "bytes", "errors", "to_phase", "mismatches", "reason")
+
+
+def _runs(df: pd.DataFrame) -> Iterator[dict]:
+    """Events of a sorted batch; a job's deltas between two other events come as one, with their sums, the first one's time and the last one's seq."""
+    cols = {c: df[c].to_numpy() for c in FOLDED}
+    n, delta, job = len(df), cols["kind"] == "ProgressDelta", cols["job"]
+    first = np.ones(n, bool)
+    first[1:] = ~delta[1:] | ~delta[:-1] | (job[1:] != job[:-1])
+    starts = np.flatnonzero(first)
+    ends, sums = np.append(starts[1:], n), {}
+    for c in ("files", "bytes", "errors"):
+        x = df[c].fillna(0)
+        rough = np.add.reduceat(x.to_numpy(np.float64), starts)  # tells where 64 bits don't hold the sum
+        sums[c] = np.where(rough >= float(TOP), TOP, np.add.reduceat(x.to_numpy(np.int64), starts))
+    for k, (i, to) in enumerate(zip(starts.tolist(), ends.tolist())):
+        e = {c: v[i] for c, v in cols.items()}
+        if delta[i]:
+            e["seq"] = cols["seq"][to - 1]
+            e |= {c: v[k] for c, v in sums.items()}
+        yield e
+
+
 def _fold(events: DataFrame, schema: str, finish, step=None) -> DataFrame:
     """Ordered folds over jobs: events are dealt out by job and sorted; each streams by with only its state in memory.
 
     finish(job, state) gives a job's last rows; step(job, state, event) those before an event.
     """
-    names = [c.split()[0] for c in EVENTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state, out = None, Job(), []
         for df in batches:
-            for e in df.to_dict("records"):
+            for e in df.to_dict("records") if step else _runs(df):
                 if e["job"] != now:
                     if state.s:
                         out += finish(now, state)
@@ -131,30 +145,29 @@ def _fold(events: DataFrame, schema: str, finish, step=None) -> DataFrame:
         if out:
             yield pd.DataFrame(out)
 
-    return events.select(*names).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, schema)
+    return events.select(*FOLDED).repartition("job").sortWithinPartitions("job", "seq").mapInPandas(run, schema)
 
 
 def fold_jobs(events: DataFrame) -> DataFrame:
     """The state of each created job after all events.
 
-    By windows, deltas between two other events become one, so the fold sees few
-    rows of a job. Events of jobs that were never created change nothing.
+    Deltas between two other events of a batch become one, so the fold takes few
+    steps. Events of jobs that were never created change nothing.
     """
-    return _fold(_without_runs(events.where("job is not null")), JOBS, lambda job, state: [state.row(job)])
+    return _fold(events.where("job is not null"), JOBS, lambda job, state: [state.row(job)])
 
 
 def snapshot_jobs(events: DataFrame) -> DataFrame:
     """(job, last_seq, state): what `replay` goes on from."""
     last = lambda job, state: [{"job": job, "last_seq": state.s["last_seq"], "state": json.dumps(state.s)}]
-    return _fold(_without_runs(events.where("job is not null")), SNAPSHOTS, last)
+    return _fold(events.where("job is not null"), SNAPSHOTS, last)
 
 
 def _replayed(snapshot: DataFrame, events: DataFrame, schema: str, finish) -> DataFrame:
     marks = snapshot.select(F.col("job").alias("s_job"), F.col("last_seq").alias("mark"))
     rows = events.where("job is not null").join(marks, F.col("job") == F.col("s_job"), "left").where("mark is null or seq > mark").drop("s_job", "mark")
     start = snapshot.select("job", F.col("last_seq").alias("seq"), F.lit(SNAPSHOT).alias("kind"), F.lit(0).cast("long").alias("at_us"), F.col("state").alias("reason"))
-    names = [c.split()[0] for c in EVENTS.split(", ")]
-    return _fold(_without_runs(rows.select(*names)).unionByName(start, allowMissingColumns=True), schema, finish)
+    return _fold(rows.select(*FOLDED).unionByName(start, allowMissingColumns=True), schema, finish)
 
 
 def replay(snapshot: DataFrame, events: DataFrame) -> DataFrame:
