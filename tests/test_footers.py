@@ -71,7 +71,7 @@ def test_footers_have_rows_groups_and_errors_without_reading_pages(spark, tmp_pa
     for root in (f"{tmp_path}/i", viewed(f"{tmp_path}/i")):
         found = {r["path"][-9:-8]: r for r in footers.read_footers(spark, root).collect()}
         found = {os.path.basename(r["path"])[0]: r for r in found.values()}
-        assert len(found) == 5 and found["a"]["rows"] == found["e"]["rows"] == 5 and found["b"]["rows"] == 0
+        assert footers.read_footers(spark, root).count() == 5 and len(found) == 5 and found["a"]["rows"] == found["e"]["rows"] == 5 and found["b"]["rows"] == 0
         assert [(g["rows"], g["first_id"], g["last_id"]) for g in found["a"]["groups"]] == [(2, 7 << 40, (7 << 40) + 1), (2, (7 << 40) + 2, (7 << 40) + 3), (1, (7 << 40) + 4, (7 << 40) + 4)]
         assert found["c"]["error"] and found["d"]["error"] and found["a"]["error"] is None
         wrong = {os.path.basename(r["path"]): (r["stamped"], r["first_id"]) for r in footers.wrong_shards(footers.read_footers(spark, root)).collect()}
@@ -181,3 +181,61 @@ def test_a_failing_part_leaves_the_others_committed_and_no_partial(spark, tmp_pa
     assert "part-00001.parquet" not in times(f"{tmp_path}/out")
     report = tables.read_json(spark, f"{tmp_path}/out/rewrite-report.json")
     assert report["complete"] is False
+
+
+WHO = {"run_id": "r1", "source": "nfs://a/x", "dest": "nfs://b/y"}
+
+
+def test_a_manifest_is_checked_whole(spark, tmp_path):
+    work = f"{tmp_path}/work"
+    assert tables.load_manifest(spark, work) is None
+    for k in range(3):
+        shard(f"{work}/shards/s{k}.parquet", rows=k, first=k << 40)
+    tables.write_manifest(spark, work, WHO, tables.shards_of(spark, f"{work}/shards"))
+    value, shards = tables.load_manifest(spark, work, WHO, f"{work}/shards")
+    assert (value["shards"], value["total_rows"]) == (3, 3) and {r["path"]: r["rows"] for r in shards.collect()} == {"s0.parquet": 0, "s1.parquet": 1, "s2.parquet": 2}
+    for key in WHO:
+        with pytest.raises(ValueError, match=f"manifest's {key}"):
+            tables.load_manifest(spark, work, WHO | {key: "other"})
+    shard(f"{work}/shards/s1.parquet", rows=2)
+    with pytest.raises(ValueError, match="s1.parquet: digest"):
+        tables.load_manifest(spark, work, WHO, f"{work}/shards")
+    os.remove(f"{work}/shards/s1.parquet")
+    with pytest.raises(ValueError, match="s1.parquet: absent"):
+        tables.load_manifest(spark, work, WHO, f"{work}/shards")
+    good = [("a", 2**62, 5, "0" * 64), ("b", 2**62, 5, "f" * 64)]
+    why = lambda rows, r, b: {x["why"] for x in tables.manifest_errors(spark.createDataFrame(rows, tables.SHARDS), r, b).collect()}
+    assert why(good, 2**63, 10) == {"totals overflow"} and why(good[:1], 2**62, 5) == set() and why([], 0, 0) == {"no shards"}
+    tables.write_json(spark, f"{work}/manifest.json", value | {"format_version": 9})
+    with pytest.raises(ValueError, match="format version 9"):
+        tables.load_manifest(spark, work)
+
+
+def test_failed_passes_go_aside_and_scans_go_once_a_manifest_stands(spark, tmp_path):
+    for k in (1, 2, 3):
+        spark.range(1).write.parquet(f"{tmp_path}/pass-{k}/index")
+    os.makedirs(f"{tmp_path}/scan/scans")
+    aside = tables.fail_pass(spark, str(tmp_path), 3, "20260101T000000Z")
+    assert not os.path.exists(f"{tmp_path}/pass-3") and os.path.exists(f"{aside}/index")
+    spark.range(1).write.parquet(f"{tmp_path}/pass-3/index")
+    tables.commit_pass(spark, str(tmp_path), 3)
+    assert sorted(os.listdir(tmp_path)) == sorted(["baseline.json", ".baseline.json.crc", os.path.basename(aside), "pass-2", "pass-3", "scan"]) or os.path.exists(aside)
+    with pytest.raises(ValueError, match="no manifest"):
+        tables.purge_scan(spark, str(tmp_path))
+    tables.write_json(spark, f"{tmp_path}/manifest.json", {})
+    assert tables.purge_scan(spark, str(tmp_path)) and not tables.purge_scan(spark, str(tmp_path)) and not os.path.exists(f"{tmp_path}/scan")
+
+
+def test_two_digests_in_one_reading(spark, tmp_path, viewed):
+    import hashlib
+
+    import xxhash
+
+    (tmp_path / "d").mkdir()
+    body = {"x": b"abc" * 1000, "empty": b""}
+    for k, v in body.items():
+        (tmp_path / "d" / k).write_bytes(v)
+    for root in (f"{tmp_path}/d", viewed(f"{tmp_path}/d")):
+        got = {os.path.basename(r["path"]): (r["sha256"], r["xxh3_128"], r["bytes"], r["error"]) for r in files.content_hashes(spark, root).collect()}
+        assert files.content_hashes(spark, root).count() == files.listed(spark, root).count() == 2
+        assert got == {k: (hashlib.sha256(v).hexdigest(), xxhash.xxh3_128_hexdigest(v), len(v), None) for k, v in body.items()}

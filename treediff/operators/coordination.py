@@ -24,6 +24,62 @@ def tally(manifest: DataFrame, claims: DataFrame) -> DataFrame:
     return out.withColumn("all_terminal", F.col("completed") + F.col("failed") == F.col("total_shards"))
 
 
+def reconcile_jobs(jobs: DataFrame, manifests: DataFrame, claims: DataFrame) -> DataFrame:
+    """(job, kind, files, bytes, reason): the events that heal and end jobs by what their shards' claims say.
+
+    jobs: job, phase, files_done, bytes_done; manifests: job, shard, rows, bytes;
+    claims: job, shard, state, epoch (of several, the highest epoch counts; those
+    of other shards don't). A job that is over gets none. A ProgressSync comes
+    where finished shards hold more rows or bytes than the job knows: progress
+    only ever rises, so it carries the larger of the two. Once all of a job's
+    shards are over, it is completed, or failed with the number of failed ones.
+    Sums stop at the largest long.
+    """
+    one = claims.groupBy(F.col("job").alias("c_job"), F.col("shard").alias("c_shard")).agg(F.max(F.struct(F.coalesce("epoch", F.lit(0)).alias("epoch"), F.col("state").alias("state")))["state"].alias("state"))
+    rows = manifests.join(one, (F.col("job") == F.col("c_job")) & (F.col("shard") == F.col("c_shard")), "left")
+    top = F.lit(2**63 - 1).cast("decimal(38,0)")
+    done = lambda c: F.least(F.coalesce(F.sum(F.when(F.col("state") == "completed", F.col(c).cast("decimal(20,0)"))), F.lit(0).cast("decimal(38,0)")), top).cast("long")
+    of = lambda s: F.count_if(F.col("state") == s)
+    sums = rows.groupBy(F.col("job").alias("t_job")).agg(F.count("*").alias("shards"), of("completed").alias("completed"), of("failed").alias("failed"), done("rows").alias("rows"), done("bytes").alias("bytes"))
+    live = jobs.where(~F.coalesce(D.is_terminal(F.col("phase")), F.lit(False))).join(sums, F.col("job") == F.col("t_job"))
+    files, n = F.greatest("rows", F.coalesce("files_done", F.lit(0))), F.greatest("bytes", F.coalesce("bytes_done", F.lit(0)))
+    rises = (F.col("rows") > F.coalesce("files_done", F.lit(0))) | (F.col("bytes") > F.coalesce("bytes_done", F.lit(0)))
+    event = lambda kind, files, n, reason: F.struct(F.lit(kind).alias("kind"), files.cast("long").alias("files"), n.cast("long").alias("bytes"), reason.cast("string").alias("reason"))
+    none, over = F.lit(None), F.col("completed") + F.col("failed") == F.col("shards")
+    why = F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("shards").cast("string"), F.lit(" shards failed"))
+    found = F.array(
+        F.when(rises, event("ProgressSync", files, n, none)),
+        F.when(over & (F.col("failed") == 0), event("JobCompleted", none, none, none)),
+        F.when(over & (F.col("failed") > 0), event("JobFailed", none, none, why)),
+    )
+    return live.select("job", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("e")).select("job", "e.*")
+
+
+def decide_claims(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Requests (shard, host, at, observed_tag) with their outcome and the epoch that a winner gets.
+
+    held: shard, state, epoch, claim_tag, stale (its owner is dead or its lease
+    is over). A free shard goes to its first request (acquired, epoch 1), the
+    others contend; a stale claim goes to the first request that has seen its tag
+    (won, one epoch more), the others lose the race; claims that are over stay,
+    and live ones are contended. First: by time, then host, then tag.
+    """
+    h = held.select(F.col("shard").alias("h_shard"), F.col("state").alias("h_state"), F.col("epoch").alias("h_epoch"), F.col("claim_tag").alias("h_tag"), F.col("stale").alias("h_stale"))
+    rows = requests.join(h, F.col("shard") == F.col("h_shard"), "left")
+    free = F.col("h_shard").isNull()
+    stale = ~free & (F.col("h_state") == "active") & F.coalesce("h_stale", F.lit(False))
+    fits = free | (stale & F.col("observed_tag").eqNullSafe(F.col("h_tag")))
+    rows = rows.withColumn("fits", fits)
+    first = F.row_number().over(Window.partitionBy("shard", "fits").orderBy("at", "host", "observed_tag")) == 1
+    rows = rows.withColumn("first", F.col("fits") & first)
+    outcome = (
+        F.when(free & F.col("first"), "acquired").when(free, "contended").when(F.col("h_state") != "active", F.concat(F.lit("over: "), "h_state"))
+        .when(F.col("first"), "won").when(stale, "lost_race").otherwise("contended")
+    )
+    epoch = F.when(F.col("first"), F.coalesce(F.col("h_epoch"), F.lit(0)) + 1).cast("long")
+    return rows.withColumns({"outcome": outcome, "new_epoch": epoch}).drop("h_shard", "h_state", "h_epoch", "h_tag", "h_stale", "fits", "first")
+
+
 def job_end(tallied: DataFrame) -> DataFrame:
     """The phase that a job with all shards terminal goes to."""
     return tallied.withColumn("ends_as", F.when(F.col("all_terminal") & (F.col("total_shards") > 0), F.when(F.col("failed") > 0, "Failed").otherwise("Completed")))

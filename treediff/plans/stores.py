@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from treediff.functions import entries as E
-from treediff.operators import frontier, planning
+from treediff.operators import coordination, frontier, planning
 from treediff.plans.proxies import INDEX, duck, views
 from treediff.sources import footers, keep
 
@@ -112,3 +112,37 @@ def attribute_blobs(spark, d):
     first = F.element_at("x.attrs", 1)
     return rows.select("p_partkey", F.col("x.error").isNotNull().alias("bad"), F.size("x.attrs").alias("attrs"), F.decode(first["name"], "UTF-8").alias("name"), F.decode(first["value"], "UTF-8").alias("value"), F.col("x.error").alias("error"))
 
+
+
+_CLAIMS = """SELECT 'j' || (l_suppkey % 40) AS job, l_orderkey AS shard, CASE WHEN l_suppkey % 40 = 3 AND l_partkey % 50 = 0 THEN 'failed' WHEN l_suppkey % 40 < 20 OR l_partkey % 3 > 0 THEN 'completed' ELSE 'active' END AS state, l_linenumber AS epoch
+  FROM lineitem WHERE l_suppkey % 40 < 38"""
+_SHARDS = "SELECT 'j' || (l_suppkey % 40) AS job, l_orderkey AS shard, sum(l_linenumber) AS rows, sum(l_partkey) AS bytes FROM lineitem GROUP BY l_suppkey % 40, l_orderkey"
+_JOBS = "SELECT 'j' || s_suppkey AS job, CASE s_suppkey % 5 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Paused' ELSE 'Copying' END AS phase, s_suppkey * 97 AS files_done, s_suppkey * 10 AS bytes_done FROM supplier WHERE s_suppkey < 40"
+
+
+def _of(spark, d, sql, *names):
+    for n in names:
+        sql = sql.replace(f"FROM {n}", "FROM {" + n + "}")
+    return spark.sql(sql, **{n: spark.read.parquet(f"{d}/{n}.parquet") for n in names})
+
+
+@query(f"""WITH c AS (SELECT job, shard, max(row(epoch, state))[2] AS state FROM ({_CLAIMS}) x GROUP BY job, shard),
+t AS (SELECT job, count(*) AS n, count(*) FILTER (state = 'completed') AS done, count(*) FILTER (state = 'failed') AS failed, coalesce(sum(rows) FILTER (state = 'completed'), 0)::BIGINT AS r, coalesce(sum(bytes) FILTER (state = 'completed'), 0)::BIGINT AS b FROM ({_SHARDS}) s LEFT JOIN c USING (job, shard) GROUP BY job),
+x AS (SELECT * FROM ({_JOBS}) j JOIN t USING (job) WHERE phase <> 'Completed')
+SELECT job, 'ProgressSync' AS kind, greatest(r, files_done) AS files, greatest(b, bytes_done) AS bytes, NULL AS reason FROM x WHERE r > files_done OR b > bytes_done
+UNION ALL SELECT job, CASE WHEN failed = 0 THEN 'JobCompleted' ELSE 'JobFailed' END, NULL, NULL, CASE WHEN failed > 0 THEN failed || ' of ' || n || ' shards failed' END FROM x WHERE done + failed = n""")
+def reconciled_jobs(spark, d):
+    return coordination.reconcile_jobs(_of(spark, d, _JOBS, "supplier"), _of(spark, d, _SHARDS, "lineitem"), _of(spark, d, _CLAIMS, "lineitem"))
+
+
+_WANTED = "SELECT l_orderkey AS shard, 'h' || l_suppkey AS host, l_linenumber % 3 AS at, CASE WHEN l_partkey % 4 > 0 THEN 't' || (l_orderkey % 5) END AS observed_tag FROM lineitem"
+_HELD_CLAIMS = "SELECT o_orderkey AS shard, CASE o_custkey % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'active' END AS state, o_custkey % 9 AS epoch, 't' || (o_orderkey % 5) AS claim_tag, o_custkey % 4 > 0 AS stale FROM orders WHERE o_orderkey % 3 > 0"
+
+
+@query(f"""WITH x AS (SELECT w.*, h.state, h.epoch, h.stale, h.shard IS NULL AS free, h.shard IS NULL OR (h.state = 'active' AND h.stale AND w.observed_tag IS NOT DISTINCT FROM h.claim_tag) AS fits
+  FROM ({_WANTED}) w LEFT JOIN ({_HELD_CLAIMS}) h ON w.shard = h.shard),
+y AS (SELECT *, fits AND row_number() OVER (PARTITION BY shard, fits ORDER BY "at", host, observed_tag NULLS FIRST) = 1 AS f FROM x)
+SELECT shard, host, "at", observed_tag, CASE WHEN free AND f THEN 'acquired' WHEN free THEN 'contended' WHEN state <> 'active' THEN 'over: ' || state WHEN f THEN 'won' WHEN stale THEN 'lost_race' ELSE 'contended' END AS outcome,
+  CASE WHEN f THEN coalesce(epoch, 0) + 1 END AS new_epoch FROM y""")
+def decided_claims(spark, d):
+    return coordination.decide_claims(_of(spark, d, _WANTED, "lineitem"), _of(spark, d, _HELD_CLAIMS, "orders"))

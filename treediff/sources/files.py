@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
+import xxhash
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +53,11 @@ def contents(spark: SparkSession, path: str, pattern: str | None = None) -> Data
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     found = reader.load(path).withColumnRenamed("modificationTime", "modified")
-    names = {unquote(x) for x in found.inputFiles()}  # Spark's driver has listed them already
+    plain = lambda x: re.sub("^file:/+", "file:/", x)
+    names = {plain(unquote(x)) for x in found.inputFiles()}  # Spark's driver has listed them already
     if len(names) == found.select("path").count():
         return found
-    names -= {r["path"] for r in found.select("path").collect()}
+    names -= {plain(r["path"]) for r in found.select("path").collect()}
     times = {n: fs_of(spark, n)[0].getFileStatus(fs_of(spark, n)[1]).getModificationTime() / 1000 for n in names}
     empty = spark.createDataFrame([(n, 0, t, b"") for n, t in sorted(times.items())], "path string, length long, t double, content binary")
     return found.unionByName(empty.select("path", "length", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("modified"), "content"))
@@ -71,21 +74,47 @@ def spread(files: DataFrame, files_a_task: int = 1000) -> DataFrame:
     return files.repartition(tasks)
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files piece by piece; one that can't be read has an error in place of a digest."""
-    for batch in batches:
-        rows = []
-        for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            digest, error = hashlib.sha256(), None
-            try:
-                store, name = store_of(path)
-                with store.open_input_stream(name) as f:
-                    while piece := f.read(PIECE):
-                        digest.update(piece)
-            except (OSError, ValueError) as e:
-                error = str(e)
-            rows.append((path, None if error else digest.hexdigest(), length, error))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.string()))], ["path", "sha256", "bytes", "error"])
+HASHES = {"sha256": hashlib.sha256, "xxh3_128": xxhash.xxh3_128}
+
+
+def _pieces(path: str, body: bytes | None) -> Iterator[bytes]:
+    if body is not None:
+        yield body
+        return
+    store, name = store_of(path)
+    with store.open_input_stream(name) as f:
+        while piece := f.read(PIECE):
+            yield piece
+
+
+def _hash(names: tuple[str, ...]):
+    """Files piece by piece (or whole, where the reader has brought them); one that can't be read has an error in place of its digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, length, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found, error = [HASHES[n]() for n in names], None
+                try:
+                    for piece in _pieces(path, body.as_py()):
+                        for d in found:
+                            d.update(piece)
+                except (OSError, ValueError) as e:
+                    error = str(e)
+                rows.append((path, *[None if error else d.hexdigest() for d in found], length, error))
+            kinds = (pa.string(), *[pa.string()] * len(names), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", *names, "bytes", "error"])
+
+    return run
+
+
+def content_hashes(spark: SparkSession, path: str, names: tuple[str, ...] = ("sha256", "xxh3_128"), files_a_task: int = 1000) -> DataFrame:
+    """path, a digest by each of the names (of HASHES), bytes and error of the files below a folder, each read once."""
+    if streams(spark, path):
+        rows = spread(listed(spark, path), files_a_task).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    else:
+        rows = contents(spark, path).select("path", "length", "content")
+    return rows.mapInArrow(_hash(names), f"path string, {''.join(f'{n} string, ' for n in names)}bytes long, error string")
 
 
 def digests(spark: SparkSession, path: str, files_a_task: int = 1000) -> DataFrame:
@@ -95,7 +124,7 @@ def digests(spark: SparkSession, path: str, files_a_task: int = 1000) -> DataFra
     ever a row; else Spark's own reader brings them, one row a file.
     """
     if streams(spark, path):
-        return spread(listed(spark, path).drop("modified"), files_a_task).mapInArrow(_hash, "path string, sha256 string, bytes long, error string")
+        return content_hashes(spark, path, ("sha256",), files_a_task)
     return contents(spark, path).select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("error"))
 
 

@@ -22,6 +22,9 @@ DELETIONS = "path_b64 string, ts string"
 MISMATCHES = "path_b64 string, path_lossy string, kind string, expected string, actual string, detail string"
 CLAIMS = "host string, claimed_utc string, epoch long, state string"
 ROW_GROUP = 32 << 20
+TOP = 2**63 - 1
+#: Whose a manifest is.
+IDENTITY = ("run_id", "source", "dest")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -92,24 +95,81 @@ def manifest_errors(shards: DataFrame, total_rows: int, total_bytes: int, versio
     )
     each = shards.select("path", F.explode(F.filter(why, lambda x: x.isNotNull())).alias("why"))
     twice = shards.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("listed twice").alias("why"))
-    sums = shards.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("r"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
-    off = sums.where((F.col("r") != total_rows) | (F.col("b") != total_bytes)).select(F.lit(None).cast("string").alias("path"), F.lit("totals").alias("why"))
+    whole = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(0).cast("decimal(38,0)"))
+    sums = shards.agg(whole("rows").alias("r"), whole("bytes").alias("b"), F.count("*").alias("n"))
+    dec = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    over = (F.col("r") > dec(TOP)) | (F.col("b") > dec(TOP))
+    why = F.when(F.col("n") == 0, "no shards").when(over, "totals overflow").when((F.col("r") != dec(total_rows)) | (F.col("b") != dec(total_bytes)), "totals")
+    off = sums.select(F.lit(None).cast("string").alias("path"), why.alias("why")).where("why is not null")
     return each.unionByName(twice).unionByName(off)
 
 
+def write_manifest(spark: SparkSession, root: str, identity: dict, shards: DataFrame) -> dict:
+    """The manifest of the shards below root (path, rows, bytes, sha256), with their totals and whose they are: run_id, source, dest.
+
+    The list of shards is a table beside it, so that neither the driver nor one file holds them all.
+    """
+    shards.select(*[F.col(f.name).cast(f.dataType) for f in SHARDS]).write.mode("errorifexists").json(f"{root}/manifest-shards")
+    sums = read_shards(spark, root).agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("r"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    value = {"format_version": FORMAT_VERSION, **{k: identity[k] for k in IDENTITY}, "shards": sums["n"], "total_rows": sums["r"], "total_bytes": sums["b"]}
+    write_json(spark, f"{root}/manifest.json", value)
+    return value
+
+
+def read_shards(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(SHARDS).option("mode", "FAILFAST").json(f"{root}/manifest-shards")
+
+
+def shards_of(spark: SparkSession, folder: str) -> DataFrame:
+    """SHARDS of the Parquet files below a folder, named from there: digests from their bytes, rows from their footers."""
+    from treediff.sources import footers
+
+    base = urlparse(files.qualified(spark, folder)).path.rstrip("/") + "/"
+    own = lambda c: F.substring_index(F.regexp_replace(c, "^[a-z0-9]+:/*", "/"), base, -1)
+    foot = footers.read_footers(spark, folder).select(own("path").alias("f_path"), "rows")
+    found = digests(spark, folder).where(F.col("path").endswith(".parquet")).select(own("path").alias("path"), "bytes", "sha256")
+    return found.join(foot, F.col("path") == F.col("f_path"), "left").select("path", "rows", "bytes", "sha256")
+
+
+def load_manifest(spark: SparkSession, root: str, identity: dict | None = None, folder: str | None = None, shown: int = 10) -> tuple[dict, DataFrame] | None:
+    """(manifest, its shards) once all of it has been checked; None where there is none.
+
+    ValueError for another format version, for another run, source or destination
+    than `identity`, for shards that the rules of manifest_errors refuse, and,
+    with `folder`, for shards that the files below it don't bear out.
+    """
+    value = read_json(spark, f"{root}/manifest.json")
+    if value is None:
+        return None
+    if value["format_version"] != FORMAT_VERSION:
+        raise ValueError(f"manifest of format version {value['format_version']}")
+    if wrong := [k for k in IDENTITY if identity and value.get(k) != identity[k]]:
+        raise ValueError(f"the manifest's {wrong[0]} is {value.get(wrong[0])!r}, not {identity[wrong[0]]!r}")
+    shards = read_shards(spark, root)
+    bad = manifest_errors(shards, value["total_rows"], value["total_bytes"], value["format_version"])
+    if folder:
+        bad = bad.unionByName(verify_shards(spark, folder, shards))
+    found = bad.orderBy("path", "why").limit(shown + 1).collect()
+    if found:
+        raise ValueError("manifest: " + "; ".join(f"{r['path']}: {r['why']}" for r in found[:shown]) + (", and more" if len(found) > shown else ""))
+    return value, shards
+
+
 def verify_shards(spark: SparkSession, root: str, shards: DataFrame) -> DataFrame:
     """(path, why) of a manifest's shards that the files below root don't bear out: absent, or of another size, digest or number of rows.
 
-    Digests are read as streams on the executors; rows are counted from the files' footers.
+    Digests are read as streams on the executors; rows are those of the files' footers.
     """
+    from treediff.sources import footers
+
     base = fs_of(spark, root)[1].toUri().getPath().rstrip("/") + "/"
     own = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), base, -1)
     found = files.digests(spark, root).select(own.alias("f_path"), F.col("sha256").alias("f_sha"), F.col("bytes").alias("f_bytes"), "error")
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("f_rows")).select(own.alias("r_path"), "f_rows")
+    rows = footers.read_footers(spark, root).select(own.alias("r_path"), F.col("rows").alias("f_rows"))
     both = shards.join(found, F.col("path") == F.col("f_path"), "left").join(rows, F.col("path") == F.col("r_path"), "left")
     why = F.array(
         F.when(F.col("f_path").isNull(), "absent"), F.when(F.col("error").isNotNull(), "unreadable"), F.when(F.col("f_bytes") != F.col("bytes"), "size"), F.when(F.col("f_sha") != F.col("sha256"), "digest"),
-        F.when(F.col("f_path").isNotNull() & (F.coalesce("f_rows", F.lit(0)) != F.col("rows")), "rows"),
+        F.when(F.col("f_path").isNotNull() & F.col("f_sha").eqNullSafe(F.col("sha256")) & (F.coalesce("f_rows", F.lit(-1)) != F.col("rows")), "rows"),
     )
     return both.select("path", F.explode(F.filter(why, lambda x: x.isNotNull())).alias("why"))
 
@@ -163,5 +223,22 @@ def commit_pass(spark: SparkSession, root: str, number: int, keep: int = 2) -> N
             fs.delete(q, True)
 
 
+def fail_pass(spark: SparkSession, root: str, number: int, stamp: str) -> str:
+    """Move a pass that has failed aside, under a name that no pass has; returns it. Its number is free again."""
+    fs, p = fs_of(spark, f"{root}/pass-{number}")
+    to = f"{root}/failed-{number}-{stamp}"
+    if not fs.rename(p, fs_of(spark, to)[1]):
+        raise ValueError(f"pass {number} can't be moved to {to}")
+    return to
+
+
+def purge_scan(spark: SparkSession, root: str) -> bool:
+    """Delete the raw scan of a work folder, once a manifest of its shards stands; returns whether it did. An index can't be without either."""
+    if not exists(spark, f"{root}/manifest.json"):
+        raise ValueError(f"no manifest in {root}: its scan is still needed")
+    fs, p = fs_of(spark, f"{root}/scan")
+    return bool(fs.exists(p) and fs.delete(p, True))
+
+
 def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], CANONICAL)
