@@ -23,8 +23,9 @@ def jump_hash(key: Column, shards: int) -> Column:
     """The shard in [0, shards) of a 64-bit key, as published by Lamping and Veach.
 
     The generator's 64-bit arithmetic runs on decimal(38,0), which holds every
-    product exactly; at most `shards` steps are taken, rows that have landed
-    earlier keep their state. A null key counts as 0.
+    product exactly. A key takes about log(shards) steps: all keys take a few
+    more than that, and only those that haven't landed then go on, to `shards`
+    steps at most. A null key counts as 0.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -39,7 +40,11 @@ def jump_hash(key: Column, shards: int) -> Column:
         going = s["j"] < shards
         return F.struct(F.when(going, k).otherwise(s["k"]).alias("k"), F.when(going, s["j"]).otherwise(s["b"]).alias("b"), F.when(going, j).otherwise(s["j"]).alias("j"))
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step)
+    few = min(shards + 1, 12 + 2 * shards.bit_length())
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if few <= shards:
+        rest = F.sequence(F.lit(few + 1), F.lit(shards + 1))
+        end = F.element_at(F.transform(F.array(end), lambda s: F.when(s["j"] >= shards, s).otherwise(F.aggregate(rest, s, step))), 1)
     return F.aggregate(F.array(end), F.lit(0).cast("long"), lambda _, s: s["b"]).cast("int")
 
 
