@@ -11,8 +11,7 @@ from treediff.llm.common import column, read, stash
 from treediff.llm.quality import let
 
 THRESHOLD = 0.8
-#: Bytes of all templates up to which they are broadcast by size class, else joined by a shuffle. For windows all of
-#: them are one row, so more than this many can't be searched for in windows.
+#: Bytes of all templates at most: they are broadcast, which is checked before anything else runs. The notices here take 8 KB.
 BROADCAST_BYTES = 4 << 20
 #: Notices as their licences word them.
 NOTICES = {
@@ -198,14 +197,15 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     rows give repeated rows; an empty table gives none; extra columns aren't
     read. Texts that lack the words that every match with some template needs are
     left out first; the rest, usually few, are written once and read for units
-    and for windows. Only the templates are joined: texts aren't shuffled.
+    and for windows. Only the templates are joined: texts aren't shuffled, and
+    texts of any length are scanned whole. ValueError, before anything is read of
+    docs, for templates of more than BROADCAST_BYTES.
     """
     templates = default_templates(docs.sparkSession) if templates is None else templates
-    sizes = by_size(templates, threshold)
     low, high, n = with_bounds(templates, threshold).agg(F.min("low"), F.max("high"), F.sum(F.octet_length("text"))).first()
-    small = (n or 0) <= BROADCAST_BYTES
-    if small:
-        sizes = F.broadcast(sizes)
+    if (n or 0) > BROADCAST_BYTES:
+        raise ValueError(f"templates of {n} bytes, at most {BROADCAST_BYTES} can be searched for")
+    sizes = F.broadcast(by_size(templates, threshold))
     fits = lambda w: (F.size(w) > (low or 0)) & (F.size(w) <= (high or 0) + 1)
     one = in_one_row(templates, threshold)
     near = candidates(docs.select(column(docs, key).alias("doc_id"), F.coalesce(column(docs, text), F.lit("")).alias("text")), one)
@@ -225,8 +225,6 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id
     dice = lambda t: 2.0 * F.size(F.array_intersect(t["bag"], F.col("bag"))) / (t["b"] + F.col("a"))
     u = u.withColumn("found", F.filter(F.transform("ts", lambda t: F.struct((-dice(t)).alias("d"), t["licence"].alias("licence"))), lambda x: x["d"] <= -threshold)).where(F.size("found") > 0)
     u = u.select("doc_id", "line", F.array_min("found").alias("m")).select("doc_id", "line", "m.licence", (-F.col("m.d")).alias("dice"))
-    if not small:
-        raise ValueError(f"templates of more than {BROADCAST_BYTES} bytes can't be searched for in windows")
     return u.unionByName(scan_windows(near, one, threshold))
 
 
