@@ -185,7 +185,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), decoded (string) of each row of docs.
 
     path: the vocabulary file, read by the driver and broadcast (its size is the
-    vocabulary's). A null text counts as empty and has no ids. Repeated rows
+    vocabulary's). A null text counts as empty and has no ids; texts of any
+    length are encoded whole. Repeated rows
     give repeated rows; an empty table gives none; extra columns aren't read.
     """
     with open(path, encoding="utf-8") as f:

@@ -74,7 +74,8 @@ def format_branches(messages: DataFrame, best: int | None = 1, answer: str = "as
     ones of each tree (None: all) are returned as tree, leaf, rank, score,
     formatted, loss_spans (array of struct(start, length), code points from 0 in
     `formatted`: the texts whose role is `answer`). Ties go to the smaller leaf.
-    Null roles and texts count as empty, null scores as 0; nodes in or below a
+    Null roles and texts count as empty, null scores as 0, texts of any length
+    are formatted whole; nodes in or below a
     circle of parents have no root and give no branch; extra columns aren't
     read; an empty table gives no rows.
 
