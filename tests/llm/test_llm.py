@@ -696,6 +696,37 @@ def test_very_long_texts(spark):
     scores = {r["doc_id"]: r for r in mixing.score(docs).collect()}
     assert scores[1]["n_tokens"] == 90_001 and all(r["score"] < 0 for r in scores.values())
     assert licences.scan(docs).count() == 0
+    lib = __import__("tokenizers").Tokenizer.from_file(bpe.default_path())
+    lib.no_truncation(), lib.no_padding()
+    coded = {r["doc_id"]: (bytes(r["ids"]), r["decoded"]) for r in bpe.encode(docs, bpe.default_path()).collect()}
+    ids = lib.encode(long, add_special_tokens=False).ids
+    assert coded[1] == (b"".join(i.to_bytes(4, "little") for i in ids), lib.decode(ids, skip_special_tokens=False))
+    talk = spark.createDataFrame([(1, 0, "user", long + " </turn> \\"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    said = chat.format_branches(chat.linear_trees(talk)).withColumn("turns", chat.parse_turns(F.col("formatted"))).first()
+    assert [(t["role"], t["text"]) for t in said["turns"]] == [("user", long + " </turn> \\"), ("assistant", long)]
+    assert [said["formatted"][x["start"] : x["start"] + x["length"]] for x in said["loss_spans"]] == [long]
+    placed = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.shard_documents(docs).collect()}
+    assert placed == {k: (len(t.encode()) + 1, __import__("zlib").crc32(t.encode())) for k, t in rows}
+
+
+def test_jumps_stop_at_the_landing(spark):
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    for n in (1, 37, 1000):  # beyond 12 + 2 bits of steps only keys that are still going go on
+        rows = spark.range(2000).select("id", sharding.jump_hash(F.col("id") * 7919 - 9000, n).alias("x")).collect()
+        assert all(r["x"] == jump((r["id"] * 7919 - 9000) % 2**64, n) for r in rows)
+
+
+def test_too_many_templates_are_refused_first(spark, monkeypatch):
+    monkeypatch.setattr(licences, "BROADCAST_BYTES", 100)
+    bad = spark.range(1).select(F.raise_error(F.lit("read")).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError, match="at most 100"):
+        licences.scan(bad)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
