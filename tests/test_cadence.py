@@ -197,3 +197,53 @@ def test_attribute_blobs(spark):
             assert r["x"] is None
         else:
             assert ([(bytes(a["name"]), bytes(a["value"])) for a in r["x"]["attrs"]], r["x"]["error"]) == want
+
+
+def test_a_jobs_history_keeps_its_last_transitions(spark):
+    n = events.HISTORY * 3
+    rows = [(1, 1, "JobCreated"), (2, 2, "VerifyStarted")] + [(k, k, "JobPaused" if k % 2 else "JobResumed") for k in range(3, 3 + n)]
+    log_ = spark.createDataFrame([(*r, "j") for r in rows], "seq long, at_us long, kind string, job string")
+    for c in events.EVENTS.split(", "):
+        name, kind = c.split()
+        if name not in log_.columns:
+            log_ = log_.withColumn(name, F.lit(None).cast(kind))
+    got = events.fold_jobs(log_).first()
+    assert got["transitions"] == n + 1 and len(got["history"].split(",")) == events.HISTORY
+    assert got["history"].split(",")[-1] == f"{'Verifying>Paused' if (n + 2) % 2 else 'Paused>Verifying'}@{n + 2}"
+
+
+def test_events_of_a_newer_schema_fail_the_reading(spark, tmp_path):
+    rows_of(spark, 1, 3, jobs=1).withColumn("schema_version", F.when(F.col("seq") == 2, 2).otherwise(1)).coalesce(1).write.json(f"{tmp_path}/job=j0/{1:020d}")
+    with pytest.raises(Exception, match="event of a newer schema: 2"):
+        log.read_log(spark, str(tmp_path)).collect()
+
+
+def test_silent_workers_are_told_once_by_the_clock(spark, tmp_path):
+    src, told = f"{tmp_path}/src", []
+    put(spark, src, 1, 4)
+    q = log.silent(log.stream_log(spark, src), 3000).writeStream.foreachBatch(lambda b, _: told.extend(tuple(r) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="1 second").start()
+    assert until(lambda: told)
+    time.sleep(2)
+    q.stop()
+    assert told == [("w", "no heartbeat for 3s")]
+
+
+def test_progress_windows_sum_up_to_the_events(spark, tmp_path):
+    src = f"{tmp_path}/src"
+    put(spark, src, 1, 3000)
+    q = log.progress(log.stream_log(spark, src), "1 second", "0 seconds").writeStream.outputMode("complete").format("memory").queryName("progress_now").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = spark.table("progress_now").collect()
+    assert sum(r["files"] for r in rows) == 2998 and {r["window"]["start"].microsecond for r in rows} == {0} and len(rows) == 7
+
+
+def test_chunks_that_come_out_of_order_are_counted_as_dropped(spark, tmp_path):
+    src, seen = f"{tmp_path}/src", []
+    start = lambda: log.follow(log.fresh(log.stream_log(spark, src)), lambda b, _: seen.extend(r["seq"] for r in b.collect()), f"{tmp_path}/cp")
+    put(spark, src, 51, 60, jobs=1)
+    start().awaitTermination(120)
+    put(spark, src, 41, 55, jobs=1)
+    put(spark, src, 61, 62, jobs=1)
+    start().awaitTermination(120)
+    assert sorted(seen) == list(range(51, 63))
+    assert [tuple(r) for r in log.dropped(spark, f"{tmp_path}/cp").collect()] == [("j0", 62, 15)]
