@@ -390,3 +390,23 @@ def test_manifest_errors(spark):
     shards = spark.createDataFrame([good, good, ("../x", 1, 0, "zz")], tables.SHARDS)
     got = {(r["path"], r["why"]) for r in tables.manifest_errors(shards, 11, 21).collect()}
     assert got == {("a/b.parquet", "listed twice"), ("../x", "unsafe path"), ("../x", "no bytes"), ("../x", "sha256"), (None, "totals")}
+
+
+@pytest.mark.parametrize("cell, turns", [(20, 64), (2, 2), (4, 1)])
+def test_interleaving_by_cells_matches_a_loop(spark, monkeypatch, cell, turns):
+    monkeypatch.setattr(planning, "CELL", cell)
+    monkeypatch.setattr(planning, "TURNS", turns)
+    rng = random.Random(cell)
+    rows = [(s, k, f"/d{rng.choice([0, 0, 0, 1, 2, k % 50])}/f{k}") for s in (0, 1, None) for k in rng.sample(range(1000), 300)]
+    by = {}
+    for s, k, p in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        by.setdefault(s, {}).setdefault(p.split("/")[1], []).append(k)
+    want = {}
+    for s, dirs in by.items():
+        order = sorted((t, own[0], k) for own in dirs.values() for t, k in enumerate(own))
+        want |= {(s, k): n + 1 for n, (_, _, k) in enumerate(order)}
+    df = spark.createDataFrame(rows, "shard long, row_id long, path string").repartition(3)
+    assert {(r["shard"], r["row_id"]): r["position"] for r in planning.interleave_by_parent(df).collect()} == want
+    slots = {(r["shard"], r["row_id"]): r["slot"] for r in planning.placement(df, 4, (1,)).collect()}
+    ids = {s: sorted(k for own in d.values() for k in own) for s, d in by.items()}
+    assert slots == {(s, k): (0, 2, 3)[n % 3] for s, x in ids.items() for n, k in enumerate(x)}

@@ -87,16 +87,55 @@ def batch_records(batches: DataFrame, shard: str = "shard", order: str = "row_id
     return batches.groupBy(shard, "batch").agg(F.min(order).alias("row_first"), F.max(order).alias("row_last"), F.count("*").alias("files"), F.sum(size).alias("bytes"))
 
 
+#: Ids that one window orders at most, as a power of two; turns up to which a turn is cut by such cells.
+CELL, TURNS = 20, 64
+
+
+def _offsets(rows: DataFrame, by: list[str], cells: list[str], least: str | None = None) -> DataFrame:
+    """For each (by, cells) of rows how many rows of `by` lie in the cells before it; with `least`, the smallest of that column over `by` as first."""
+    whole = Window.partitionBy(*by)
+    aggs = [F.count("*").alias("n"), *([F.min(least).alias("first")] if least else [])]
+    out = rows.groupBy(*by, *cells).agg(*aggs)
+    out = out.withColumn("before", F.sum("n").over(whole.orderBy(*cells).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    return (out.withColumn("first", F.min("first").over(whole)) if least else out).drop("n")
+
+
+def _meet(rows: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    o = offsets.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[c for c in offsets.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    return rows.join(o, on).drop(*[f"o_{k}" for k in keys])
+
+
+def row_numbers(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """row_number over `by` in the order of a column of unique longs, numbered in cells of its values: no window holds more than a cell of a group."""
+    cut = rows.withColumn("cell", F.shiftright(order, CELL))
+    cut = _meet(cut.withColumn(name, F.row_number().over(Window.partitionBy(*by, "cell").orderBy(order))), _offsets(cut, by, ["cell"]), [*by, "cell"])
+    return cut.withColumn(name, (F.col("before") + F.col(name)).cast("long")).drop("cell", "before")
+
+
 def interleave_by_parent(rows: DataFrame, shard: str = "shard", order: str = "row_id") -> DataFrame:
     """Rows with `position`: one of each directory in turn, directories in the order of their first rows.
 
-    The turn of a row and its directory's first row are windows over one
-    directory; the final order is one over the shard, which is the unit of work.
+    A row's turn is its number in its directory, by cells of ids. The final
+    order, by turn and directory, is cut as well: a low turn by cells of the
+    directories' first rows, higher ones into 64 parts each time they double (a
+    directory has as many rows as its last turn says, so those parts hold a 64th
+    of a shard at most). The cells' and parts' counts are added up over a shard.
     """
-    parent = E.parent_dir(F.col("path").cast("string"))
-    by = Window.partitionBy(shard, "parent")
-    out = rows.withColumn("parent", parent).withColumn("turn", F.row_number().over(by.orderBy(order))).withColumn("first", F.min(order).over(by))
-    return out.withColumn("position", F.row_number().over(Window.partitionBy(shard).orderBy("turn", "first")))
+    by = [shard, "parent"]
+    out = rows.withColumn("parent", E.parent_dir(F.col("path").cast("string"))).withColumn("cell", F.shiftright(order, CELL))
+    turn = F.row_number().over(Window.partitionBy(*by, "cell").orderBy(order))
+    out = _meet(out.withColumn("turn", turn), _offsets(out, by, ["cell"], order), [*by, "cell"])
+    out = out.withColumn("turn", F.col("before") + F.col("turn")).drop("before", "cell")
+    low, level = F.col("turn") < TURNS, F.floor(F.log2(F.col("turn").cast("double"))).cast("int")
+    power = F.expr(f"shiftleft(1L, cast(floor(log2(cast(greatest(turn, {TURNS}) as double))) as int))")
+    part = TURNS + (level - TURNS.bit_length() + 1) * 64 + F.floor((F.col("turn") - power) * 64 / power)
+    out = out.withColumn("part", F.when(low, F.col("turn")).otherwise(part).cast("long")).withColumn("cell", F.when(low, F.shiftright("first", CELL)).otherwise(0))
+    at = F.row_number().over(Window.partitionBy(shard, "part", "cell").orderBy("turn", "first"))
+    out = _meet(out.withColumn("position", at), _offsets(out, [shard], ["part", "cell"]), [shard, "part", "cell"])
+    return out.withColumn("position", (F.col("before") + F.col("position")).cast("int")).withColumn("turn", F.col("turn").cast("int")).drop("before", "part", "cell")
 
 
 def deepest_first(rows: DataFrame, shard: str = "shard") -> DataFrame:
@@ -129,8 +168,8 @@ def placement(rows: DataFrame, connections: int, dead: tuple[int, ...] = (), ord
     live = [k for k in range(connections) if k not in dead]
     if not live:
         raise ValueError("no live connection")
-    turn = F.pmod(F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1, F.lit(len(live)))
-    return rows.withColumn("slot", F.element_at(F.array(*map(F.lit, live)), turn.cast("int") + 1))
+    turn = F.pmod(F.col("_turn") - 1, F.lit(len(live)))
+    return row_numbers(rows, [shard], order, "_turn").withColumn("slot", F.element_at(F.array(*map(F.lit, live)), turn.cast("int") + 1)).drop("_turn")
 
 
 def batch_audit(batches: DataFrame, shard: str = "shard", order: str = "row_id", size: str = "size") -> DataFrame:
