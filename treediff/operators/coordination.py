@@ -196,6 +196,32 @@ def ancestor_overlap(a: DataFrame, b: DataFrame, one_server: bool) -> DataFrame:
     return by_handle.unionByName(by_id)
 
 
+def prove_separation(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """pairs with their verdict, reason and, where the source's index decides, the path.
+
+    pairs: identity_overlap, handle_overlap, same_server, probe (visible, absent,
+    unknown) and the destination root's own fsid and fileid. What the roots
+    themselves allow on one server is looked up in the source's index (path,
+    file_type, inode, fsid): a directory of that fileid (and of that fsid, where
+    both are known) is the destination's root, so the copy would go into itself.
+    Of several the first path is named. The index is read once, for directories
+    alone, and meets the few roots by fileid.
+    """
+    own = D.separation(F.col("identity_overlap"), F.col("handle_overlap"), F.col("same_server"), F.col("probe"))
+    rows = pairs.withColumn("own", own)
+    wanted = rows.where((F.col("own") == "allow") & F.col("same_server") & F.col("fileid").isNotNull()).select(F.col("fileid").alias("w_fileid"), F.col("fsid").alias("w_fsid")).distinct()
+    dirs = index.where("file_type = 2").select(F.col("inode").cast("decimal(20,0)").alias("d_inode"), F.col("fsid").cast("decimal(20,0)").alias("d_fsid"), "path")
+    same = (F.col("d_inode") == F.col("w_fileid").cast("decimal(20,0)")) & F.coalesce(F.col("d_fsid") == F.col("w_fsid").cast("decimal(20,0)"), F.lit(True))
+    found = wanted.join(dirs, same).groupBy("w_fileid", "w_fsid").agg(F.min("path").alias("found"))
+    on = (F.col("own") == "allow") & F.col("same_server") & (F.col("fileid") == F.col("w_fileid")) & F.col("fsid").eqNullSafe(F.col("w_fsid"))
+    both = rows.join(found, on, "left")
+    why = (
+        F.when(F.col("identity_overlap"), "one directory by identity").when(F.col("handle_overlap") & F.col("same_server"), "one directory by handle")
+        .when(F.col("own") == "refuse", F.concat(F.lit("equal handles, probe "), F.coalesce("probe", F.lit("unknown")))).when(F.col("found").isNotNull(), "the destination's root lies in the source")
+    )
+    return both.withColumns({"verdict": F.when(why.isNull(), "allow").otherwise("refuse"), "reason": why}).drop("own", "w_fileid", "w_fsid")
+
+
 def checkpoints(inputs: DataFrame, done: DataFrame) -> DataFrame:
     """Inputs and checkpoints (part, fingerprint) by state: done, to_do (none), changed (another fingerprint), orphan (no input)."""
     d = done.select(F.col("part").alias("d_part"), F.col("fingerprint").alias("d_print"))

@@ -146,3 +146,17 @@ SELECT shard, host, "at", observed_tag, CASE WHEN free AND f THEN 'acquired' WHE
   CASE WHEN f THEN coalesce(epoch, 0) + 1 END AS new_epoch FROM y""")
 def decided_claims(spark, d):
     return coordination.decide_claims(_of(spark, d, _WANTED, "lineitem"), _of(spark, d, _HELD_CLAIMS, "orders"))
+
+
+_PAIRS = """SELECT c_custkey AS pair, c_custkey % 11 = 0 AS identity_overlap, c_custkey % 5 = 0 AS handle_overlap, c_custkey % 3 > 0 AS same_server, CASE c_custkey % 4 WHEN 0 THEN 'visible' WHEN 1 THEN 'unknown' ELSE 'absent' END AS probe,
+  CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 600 END AS fileid, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 3 END AS fsid FROM customer"""
+
+
+@query(f"""WITH p AS (SELECT *, identity_overlap OR (handle_overlap AND (same_server OR probe <> 'absent')) AS bad FROM ({_PAIRS}) x),
+f AS (SELECT pair, min(i.path) AS found FROM p JOIN ({INDEX}) i ON i.file_type = 2 AND i.inode = p.fileid AND coalesce(i.fsid = p.fsid, TRUE) WHERE NOT bad AND same_server GROUP BY pair)
+SELECT p.pair, CASE WHEN bad OR found IS NOT NULL THEN 'refuse' ELSE 'allow' END AS verdict, found,
+  CASE WHEN identity_overlap THEN 'one directory by identity' WHEN handle_overlap AND same_server THEN 'one directory by handle' WHEN bad THEN 'equal handles, probe ' || probe WHEN found IS NOT NULL THEN 'the destination''s root lies in the source' END AS reason
+FROM p LEFT JOIN f USING (pair)""")
+def proven_separation(spark, d):
+    pairs = _of(spark, d, _PAIRS, "customer")
+    return coordination.prove_separation(pairs, views(spark, d, INDEX)).select("pair", "verdict", "found", "reason")
