@@ -10,13 +10,21 @@ from treediff.functions import entries as E
 NEW, DIRTY, PENDING, UNCHANGED, DELETED = "NEW", "DIRTY", "PENDING", "UNCHANGED", "DELETED"
 
 
+_PAIR = "struct<sec:bigint,nsec:int>"
+
+
 def projected(index: DataFrame, side: str, *more: Column) -> DataFrame:
     """What the diff compares: path, row_id and the tuple of type, size, mtime and ctime; absent optional columns are null."""
-    has = lambda c: F.col(c) if c in index.columns else F.lit(None).cast("long")
-    exact = F.when(has("ctime_sec").isNotNull() & has("ctime_nsec").isNotNull(), F.struct(has("ctime_sec").cast("long").alias("sec"), has("ctime_nsec").cast("int").alias("nsec")))
-    ctime = F.coalesce(exact, F.when(has("ctime_us").isNotNull(), E.split_us(has("ctime_us"))))
-    seen = F.struct(F.col("file_type").cast("int").alias("file_type"), F.col("size").cast("long").alias("size"), E.scan_mtime(has("mtime_sec"), has("mtime_nsec")).alias("mtime"), ctime.alias("ctime"))
-    return index.select(F.col("path").alias(f"{side}_path"), F.col("row_id").alias(f"{side}_row_id"), seen.alias(f"{side}_seen"), *more)
+    have = set(index.columns)
+    has = lambda c: c if c in have else "cast(null as bigint)"
+    exact = f"if({has('ctime_sec')} is not null and {has('ctime_nsec')} is not null, struct(cast({has('ctime_sec')} as bigint) as sec, cast({has('ctime_nsec')} as int) as nsec), cast(null as {_PAIR}))"
+    mtime = f"if({has('mtime_sec')} is not null, struct(cast({has('mtime_sec')} as bigint) as sec, coalesce(cast({has('mtime_nsec')} as int), 0) as nsec), cast(null as {_PAIR}))"
+    if "ctime_us" in have:
+        ctime = F.coalesce(F.expr(exact), F.when(F.col("ctime_us").isNotNull(), E.split_us(F.col("ctime_us"))))
+        seen = F.struct(F.expr("cast(file_type as int)").alias("file_type"), F.expr("cast(size as bigint)").alias("size"), F.expr(mtime).alias("mtime"), ctime.alias("ctime"))
+    else:
+        seen = F.expr(f"struct(cast(file_type as int) as file_type, cast(size as bigint) as size, {mtime} as mtime, {exact} as ctime)")
+    return index.select(F.expr(f"path as {side}_path"), F.expr(f"row_id as {side}_row_id"), seen.alias(f"{side}_seen"), *more)
 
 
 def _marked(cur: DataFrame, pending: DataFrame | None, path: str) -> DataFrame:
@@ -28,8 +36,7 @@ def _marked(cur: DataFrame, pending: DataFrame | None, path: str) -> DataFrame:
 
 
 def _class() -> Column:
-    same = F.col("cur_seen").eqNullSafe(F.col("base_seen"))
-    return F.when(F.col("base_path").isNull(), NEW).when(~same, DIRTY).when(F.col("waits"), PENDING).otherwise(UNCHANGED)
+    return F.expr(f"case when base_path is null then '{NEW}' when not (cur_seen <=> base_seen) then '{DIRTY}' when waits then '{PENDING}' else '{UNCHANGED}' end")
 
 
 def classify(baseline: DataFrame, current: DataFrame, pending: DataFrame | None = None) -> DataFrame:
@@ -43,7 +50,7 @@ def classify(baseline: DataFrame, current: DataFrame, pending: DataFrame | None
     cur, base = _marked(projected(current, "cur"), pending, "cur_path"), projected(baseline, "base")
     both = cur.join(base, F.col("cur_path") == F.col("base_path"), "full")
     kind = F.when(F.col("cur_path").isNull(), DELETED).otherwise(_class())
-    return both.select(F.coalesce("cur_path", "base_path").alias("path"), kind.alias("class"), F.col("cur_row_id").alias("row_id"), F.col("base_row_id").alias("baseline_row_id"))
+    return both.select(F.expr("coalesce(cur_path, base_path) as path"), kind.alias("class"), F.expr("cur_row_id as row_id"), F.expr("base_row_id as baseline_row_id"))
 
 
 def kept_rows(baseline: DataFrame, current: DataFrame, pending: DataFrame | None = None) -> DataFrame:
@@ -55,10 +62,10 @@ def kept_rows(baseline: DataFrame, current: DataFrame, pending: DataFrame | None
 
 
 def class_counts(classes: DataFrame) -> DataFrame:
-    of = lambda *k: F.count_if(F.col("class").isin(*k))
+    of = lambda name, *k: F.expr(f"count_if(class in ({', '.join(map(repr, k))})) as {name}")
     return classes.agg(
-        F.count("baseline_row_id").alias("baseline_rows"), F.count("row_id").alias("current_rows"), of(NEW).alias("new"), of(DIRTY).alias("dirty_tuple"),
-        of(PENDING).alias("dirty_pending"), of(UNCHANGED).alias("unchanged"), of(DELETED).alias("deleted"), of(NEW, DIRTY, PENDING).alias("keep_rows"),
+        F.expr("count(baseline_row_id) as baseline_rows"), F.expr("count(row_id) as current_rows"), of("new", NEW), of("dirty_tuple", DIRTY),
+        of("dirty_pending", PENDING), of("unchanged", UNCHANGED), of("deleted", DELETED), of("keep_rows", NEW, DIRTY, PENDING),
     )
 
 

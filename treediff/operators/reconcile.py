@@ -23,14 +23,41 @@ class Contract:
     mtime: bool = True
 
 
-def side(index: DataFrame, name: str) -> DataFrame:
-    has = lambda c: F.col(c) if c in index.columns else F.lit(None)
-    return index.select(*[has(c).alias(f"{name}_{c}") for c in ATTRIBUTES])
+#: Fixed: types of the attributes.
+TYPES = {"path": "string", "symlink_target": "binary", "file_type": "int", "mtime_nsec": "int"}
 
 
-def mismatch(kind: str, when: Column, expected: Column | None = None, actual: Column | None = None) -> Column:
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    return F.when(when, F.struct(F.lit(kind).alias("kind"), text(expected).alias("expected"), text(actual).alias("actual")))
+def side(index: DataFrame, name: str) -> DataFrame:
+    have = set(index.columns)
+    return index.selectExpr(*[f"{c if c in have else f'cast(null as {TYPES.get(c, 'bigint')})'} as {name}_{c}" for c in ATTRIBUTES])
+
+
+def _wrong(contract: Contract) -> dict[str, tuple[str, ...]]:
+    """Each kind of mismatch: when it is one, and what was expected and found, as SQL over both sides' attributes."""
+    here, there = "src_path is not null", "dst_path is not null"
+    both = f"{here} and {there}"
+    matched = f"{both} and src_file_type = dst_file_type"
+    file, plain = f"{matched} and src_file_type = 1", f"{matched} and src_file_type <> 3"
+    names = " ".join(f"when {k} then '{v}'" for k, v in E.REPORT_NAMES.items())
+    kind = lambda s: f"case {s}_file_type {names} end"
+    perm = lambda s: f"(cast({s}_mode as bigint) & {E.PERMISSION_MASK}L)"
+    octal = lambda s: f"lpad(conv(cast({perm(s)} as string), 10, 8), 4, '0')"
+    fits = lambda c: f"(src_{c} is null or src_{c} <=> dst_{c})"
+    owner = lambda s: f"concat(coalesce(cast({s}_uid as string), '-'), ':', coalesce(cast({s}_gid as string), '-'))"
+    micros = lambda s: f"coalesce({s}_mtime_nsec, 0) div 1000"
+    when = lambda s: f"if({s}_mtime_sec is not null, concat(cast({s}_mtime_sec as string), '.', lpad(cast({micros(s)} as string), 6, '0')), null)"
+    special = "coalesce(src_file_type in (4, 5, 6, 7), false)"
+    yes = lambda x: "true" if x else "false"
+    return {
+        "missing": (f"{here} and not ({there}) and not {special}",),
+        "extra": (f"{there} and not ({here})",),
+        "special_not_copied": (f"{here} and not ({there}) and {special}",),
+        "file_type": (f"{both} and src_file_type <> dst_file_type", kind("src"), kind("dst")),
+        "size": (f"{file} and src_size <> dst_size", "src_size", "dst_size"),
+        "mode": (f"{yes(contract.mode)} and {plain} and {perm('src')} <> {perm('dst')}", octal("src"), octal("dst")),
+        "owner": (f"{yes(contract.owner)} and {plain} and not ({fits('uid')} and {fits('gid')})", owner("src"), owner("dst")),
+        "mtime": (f"{yes(contract.mtime)} and {file} and src_mtime_sec is not null and not (src_mtime_sec <=> dst_mtime_sec and {micros('src')} = {micros('dst')})", when("src"), f"coalesce({when('dst')}, '-')"),
+    }
 
 
 def joined(source: DataFrame, dest: DataFrame, contract: Contract = Contract()) -> DataFrame:
@@ -40,33 +67,17 @@ def joined(source: DataFrame, dest: DataFrame, contract: Contract = Contract())
     files only; modes by their permission bits; an owner that the source doesn't
     name can't be wrong; of symlinks only the target is compared.
     """
-    s, d = (lambda c: F.col(f"src_{c}")), (lambda c: F.col(f"dst_{c}"))
-    both = side(source, "src").join(side(dest, "dst"), F.col("src_path") == F.col("dst_path"), "full")
-    here, there = s("path").isNotNull(), d("path").isNotNull()
-    matched = here & there & (s("file_type") == d("file_type"))
-    file, plain = matched & (s("file_type") == 1), matched & (s("file_type") != 3)
-    perm = lambda c: c.cast("long").bitwiseAND(F.lit(E.PERMISSION_MASK).cast("long"))
-    id_ok = lambda c: s(c).isNull() | s(c).eqNullSafe(d(c))
-    us = lambda x: F.when(x("mtime_sec").isNotNull(), F.struct(x("mtime_sec"), F.floor(F.coalesce(x("mtime_nsec"), F.lit(0)) / 1000)))
-    when = lambda x: F.when(x("mtime_sec").isNotNull(), E.time_text(x("mtime_sec"), F.coalesce(x("mtime_nsec"), F.lit(0))))
-    special = E.is_special(s("file_type"))
-    name = lambda c: E.pick(c, E.REPORT_NAMES)
-    wrong = {
-        "missing": (here & ~there & ~special,),
-        "extra": (there & ~here,),
-        "special_not_copied": (here & ~there & special,),
-        "file_type": (here & there & (s("file_type") != d("file_type")), name(s("file_type")), name(d("file_type"))),
-        "size": (file & (s("size") != d("size")), s("size"), d("size")),
-        "mode": (F.lit(contract.mode) & plain & (perm(s("mode")) != perm(d("mode"))), E.mode_text(s("mode")), E.mode_text(d("mode"))),
-        "owner": (F.lit(contract.owner) & plain & ~(id_ok("uid") & id_ok("gid")), E.owner_text(s("uid"), s("gid")), E.owner_text(d("uid"), d("gid"))),
-        "mtime": (F.lit(contract.mtime) & file & s("mtime_sec").isNotNull() & ~us(s).eqNullSafe(us(d)), when(s), F.coalesce(when(d), F.lit("-"))),
-    }
-    found = F.array(*[mismatch(k, *x) for k, x in wrong.items()])
-    flags = F.lit(0)
-    for k, x in wrong.items():
-        flags = flags + F.when(x[0], 1 << KINDS.index(k)).otherwise(0)
-    read = F.when(file & (s("size") == d("size")) & (s("size") > 0), "file").when(matched & (s("file_type") == 3), "symlink")
-    return both.select(F.coalesce("src_path", "dst_path").alias("path"), F.filter(found, lambda x: x.isNotNull()).alias("mismatches"), here.alias("in_source"), there.alias("in_dest"), F.coalesce(matched, F.lit(False)).alias("matched"), read.alias("todo"), s("size").alias("size"), flags.alias("flags"))
+    both = side(source, "src").join(side(dest, "dst"), F.expr("src_path = dst_path"), "full")
+    text = lambda x, k: f"cast({x[k]} as string)" if len(x) > k else "cast(null as string)"
+    wrong = _wrong(contract)
+    found = [f"if({x[0]}, struct('{k}' as kind, {text(x, 1)} as expected, {text(x, 2)} as actual), null)" for k, x in wrong.items()]
+    flags = " + ".join(f"if({x[0]}, {1 << KINDS.index(k)}, 0)" for k, x in wrong.items())
+    matched = "src_path is not null and dst_path is not null and src_file_type = dst_file_type"
+    todo = f"case when {matched} and src_file_type = 1 and src_size = dst_size and src_size > 0 then 'file' when {matched} and src_file_type = 3 then 'symlink' end"
+    return both.selectExpr(
+        "coalesce(src_path, dst_path) as path", f"filter(array({', '.join(found)}), x -> x is not null) as mismatches", "src_path is not null as in_source", "dst_path is not null as in_dest",
+        f"coalesce({matched}, false) as matched", f"{todo} as todo", "src_size as size", f"{flags} as flags",
+    )
 
 
 def mismatches(rows: DataFrame) -> DataFrame:
@@ -80,13 +91,12 @@ def todo(rows: DataFrame) -> DataFrame:
 
 def counts(rows: DataFrame) -> DataFrame:
     """One row; made from the flags, so that no mismatch's texts are built."""
-    kind = lambda k: F.count_if(F.col("flags").bitwiseAND(F.lit(1 << KINDS.index(k))) != 0)
-    return rows.agg(
-        F.count_if("in_source").alias("source_entries"), F.count_if("in_dest").alias("dest_entries"), F.count_if("matched").alias("matched"),
-        *[kind(k).alias(k) for k in KINDS[:8]], F.coalesce(F.sum(F.bit_count("flags").cast("long")), F.lit(0)).alias("mismatches"),
-        F.count_if(F.col("todo") == "file").alias("files_to_read"), F.coalesce(F.sum(F.when(F.col("todo") == "file", F.col("size"))), F.lit(0)).alias("bytes_to_read"),
-        F.count_if(F.col("todo") == "symlink").alias("symlinks_to_read"),
+    each = [f"count_if(flags & {1 << KINDS.index(k)} <> 0) as {k}" for k in KINDS[:8]]
+    sums = (
+        "count_if(in_source) as source_entries", "count_if(in_dest) as dest_entries", "count_if(matched) as matched", *each, "coalesce(sum(cast(bit_count(flags) as bigint)), 0) as mismatches",
+        "count_if(todo = 'file') as files_to_read", "coalesce(sum(if(todo = 'file', size, null)), 0) as bytes_to_read", "count_if(todo = 'symlink') as symlinks_to_read",
     )
+    return rows.agg(*map(F.expr, sums))
 
 
 def tally(found: DataFrame) -> DataFrame:

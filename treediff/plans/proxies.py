@@ -48,9 +48,13 @@ SAMPLES = "SELECT event_id, user_id, at_us, event_type AS op, CASE WHEN user_id
 _DUCK_TIMES = "(SELECT *, epoch_us(ts) AS at_us FROM events)"
 
 
+#: The columns of orders and events that the tables above are made from: a read with a schema looks at no file.
+READ = {"orders": "o_orderkey long, o_custkey long", "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"}
+
+
 def views(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """One of the above over the tables of a folder."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read = lambda t: spark.read.schema(READ[t]).parquet(f"{sf_dir}/{t}.parquet")
     if "timed_events" in sql:
         return spark.sql(sql.replace("timed_events", "{timed}"), timed=read("events").selectExpr("*", "unix_micros(cast(ts as timestamp)) as at_us"))
     return spark.sql(sql.replace("FROM orders", "FROM {orders}"), orders=read("orders"))
