@@ -54,7 +54,8 @@ def joined_roots(spark, d):
     return _table(spark, d, "customer").select("c_custkey", X.join_root(root, f).alias("joined"), partial["path"].alias("partial"), partial["error"].alias("partial_error"))
 
 
-@query("""SELECT s_suppkey, 'nfs://' || CASE s_suppkey % 3 WHEN 0 THEN '10.0.0.' || s_suppkey % 250 WHEN 1 THEN '[2001:db8::' || printf('%x', s_suppkey % 250 + 1) || ']' ELSE 'nas' END || '/x' AS url FROM supplier""")
+@query("""SELECT s_suppkey, 'nfs://' || CASE s_suppkey % 3 WHEN 0 THEN '10.0.0.' || s_suppkey % 250 WHEN 1 THEN '[2001:db8::' || printf('%x', s_suppkey % 250 + 1) || ']' ELSE
+  'nas' END || '/x' AS url FROM supplier""")
 def url_addresses(spark, d):
     k = F.col("s_suppkey")
     host = F.when(k % 3 == 0, F.concat(F.lit("[::FFFF:10.0.0."), (k % 250).cast("string"), F.lit("]"))).when(k % 3 == 1, F.concat(F.lit("[2001:0DB8:0:0:0:0:0:"), F.hex(k % 250 + 1), F.lit("]"))).otherwise("NAS.")
@@ -62,9 +63,12 @@ def url_addresses(spark, d):
 
 
 @query("""SELECT event_id, event_id % 2 = 0 AND event_id % 3 = 0 AS option, CASE WHEN event_id % 2 = 0 AND (event_id % 3 = 0 OR event_id % 5 = 0) THEN 'SELF_TARGET' END AS self_target,
-  CASE WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 4 = 1 THEN 'replay' ELSE 'conflict' END AS symlink_exists, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 'StoreUnreachable' WHEN event_id % 2 = 0 THEN 'Fenced' WHEN event_id % 5 = 0 THEN 'Interrupted' ELSE 'Clean' END AS outcome,
-  (CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 4 WHEN event_id % 2 = 0 THEN 3 ELSE 0 END)::INT AS code, (event_id % 60 * 250)::BIGINT AS wait_low, (event_id % 60 * 500)::BIGINT AS wait_high,
-  CASE WHEN event_id % 5 = 0 THEN 'refuse' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'refuse' WHEN event_id % 3 = 0 AND event_id % 4 <> 1 THEN 'refuse' ELSE 'allow' END AS verdict FROM events""")
+  CASE WHEN event_id % 7 = 0 THEN 'error' WHEN event_id % 4 = 1 THEN 'replay' ELSE 'conflict' END AS symlink_exists, CASE WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN
+  'StoreUnreachable' WHEN event_id % 2 = 0 THEN 'Fenced' WHEN event_id % 5 = 0 THEN 'Interrupted' ELSE 'Clean' END AS outcome,
+  (CASE WHEN event_id % 11 = 0 THEN 2 WHEN event_id % 2 = 0 AND event_id % 3 = 0 THEN 4 WHEN event_id % 2 = 0 THEN 3 ELSE 0 END)::INT AS code, (event_id % 60 * 250)::BIGINT AS
+  wait_low, (event_id % 60 * 500)::BIGINT AS wait_high,
+  CASE WHEN event_id % 5 = 0 THEN 'refuse' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'refuse' WHEN event_id % 3 = 0 AND event_id % 4 <> 1 THEN 'refuse' ELSE 'allow' END AS
+  verdict FROM events""")
 def run_decisions(spark, d):
     e = F.col("event_id")
     two, three, five = e % 2 == 0, e % 3 == 0, e % 5 == 0
@@ -85,7 +89,8 @@ UNION ALL SELECT CAST(2 AS INT), '/c' || CAST(o_custkey AS VARCHAR(20)) || '/d'
 UNION ALL SELECT CAST(1 + o_orderkey % 2 AS INT), '/c' || CAST(o_custkey AS VARCHAR(20)) || '/d' || CAST(o_orderkey % 10 AS VARCHAR(9)) || '/o' || CAST(o_orderkey AS VARCHAR(20)) FROM orders"""
 
 
-@query(f"""SELECT path FROM ({_TREE}) t WHERE NOT regexp_matches(split_part(path, '/', 2), '^c[^/]*7$') AND NOT regexp_matches(split_part(path, '/', 3), '^d[37]$') AND NOT (file_type = 2 AND regexp_matches(split_part(path, '/', 4), '^o[^/]*5$'))""")
+@query(f"""SELECT path FROM ({_TREE}) t WHERE NOT regexp_matches(split_part(path, '/', 2), '^c[^/]*7$') AND NOT regexp_matches(split_part(path, '/', 3), '^d[37]$') AND NOT
+  (file_type = 2 AND regexp_matches(split_part(path, '/', 4), '^o[^/]*5$'))""")
 def excluded_trees(spark, d):
     tree = spark.sql(_TREE.replace("FROM orders", "FROM {orders}"), orders=_table(spark, d, "orders"))
     return canonical.exclude_directories(tree, ["c*7", "d[37]", "o*5"]).select("path")
@@ -99,7 +104,8 @@ def directories_by_inode(spark, d):
 _CHAIN = "SELECT '/a' || CAST(c_custkey AS VARCHAR(20)) AS path, c_custkey % {0} AS handle, c_custkey % 3 AS fsid, c_custkey * {1} AS fileid FROM customer"
 
 
-@query(f"""WITH a AS ({_CHAIN.format(9973, 2)}), b AS ({_CHAIN.format(9967, 3)}) SELECT a.path, b.path AS r_path, 'handle' AS "by" FROM a JOIN b USING (handle) UNION ALL SELECT a.path, b.path, 'identity' FROM a JOIN b ON a.fsid = b.fsid AND a.fileid = b.fileid""")
+@query(f"""WITH a AS ({_CHAIN.format(9973, 2)}), b AS ({_CHAIN.format(9967, 3)}) SELECT a.path, b.path AS r_path, 'handle' AS "by" FROM a JOIN b USING (handle) UNION ALL SELECT
+  a.path, b.path, 'identity' FROM a JOIN b ON a.fsid = b.fsid AND a.fileid = b.fileid""")
 def ancestor_overlap(spark, d):
     side = lambda m, k: spark.sql(_CHAIN.format(m, k).replace("FROM customer", "FROM {c}"), c=_table(spark, d, "customer"))
     return coordination.ancestor_overlap(side(9973, 2), side(9967, 3), True).select("path", "r_path", "by")
@@ -123,7 +129,8 @@ def missing_in_order(spark, d):
 # contents
 
 
-@query("""SELECT count(*) AS entries, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, count(*) FILTER (doc_id % 17 <> 0 AND doc_id % 13 <> 0 AND doc_id % 5 = 0) AS content, count(*) FILTER (doc_id % 17 = 0 OR doc_id % 13 = 0) AS read_error, 0::BIGINT AS symlink_target,
+@query("""SELECT count(*) AS entries, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, count(*) FILTER (doc_id % 17 <> 0 AND doc_id % 13 <> 0 AND doc_id % 5 = 0) AS content,
+  count(*) FILTER (doc_id % 17 = 0 OR doc_id % 13 = 0) AS read_error, 0::BIGINT AS symlink_target,
   CASE WHEN count(*) FILTER (doc_id % 17 = 0 OR doc_id % 13 = 0 OR doc_id % 5 = 0) = 0 THEN 'pass' ELSE 'fail' END AS status FROM documents""")
 def content_counts(spark, d):
     from treediff.plans.trees import _digests
@@ -148,7 +155,8 @@ def content_resume(spark, d):
 
 # transfers
 
-_RESULTS = """SELECT o_orderkey AS row_id, o_custkey % 8 AS shard, CASE o_orderkey % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'fenced' WHEN 2 THEN 'special' ELSE 'ok' END AS outcome, o_orderkey % 6 = 0 AS torn, o_orderkey % 1000 AS bytes FROM orders"""
+_RESULTS = """SELECT o_orderkey AS row_id, o_custkey % 8 AS shard, CASE o_orderkey % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'fenced' WHEN 2 THEN 'special' ELSE 'ok' END AS outcome,
+  o_orderkey % 6 = 0 AS torn, o_orderkey % 1000 AS bytes FROM orders"""
 _SUMS = "count(*) FILTER (outcome = 'ok') AS files_ok, count(*) FILTER (outcome = 'failed') AS files_failed, count(*) FILTER (outcome = 'fenced') AS files_fenced, count(*) FILTER (outcome = 'special') AS special, count(*) FILTER (outcome = 'ok' AND torn) AS torn, coalesce(sum(bytes) FILTER (outcome = 'ok'), 0)::BIGINT AS bytes_ok"
 
 
@@ -161,13 +169,16 @@ def copy_outcomes(spark, d):
     return planning.outcomes(_results(spark, d), "shard")
 
 
-@query(f"""WITH s AS (SELECT shard, {_SUMS} FROM ({_RESULTS}) r GROUP BY shard), t AS (SELECT count(*) AS shards_done, sum(files_ok)::BIGINT AS files_ok, sum(files_failed)::BIGINT AS files_failed, sum(torn)::BIGINT AS torn, sum(special)::BIGINT AS special, sum(bytes_ok)::BIGINT AS bytes_ok FROM s)
-SELECT *, 'complete' AS state, 'complete: ' || shards_done || '/8 shards, ' || files_ok || ' files ok (' || torn || ' torn), ' || files_failed || ' failed' || CASE WHEN special > 0 THEN ', ' || special || ' special NOT copied' ELSE '' END || ', ' || bytes_ok || ' bytes moved' AS line FROM t""")
+@query(f"""WITH s AS (SELECT shard, {_SUMS} FROM ({_RESULTS}) r GROUP BY shard), t AS (SELECT count(*) AS shards_done, sum(files_ok)::BIGINT AS files_ok, sum(files_failed)::BIGINT
+  AS files_failed, sum(torn)::BIGINT AS torn, sum(special)::BIGINT AS special, sum(bytes_ok)::BIGINT AS bytes_ok FROM s)
+SELECT *, 'complete' AS state, 'complete: ' || shards_done || '/8 shards, ' || files_ok || ' files ok (' || torn || ' torn), ' || files_failed || ' failed' || CASE WHEN special >
+  0 THEN ', ' || special || ' special NOT copied' ELSE '' END || ', ' || bytes_ok || ' bytes moved' AS line FROM t""")
 def copy_summary(spark, d):
     return planning.copy_summary(planning.outcomes(_results(spark, d), "shard"), 8)
 
 
-@query("""SELECT o_orderkey AS row_id, 'EARLY_EOF' AS kind FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 'TORN_COPY' FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT o_orderkey, 'SYMLINK_TIME_NFSV3' FROM orders WHERE o_orderkey % 9 = 0""")
+@query("""SELECT o_orderkey AS row_id, 'EARLY_EOF' AS kind FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_orderkey, 'TORN_COPY' FROM orders WHERE o_orderkey % 6 = 0 UNION
+  ALL SELECT o_orderkey, 'SYMLINK_TIME_NFSV3' FROM orders WHERE o_orderkey % 9 = 0""")
 def result_downgrades(spark, d):
     k = F.col("o_orderkey")
     at = lambda t: F.struct(k.alias("size"), F.struct(t.alias("sec"), F.lit(5).alias("nsec")).alias("mtime"), F.when(k % 3 != 0, t).alias("ctime"))
@@ -188,7 +199,8 @@ def live_placement(spark, d):
     return planning.placement(views(spark, d, INDEX), 6, dead=(1, 4)).select("row_id", "slot")
 
 
-@query(f"""SELECT shard, k // 1000 AS batch, min(row_id) AS row_first, max(row_id) AS row_last, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (file_type = 1) AS files_read, count(*) FILTER (file_type = 2) AS dirs, count(*) FILTER (k % 13 = 0) AS failures FROM ({INDEX}) i GROUP BY 1, 2""")
+@query(f"""SELECT shard, k // 1000 AS batch, min(row_id) AS row_first, max(row_id) AS row_last, count(*) AS files, sum(size)::BIGINT AS bytes, count(*) FILTER (file_type = 1) AS
+  files_read, count(*) FILTER (file_type = 2) AS dirs, count(*) FILTER (k % 13 = 0) AS failures FROM ({INDEX}) i GROUP BY 1, 2""")
 def batch_audit(spark, d):
     rows = views(spark, d, INDEX).withColumns({"batch": F.expr("k div 1000"), "strategy": F.when(F.col("file_type") == 1, "read").when(F.col("file_type") == 2, "dir").otherwise("other"), "failed": F.col("k") % 13 == 0})
     n = lambda k: F.coalesce(F.element_at("strategy_counts", k), F.lit(0))
@@ -202,7 +214,8 @@ def contiguous_chunks(spark, d):
     return planning.contiguous_prefix(c, "l_orderkey").select("l_orderkey", "l_linenumber", "released")
 
 
-@query("""SELECT DISTINCT path FROM (SELECT '/p' || l_partkey % 500 AS path FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT '/p' || l_partkey % 700 FROM lineitem WHERE l_linenumber = 2 AND l_quantity > 25) x""")
+@query("""SELECT DISTINCT path FROM (SELECT '/p' || l_partkey % 500 AS path FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT '/p' || l_partkey % 700 FROM lineitem WHERE
+  l_linenumber = 2 AND l_quantity > 25) x""")
 def pending_paths(spark, d):
     line = _table(spark, d, "lineitem")
     b64 = lambda m: F.base64(F.concat(F.lit("/p"), (F.col("l_partkey") % m).cast("string")).cast("binary")).alias("path_b64")
@@ -216,7 +229,8 @@ def rewrite_totals(spark, d):
     return coordination.report_totals(_table(spark, d, "orders").select(F.col("o_orderkey").alias("part"), F.col("o_custkey").alias("rows"), F.when(F.col("o_orderkey") % 3 == 0, "done").otherwise("to_do").alias("state")))
 
 
-@query("""SELECT side, count(*) AS addresses, string_agg(a || ' x' || n, ', ' ORDER BY a) AS list FROM (SELECT side, a, count(*) AS n FROM (SELECT 'source' AS side, CASE WHEN s_suppkey % 5 = 0 THEN 'host name' ELSE '10.0.0.' || s_suppkey % 5 END AS a FROM supplier
+@query("""SELECT side, count(*) AS addresses, string_agg(a || ' x' || n, ', ' ORDER BY a) AS list FROM (SELECT side, a, count(*) AS n FROM (SELECT 'source' AS side, CASE WHEN
+  s_suppkey % 5 = 0 THEN 'host name' ELSE '10.0.0.' || s_suppkey % 5 END AS a FROM supplier
   UNION ALL SELECT 'dest', '10.0.1.' || s_suppkey % 3 FROM supplier) x GROUP BY 1, 2) y GROUP BY side""")
 def connection_tally(spark, d):
     k = F.col("s_suppkey")
@@ -262,7 +276,8 @@ def expired_leases(spark, d):
 _BEATS = "SELECT user_id, event_id, event_id % 4 = 0 OR event_id % 19 = 0 OR event_id % 23 = 0 AS reset, event_id % 29 = 0 AND event_id % 19 <> 0 AND event_id % 23 <> 0 AS lost_own, event_id % 31 = 0 AS clock FROM events"
 
 
-@query(f"""SELECT event_id, (sum((NOT reset)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id))::BIGINT AS failures, (sum((NOT reset)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id)) >= 3 OR lost_own OR clock AS fenced
+@query(f"""SELECT event_id, (sum((NOT reset)::INT) OVER (PARTITION BY user_id, run ORDER BY event_id))::BIGINT AS failures, (sum((NOT reset)::INT) OVER (PARTITION BY user_id, run
+  ORDER BY event_id)) >= 3 OR lost_own OR clock AS fenced
 FROM (SELECT *, sum(reset::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM ({_BEATS}) b) x""")
 def fenced_beats(spark, d):
     e = F.col("event_id")
@@ -274,11 +289,14 @@ def fenced_beats(spark, d):
 _PH = "['Planned', 'Copying', 'Paused', 'Completed', 'Failed']"
 
 
-@query(f"""WITH c AS (SELECT o_orderkey AS command_id, ['pause', 'resume', 'cancel', 'drain', 'retry-failed', 'dance'][(o_orderkey % 6 + 1)::INT] AS command, CASE WHEN o_orderkey % 40 = 0 THEN 'a/b' ELSE 'j' || o_custkey END AS job FROM orders),
+@query(f"""WITH c AS (SELECT o_orderkey AS command_id, ['pause', 'resume', 'cancel', 'drain', 'retry-failed', 'dance'][(o_orderkey % 6 + 1)::INT] AS command, CASE WHEN o_orderkey
+  % 40 = 0 THEN 'a/b' ELSE 'j' || o_custkey END AS job FROM orders),
   j AS (SELECT 'j' || c_custkey AS job, {_PH}[(c_custkey % 5 + 1)::INT] AS phase FROM customer WHERE c_custkey % 11 <> 0),
   x AS (SELECT command_id, command, CASE WHEN command = 'dance' THEN 'unknown_command' WHEN contains(c.job, '/') THEN 'invalid_job_id' WHEN j.job IS NULL THEN 'job_not_found'
-    WHEN NOT CASE command WHEN 'retry-failed' THEN TRUE WHEN 'resume' THEN phase = 'Paused' WHEN 'cancel' THEN phase NOT IN ('Completed', 'Failed') ELSE phase IN ('Planned', 'Copying') END THEN 'invalid_phase' END AS error FROM c LEFT JOIN j USING (job))
-SELECT *, CASE WHEN error IS NULL THEN CASE command WHEN 'pause' THEN 'JobPaused' WHEN 'drain' THEN 'JobPaused' WHEN 'resume' THEN 'JobResumed' WHEN 'cancel' THEN 'JobCancelled' END END AS event FROM x""")
+    WHEN NOT CASE command WHEN 'retry-failed' THEN TRUE WHEN 'resume' THEN phase = 'Paused' WHEN 'cancel' THEN phase NOT IN ('Completed', 'Failed') ELSE phase IN ('Planned',
+  'Copying') END THEN 'invalid_phase' END AS error FROM c LEFT JOIN j USING (job))
+SELECT *, CASE WHEN error IS NULL THEN CASE command WHEN 'pause' THEN 'JobPaused' WHEN 'drain' THEN 'JobPaused' WHEN 'resume' THEN 'JobResumed' WHEN 'cancel' THEN 'JobCancelled'
+  END END AS event FROM x""")
 def command_results(spark, d):
     order = F.array(*map(F.lit, ("pause", "resume", "cancel", "drain", "retry-failed", "dance")))
     k = F.col("o_orderkey")
@@ -288,7 +306,8 @@ def command_results(spark, d):
     return coordination.decide_commands(asked, have).select("command_id", "command", "error", "event")
 
 
-@query("""SELECT o_orderkey, 'audit/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || lpad((row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m-%d') ORDER BY o_orderdate, o_orderkey) + coalesce(t.top, 0))::VARCHAR, 20, '0') || '.jsonl' AS key
+@query("""SELECT o_orderkey, 'audit/' || strftime(o_orderdate, '%Y-%m-%d') || '/' || lpad((row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m-%d') ORDER BY o_orderdate,
+  o_orderkey) + coalesce(t.top, 0))::VARCHAR, 20, '0') || '.jsonl' AS key
 FROM orders LEFT JOIN (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, max(o_orderkey % 7) AS top FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) t ON t.d = strftime(o_orderdate, '%Y-%m-%d')""")
 def audit_rows(spark, d):
     o = _table(spark, d, "orders")
@@ -317,7 +336,8 @@ def replayed_jobs(spark, d):
 
 @query(jobs.FOLD + """, s AS (SELECT job, "at" - "at" % 3600000000 AS tick_us, phase, fd, bd, n FROM g WHERE n > 0),
   e AS (SELECT job, tick_us, arg_max(phase, n) AS phase, arg_max(fd, n) AS files_done, arg_max(bd, n) AS bytes_done FROM s GROUP BY 1, 2),
-  a AS (SELECT *, lag(files_done) OVER w AS pf, lag(bytes_done) OVER w AS pb FROM e WHERE phase IN ('Planned', 'Scanning', 'Copying', 'Verifying', 'Cutover') WINDOW w AS (PARTITION BY job ORDER BY tick_us))
+  a AS (SELECT *, lag(files_done) OVER w AS pf, lag(bytes_done) OVER w AS pb FROM e WHERE phase IN ('Planned', 'Scanning', 'Copying', 'Verifying', 'Cutover') WINDOW w AS
+  (PARTITION BY job ORDER BY tick_us))
 SELECT job, tick_us, files_done, bytes_done FROM a WHERE pf IS DISTINCT FROM files_done OR pb IS DISTINCT FROM bytes_done""")
 def progress_syncs(spark, d):
     return events.progress_syncs(views(spark, d, LOG), 3_600_000_000)
@@ -346,7 +366,8 @@ _HIST = f"(SELECT side, at_us - at_us % 30000000 AS window_us, {jobs._BUCKET} AS
 _Q = lambda q: f"(SELECT CASE WHEN b = 99 THEN greatest(t.max_us, {jobs._UP}) ELSE least({jobs._UP}, greatest(t.max_us, 1)) END FROM (SELECT min(bucket)::BIGINT AS b FROM c WHERE c.side = t.side AND c.window_us = t.window_us AND cum >= greatest(1, ceil(t.n * {q}))) x)::BIGINT"
 
 
-@query(f"""WITH h AS (SELECT * FROM {_HIST} h), c AS (SELECT *, sum(n) OVER (PARTITION BY side, window_us ORDER BY bucket) AS cum FROM h), t AS (SELECT side, window_us, sum(n)::BIGINT AS n, sum(sum_us)::BIGINT AS sum_us, max(max_us) AS max_us FROM h GROUP BY 1, 2)
+@query(f"""WITH h AS (SELECT * FROM {_HIST} h), c AS (SELECT *, sum(n) OVER (PARTITION BY side, window_us ORDER BY bucket) AS cum FROM h), t AS (SELECT side, window_us,
+  sum(n)::BIGINT AS n, sum(sum_us)::BIGINT AS sum_us, max(max_us) AS max_us FROM h GROUP BY 1, 2)
 SELECT *, sum_us // n AS mean_us, {_Q(0.5)} AS p50_us, {_Q(0.95)} AS p95_us, {_Q(0.99)} AS p99_us FROM t""")
 def latency_windows(spark, d):
     return telemetry.window_quantiles(views(spark, d, SAMPLES), ["side"])

@@ -40,10 +40,12 @@ def footer_findings(spark, d):
 
 
 #: Reads of orders' files: a line is one read; some come twice, short, or find the end.
-_READS = """SELECT l_orderkey AS file, (l_linenumber - 1) * 100 AS "offset", 100 AS wanted, CASE WHEN l_partkey % 11 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN 60 ELSE 100 END AS length FROM lineitem WHERE l_suppkey % 7 <> 0
+_READS = """SELECT l_orderkey AS file, (l_linenumber - 1) * 100 AS "offset", 100 AS wanted, CASE WHEN l_partkey % 11 = 0 THEN 0 WHEN l_partkey % 5 = 0 THEN 60 ELSE 100 END AS
+  length FROM lineitem WHERE l_suppkey % 7 <> 0
 UNION ALL SELECT l_orderkey, (l_linenumber - 1) * 100 + 20, 50, 50 FROM lineitem WHERE l_suppkey % 5 = 0"""
 _SIZES = "SELECT o_orderkey AS file, 100 * (1 + o_custkey % 7) AS size FROM orders"
-_HELD = f"""ends AS (SELECT s.file, least(s.size, coalesce(r.short, s.size)) AS e FROM ({_SIZES}) s LEFT JOIN (SELECT file, min("offset") AS short FROM ({_READS}) x WHERE length = 0 GROUP BY file) r USING (file)),
+_HELD = f"""ends AS (SELECT s.file, least(s.size, coalesce(r.short, s.size)) AS e FROM ({_SIZES}) s LEFT JOIN (SELECT file, min("offset") AS short FROM ({_READS}) x WHERE length =
+  0 GROUP BY file) r USING (file)),
 one AS (SELECT file, "offset" AS o, max(length) AS n FROM ({_READS}) x WHERE length > 0 GROUP BY file, "offset"),
 held AS (SELECT file, o, n, coalesce(max(o + n) OVER (PARTITION BY file ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM one),
 inside AS (SELECT h.*, e FROM held h JOIN ends USING (file) WHERE o < e),
@@ -64,8 +66,10 @@ def read_gaps(spark, d):
 
 
 @query(f"""WITH {_HELD}, first AS (SELECT file, min("offset") AS hole FROM gaps GROUP BY file),
-s AS (SELECT i.file, max(CASE WHEN hole IS NULL OR o < hole THEN o + n END) AS delivered, sum(CASE WHEN o >= hole THEN greatest(0, o + n - greatest(o, before)) END) AS buffered FROM inside i LEFT JOIN first USING (file) GROUP BY i.file)
-SELECT e.file, e.e AS "end", coalesce(delivered, 0) AS delivered, coalesce(buffered, 0)::BIGINT AS buffered, hole IS NULL AS drained FROM ends e LEFT JOIN s USING (file) LEFT JOIN first USING (file)""")
+s AS (SELECT i.file, max(CASE WHEN hole IS NULL OR o < hole THEN o + n END) AS delivered, sum(CASE WHEN o >= hole THEN greatest(0, o + n - greatest(o, before)) END) AS buffered
+  FROM inside i LEFT JOIN first USING (file) GROUP BY i.file)
+SELECT e.file, e.e AS "end", coalesce(delivered, 0) AS delivered, coalesce(buffered, 0)::BIGINT AS buffered, hole IS NULL AS drained FROM ends e LEFT JOIN s USING (file) LEFT JOIN
+  first USING (file)""")
 def read_progress(spark, d):
     return planning.delivered(*_reads(spark, d))
 
@@ -114,7 +118,8 @@ def attribute_blobs(spark, d):
 
 
 
-_CLAIMS = """SELECT 'j' || (l_suppkey % 40) AS job, l_orderkey AS shard, CASE WHEN l_suppkey % 40 = 3 AND l_partkey % 50 = 0 THEN 'failed' WHEN l_suppkey % 40 < 20 OR l_partkey % 3 > 0 THEN 'completed' ELSE 'active' END AS state, l_linenumber AS epoch
+_CLAIMS = """SELECT 'j' || (l_suppkey % 40) AS job, l_orderkey AS shard, CASE WHEN l_suppkey % 40 = 3 AND l_partkey % 50 = 0 THEN 'failed' WHEN l_suppkey % 40 < 20 OR l_partkey %
+  3 > 0 THEN 'completed' ELSE 'active' END AS state, l_linenumber AS epoch
   FROM lineitem WHERE l_suppkey % 40 < 38"""
 _SHARDS = "SELECT 'j' || (l_suppkey % 40) AS job, l_orderkey AS shard, sum(l_linenumber) AS rows, sum(l_partkey) AS bytes FROM lineitem GROUP BY l_suppkey % 40, l_orderkey"
 _JOBS = "SELECT 'j' || s_suppkey AS job, CASE s_suppkey % 5 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Paused' ELSE 'Copying' END AS phase, s_suppkey * 97 AS files_done, s_suppkey * 10 AS bytes_done FROM supplier WHERE s_suppkey < 40"
@@ -127,10 +132,12 @@ def _of(spark, d, sql, *names):
 
 
 @query(f"""WITH c AS (SELECT job, shard, max(row(epoch, state))[2] AS state FROM ({_CLAIMS}) x GROUP BY job, shard),
-t AS (SELECT job, count(*) AS n, count(*) FILTER (state = 'completed') AS done, count(*) FILTER (state = 'failed') AS failed, coalesce(sum(rows) FILTER (state = 'completed'), 0)::BIGINT AS r, coalesce(sum(bytes) FILTER (state = 'completed'), 0)::BIGINT AS b FROM ({_SHARDS}) s LEFT JOIN c USING (job, shard) GROUP BY job),
+t AS (SELECT job, count(*) AS n, count(*) FILTER (state = 'completed') AS done, count(*) FILTER (state = 'failed') AS failed, coalesce(sum(rows) FILTER (state = 'completed'),
+  0)::BIGINT AS r, coalesce(sum(bytes) FILTER (state = 'completed'), 0)::BIGINT AS b FROM ({_SHARDS}) s LEFT JOIN c USING (job, shard) GROUP BY job),
 x AS (SELECT * FROM ({_JOBS}) j JOIN t USING (job) WHERE phase <> 'Completed')
 SELECT job, 'ProgressSync' AS kind, greatest(r, files_done) AS files, greatest(b, bytes_done) AS bytes, NULL AS reason FROM x WHERE r > files_done OR b > bytes_done
-UNION ALL SELECT job, CASE WHEN failed = 0 THEN 'JobCompleted' ELSE 'JobFailed' END, NULL, NULL, CASE WHEN failed > 0 THEN failed || ' of ' || n || ' shards failed' END FROM x WHERE done + failed = n""")
+UNION ALL SELECT job, CASE WHEN failed = 0 THEN 'JobCompleted' ELSE 'JobFailed' END, NULL, NULL, CASE WHEN failed > 0 THEN failed || ' of ' || n || ' shards failed' END FROM x
+  WHERE done + failed = n""")
 def reconciled_jobs(spark, d):
     return coordination.reconcile_jobs(_of(spark, d, _JOBS, "supplier"), _of(spark, d, _SHARDS, "lineitem"), _of(spark, d, _CLAIMS, "lineitem"))
 
@@ -142,20 +149,23 @@ _HELD_CLAIMS = "SELECT o_orderkey AS shard, CASE o_custkey % 6 WHEN 0 THEN 'comp
 @query(f"""WITH x AS (SELECT w.*, h.state, h.epoch, h.stale, h.shard IS NULL AS free, h.shard IS NULL OR (h.state = 'active' AND h.stale AND w.observed_tag IS NOT DISTINCT FROM h.claim_tag) AS fits
   FROM ({_WANTED}) w LEFT JOIN ({_HELD_CLAIMS}) h ON w.shard = h.shard),
 y AS (SELECT *, fits AND row_number() OVER (PARTITION BY shard, fits ORDER BY "at", host, observed_tag NULLS FIRST) = 1 AS f FROM x)
-SELECT shard, host, "at", observed_tag, CASE WHEN free AND f THEN 'acquired' WHEN free THEN 'contended' WHEN state <> 'active' THEN 'over: ' || state WHEN f THEN 'won' WHEN stale THEN 'lost_race' ELSE 'contended' END AS outcome,
+SELECT shard, host, "at", observed_tag, CASE WHEN free AND f THEN 'acquired' WHEN free THEN 'contended' WHEN state <> 'active' THEN 'over: ' || state WHEN f THEN 'won' WHEN stale
+  THEN 'lost_race' ELSE 'contended' END AS outcome,
   CASE WHEN f THEN coalesce(epoch, 0) + 1 END AS new_epoch FROM y""")
 def decided_claims(spark, d):
     return coordination.decide_claims(_of(spark, d, _WANTED, "lineitem"), _of(spark, d, _HELD_CLAIMS, "orders"))
 
 
-_PAIRS = """SELECT c_custkey AS pair, c_custkey % 11 = 0 AS identity_overlap, c_custkey % 5 = 0 AS handle_overlap, c_custkey % 3 > 0 AS same_server, CASE c_custkey % 4 WHEN 0 THEN 'visible' WHEN 1 THEN 'unknown' ELSE 'absent' END AS probe,
+_PAIRS = """SELECT c_custkey AS pair, c_custkey % 11 = 0 AS identity_overlap, c_custkey % 5 = 0 AS handle_overlap, c_custkey % 3 > 0 AS same_server, CASE c_custkey % 4 WHEN 0 THEN
+  'visible' WHEN 1 THEN 'unknown' ELSE 'absent' END AS probe,
   CASE WHEN c_custkey % 7 > 0 THEN c_custkey % 600 END AS fileid, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 3 END AS fsid FROM customer"""
 
 
 @query(f"""WITH p AS (SELECT *, identity_overlap OR (handle_overlap AND (same_server OR probe <> 'absent')) AS bad FROM ({_PAIRS}) x),
 f AS (SELECT pair, min(i.path) AS found FROM p JOIN ({INDEX}) i ON i.file_type = 2 AND i.inode = p.fileid AND coalesce(i.fsid = p.fsid, TRUE) WHERE NOT bad AND same_server GROUP BY pair)
 SELECT p.pair, CASE WHEN bad OR found IS NOT NULL THEN 'refuse' ELSE 'allow' END AS verdict, found,
-  CASE WHEN identity_overlap THEN 'one directory by identity' WHEN handle_overlap AND same_server THEN 'one directory by handle' WHEN bad THEN 'equal handles, probe ' || probe WHEN found IS NOT NULL THEN 'the destination''s root lies in the source' END AS reason
+  CASE WHEN identity_overlap THEN 'one directory by identity' WHEN handle_overlap AND same_server THEN 'one directory by handle' WHEN bad THEN 'equal handles, probe ' || probe
+  WHEN found IS NOT NULL THEN 'the destination''s root lies in the source' END AS reason
 FROM p LEFT JOIN f USING (pair)""")
 def proven_separation(spark, d):
     pairs = _of(spark, d, _PAIRS, "customer")

@@ -31,7 +31,8 @@ def _classes(spark, d):
 
 
 @query(f"""SELECT count(baseline_row_id) AS baseline_rows, count(row_id) AS current_rows, count(*) FILTER (class = 'NEW') AS new, count(*) FILTER (class = 'DIRTY') AS dirty_tuple,
-  count(*) FILTER (class = 'PENDING') AS dirty_pending, count(*) FILTER (class = 'UNCHANGED') AS unchanged, count(*) FILTER (class = 'DELETED') AS deleted, count(*) FILTER (class IN ('NEW', 'DIRTY', 'PENDING')) AS keep_rows FROM {_CLASSES} x""")
+  count(*) FILTER (class = 'PENDING') AS dirty_pending, count(*) FILTER (class = 'UNCHANGED') AS unchanged, count(*) FILTER (class = 'DELETED') AS deleted, count(*) FILTER (class
+  IN ('NEW', 'DIRTY', 'PENDING')) AS keep_rows FROM {_CLASSES} x""")
 def diff_counts(spark, d):
     return diff.class_counts(_classes(spark, d))
 
@@ -80,7 +81,8 @@ _RAW = f"""SELECT k, CASE WHEN k % 41 = 0 THEN '/srcs' || path WHEN k % 43 = 0 T
 @query(f"""SELECT k, shard * 1099511627776 + k AS row_id, CASE WHEN path = '/src' THEN '/' WHEN path LIKE '/src/%' THEN substr(path, 5) END AS path, path AS path_legacy, file_type AS file_type_mime,
   CASE WHEN mtime_sec IS NOT NULL AND mtime_nsec IS NOT NULL THEN mtime_sec ELSE CAST(floor(mtime_us / 1000000) AS BIGINT) END AS mtime_sec,
   CAST(CASE WHEN mtime_sec IS NOT NULL AND mtime_nsec IS NOT NULL THEN mtime_nsec ELSE (mtime_us % 1000000 + 1000000) % 1000000 * 1000 END AS INT) AS mtime_nsec,
-  CAST(CASE file_type WHEN 'file' THEN 32768 WHEN 'directory' THEN 16384 WHEN 'symlink' THEN 40960 WHEN 'fifo' THEN 4096 WHEN 'socket' THEN 49152 WHEN 'block_device' THEN 24576 END + permissions % 4096 AS BIGINT) AS mode FROM ({_RAW}) r""")
+  CAST(CASE file_type WHEN 'file' THEN 32768 WHEN 'directory' THEN 16384 WHEN 'symlink' THEN 40960 WHEN 'fifo' THEN 4096 WHEN 'socket' THEN 49152 WHEN 'block_device' THEN 24576
+  END + permissions % 4096 AS BIGINT) AS mode FROM ({_RAW}) r""")
 def canonical_projection(spark, d):
     raw = views(spark, d, _RAW).drop("row_id")
     out = canonical.canonicalise(raw, "/src", F.col("shard"), F.col("k"), strict=False)
@@ -116,8 +118,10 @@ def split_us(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", E.split_us(F.expr(_US)).alias("t")).select("event_id", "t.sec", "t.nsec")
 
 
-@query(f"""SELECT row_id, lpad(printf('%o', mode % 4096), 4, '0') AS mode_text, coalesce(uid::VARCHAR, '-') || ':' || coalesce(gid::VARCHAR, '-') AS owner, mtime_sec || '.' || lpad((mtime_nsec // 1000)::VARCHAR, 6, '0') AS mtime,
-  CASE file_type WHEN 1 THEN 'file' WHEN 2 THEN 'dir' WHEN 3 THEN 'symlink' WHEN 4 THEN 'fifo' WHEN 5 THEN 'socket' WHEN 6 THEN 'blockdev' ELSE 'chardev' END AS type_name, file_type AS tag, file_type >= 4 AS special,
+@query(f"""SELECT row_id, lpad(printf('%o', mode % 4096), 4, '0') AS mode_text, coalesce(uid::VARCHAR, '-') || ':' || coalesce(gid::VARCHAR, '-') AS owner, mtime_sec || '.' ||
+  lpad((mtime_nsec // 1000)::VARCHAR, 6, '0') AS mtime,
+  CASE file_type WHEN 1 THEN 'file' WHEN 2 THEN 'dir' WHEN 3 THEN 'symlink' WHEN 4 THEN 'fifo' WHEN 5 THEN 'socket' WHEN 6 THEN 'blockdev' ELSE 'chardev' END AS type_name,
+  file_type AS tag, file_type >= 4 AS special,
   '/c' || split_part(path, '/', 2)[2:] AS parent, 2 AS depth, base64(path::BLOB) AS path_b64 FROM ({INDEX}) i""")
 def entry_texts(spark, d):
     c = F.col
@@ -127,8 +131,10 @@ def entry_texts(spark, d):
     )
 
 
-@query(f"""SELECT row_id FROM ({INDEX}) i WHERE NOT EXISTS (SELECT 1 FROM ({INDEX}) g WHERE g.file_type = 2 AND regexp_matches(g.path, '/o[^/]*7$') AND (g.path = i.path OR starts_with(i.path, g.path || '/')))
-  AND NOT (i.file_type = 2 AND regexp_matches(i.path, '/o[^/]*7$'))""".replace("NOT EXISTS (SELECT 1 FROM", "i.path NOT IN (SELECT path FROM").replace(" AND (g.path = i.path OR starts_with(i.path, g.path || '/')))", ")"))
+@query(f"""SELECT row_id FROM ({INDEX}) i WHERE NOT EXISTS (SELECT 1 FROM ({INDEX}) g WHERE g.file_type = 2 AND regexp_matches(g.path, '/o[^/]*7$') AND (g.path = i.path OR
+  starts_with(i.path, g.path || '/')))
+  AND NOT (i.file_type = 2 AND regexp_matches(i.path,
+  '/o[^/]*7$'))""".replace("NOT EXISTS (SELECT 1 FROM", "i.path NOT IN (SELECT path FROM").replace(" AND (g.path = i.path OR starts_with(i.path, g.path || '/')))", ")"))
 def excluded_directories(spark, d):
     return canonical.exclude_directories(views(spark, d, INDEX), ["o*7"]).select("row_id")
 
@@ -144,8 +150,10 @@ _M = f"""(SELECT sp AS path, CASE WHEN sf >= 4 THEN 'special_not_copied' ELSE 'm
   UNION ALL SELECT sp, 'file_type', {{n}}[sf], {{n}}[df] FROM {_J} j WHERE sf <> df
   UNION ALL SELECT sp, 'size', ss::VARCHAR, ds::VARCHAR FROM {_J} j WHERE sf = df AND sf = 1 AND ss <> ds
   UNION ALL SELECT sp, 'mode', lpad(printf('%o', sm), 4, '0'), lpad(printf('%o', dm), 4, '0') FROM {_J} j WHERE sf = df AND sf <> 3 AND sm <> dm
-  UNION ALL SELECT sp, 'owner', {_OWN.format("su", "sg")}, {_OWN.format("du", "dg")} FROM {_J} j WHERE sf = df AND sf <> 3 AND ((su IS NOT NULL AND su IS DISTINCT FROM du) OR (sg IS NOT NULL AND sg IS DISTINCT FROM dg))
-  UNION ALL SELECT sp, 'mtime', st || '.' || lpad(sn::VARCHAR, 6, '0'), coalesce(dt || '.' || lpad(dn::VARCHAR, 6, '0'), '-') FROM {_J} j WHERE sf = df AND sf = 1 AND st IS NOT NULL AND (dt IS NULL OR st <> dt OR sn <> dn))""".replace("{n}", "['file', 'dir', 'symlink', 'fifo', 'socket', 'blockdev', 'chardev']")
+  UNION ALL SELECT sp, 'owner', {_OWN.format("su", "sg")}, {_OWN.format("du", "dg")} FROM {_J} j WHERE sf = df AND sf <> 3 AND ((su IS NOT NULL AND su IS DISTINCT FROM du) OR (sg
+  IS NOT NULL AND sg IS DISTINCT FROM dg))
+  UNION ALL SELECT sp, 'mtime', st || '.' || lpad(sn::VARCHAR, 6, '0'), coalesce(dt || '.' || lpad(dn::VARCHAR, 6, '0'), '-') FROM {_J} j WHERE sf = df AND sf = 1 AND st IS NOT
+  NULL AND (dt IS NULL OR st <> dt OR sn <> dn))""".replace("{n}", "['file', 'dir', 'symlink', 'fifo', 'socket', 'blockdev', 'chardev']")
 
 
 @query(f"SELECT path, kind, expected, actual FROM {_M} m")
@@ -153,8 +161,10 @@ def reconcile_mismatches(spark, d):
     return reconcile.mismatches(_joined(spark, d))
 
 
-@query(f"""SELECT count(sp) AS source_entries, count(dp) AS dest_entries, count(*) FILTER (sf = df) AS matched, {", ".join(f"(SELECT count(*) FROM {_M} m WHERE kind = '{k}') AS {k}" for k in reconcile.KINDS[:8])},
-  (SELECT count(*) FROM {_M} m) AS mismatches, count(*) FILTER (sf = df AND sf = 1 AND ss = ds AND ss > 0) AS files_to_read, coalesce(sum(ss) FILTER (sf = df AND sf = 1 AND ss = ds AND ss > 0), 0)::BIGINT AS bytes_to_read,
+@query(f"""SELECT count(sp) AS source_entries, count(dp) AS dest_entries, count(*) FILTER (sf = df) AS matched,
+  {", ".join(f"(SELECT count(*) FROM {_M} m WHERE kind = '{k}') AS {k}" for k in reconcile.KINDS[:8])},
+  (SELECT count(*) FROM {_M} m) AS mismatches, count(*) FILTER (sf = df AND sf = 1 AND ss = ds AND ss > 0) AS files_to_read, coalesce(sum(ss) FILTER (sf = df AND sf = 1 AND ss =
+  ds AND ss > 0), 0)::BIGINT AS bytes_to_read,
   count(*) FILTER (sf = df AND sf = 3) AS symlinks_to_read FROM {_J} j""")
 def reconcile_counts(spark, d):
     return reconcile.counts(_joined(spark, d))
@@ -203,8 +213,10 @@ def dup_content_groups(spark, d):
     return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
 
 
-@query(f"""SELECT strategy, count(*) AS n FROM (SELECT CASE WHEN file_type = 1 AND inode IS NOT NULL AND row_id <> min(row_id) OVER (PARTITION BY shard, fsid, inode, file_type) AND nlink > 1 AND fsid IS NOT NULL THEN 'HardlinkExisting'
-  WHEN file_type = 1 AND size = 0 THEN 'Empty' WHEN file_type = 1 THEN 'LibnfsIoUring' WHEN file_type = 3 THEN 'Symlink' WHEN file_type = 2 THEN 'DirAttrs' ELSE 'SpecialNotCopied' END AS strategy FROM ({INDEX}) i WHERE NOT (file_type = 1 AND coalesce(nlink, 1) <= 1)
+@query(f"""SELECT strategy, count(*) AS n FROM (SELECT CASE WHEN file_type = 1 AND inode IS NOT NULL AND row_id <> min(row_id) OVER (PARTITION BY shard, fsid, inode, file_type)
+  AND nlink > 1 AND fsid IS NOT NULL THEN 'HardlinkExisting'
+  WHEN file_type = 1 AND size = 0 THEN 'Empty' WHEN file_type = 1 THEN 'LibnfsIoUring' WHEN file_type = 3 THEN 'Symlink' WHEN file_type = 2 THEN 'DirAttrs' ELSE 'SpecialNotCopied'
+  END AS strategy FROM ({INDEX}) i WHERE NOT (file_type = 1 AND coalesce(nlink, 1) <= 1)
   UNION ALL SELECT CASE WHEN size = 0 THEN 'Empty' ELSE 'LibnfsIoUring' END FROM ({INDEX}) i WHERE file_type = 1 AND coalesce(nlink, 1) <= 1) x GROUP BY strategy""")
 def strategy_counts(spark, d):
     rows = views(spark, d, INDEX)
@@ -232,14 +244,16 @@ _FILES, _BYTES = 40, 1_000_000
 
 @query(f"""WITH RECURSIVE r AS (SELECT shard, row_id, size, row_number() OVER (PARTITION BY shard ORDER BY row_id) AS n FROM ({INDEX}) i),
   g AS (SELECT shard, row_id, size, n, 0::BIGINT AS batch, 1::BIGINT AS files, size AS used FROM r WHERE n = 1
-  UNION ALL SELECT r.shard, r.row_id, r.size, r.n, CASE WHEN files >= {_FILES} OR used + r.size > {_BYTES} THEN batch + 1 ELSE batch END, CASE WHEN files >= {_FILES} OR used + r.size > {_BYTES} THEN 1 ELSE files + 1 END,
+  UNION ALL SELECT r.shard, r.row_id, r.size, r.n, CASE WHEN files >= {_FILES} OR used + r.size > {_BYTES} THEN batch + 1 ELSE batch END, CASE WHEN files >= {_FILES} OR used +
+  r.size > {_BYTES} THEN 1 ELSE files + 1 END,
   CASE WHEN files >= {_FILES} OR used + r.size > {_BYTES} THEN r.size ELSE used + r.size END FROM g JOIN r ON r.shard = g.shard AND r.n = g.n + 1)
 SELECT shard, batch, min(row_id) AS row_first, max(row_id) AS row_last, count(*) AS files, sum(size)::BIGINT AS bytes FROM g GROUP BY shard, batch""")
 def micro_batches(spark, d):
     return planning.batch_records(planning.micro_batches(views(spark, d, INDEX), files=_FILES, budget=_BYTES))
 
 
-@query(f"""SELECT row_id, row_number() OVER (PARTITION BY shard ORDER BY turn, head)::INT AS position FROM (SELECT shard, row_id, row_number() OVER (PARTITION BY shard, split_part(path, '/', 2) ORDER BY row_id) AS turn,
+@query(f"""SELECT row_id, row_number() OVER (PARTITION BY shard ORDER BY turn, head)::INT AS position FROM (SELECT shard, row_id, row_number() OVER (PARTITION BY shard,
+  split_part(path, '/', 2) ORDER BY row_id) AS turn,
   min(row_id) OVER (PARTITION BY shard, split_part(path, '/', 2)) AS head FROM ({INDEX}) i) x""")
 def interleave_by_parent(spark, d):
     return planning.interleave_by_parent(views(spark, d, INDEX)).select("row_id", "position")
@@ -254,7 +268,8 @@ def dir_levels(spark, d):
     return planning.deepest_first(rows).select("row_id", "depth", "level")
 
 
-@query(f"""SELECT row_id, min(row_id) OVER w AS leader, row_id = min(row_id) OVER w AS is_leader, count(*) OVER w AS group_size, first_value(path) OVER (PARTITION BY shard, fsid, inode ORDER BY row_id) AS leader_path FROM ({INDEX}) i
+@query(f"""SELECT row_id, min(row_id) OVER w AS leader, row_id = min(row_id) OVER w AS is_leader, count(*) OVER w AS group_size, first_value(path) OVER (PARTITION BY shard, fsid,
+  inode ORDER BY row_id) AS leader_path FROM ({INDEX}) i
   WHERE file_type = 1 AND nlink > 1 AND fsid IS NOT NULL AND inode IS NOT NULL WINDOW w AS (PARTITION BY shard, fsid, inode)""")
 def hardlink_leaders(spark, d):
     return planning.hardlinks(views(spark, d, INDEX), batch="shard").select("row_id", "leader", "is_leader", "group_size", "leader_path")
@@ -264,7 +279,8 @@ _T = "{0} || '.' || lpad({1}::VARCHAR, 9, '0')"
 _MT, _AT = _T.format("mtime_sec", "coalesce(mtime_nsec, 0)"), _T.format("atime_sec", "atime_nsec")
 
 
-@query(f"""WITH o AS (SELECT row_id, 1 AS p, 'chown' AS op, uid || ':' || gid AS argument FROM ({INDEX}) i WHERE uid IS NOT NULL AND gid IS NOT NULL UNION ALL SELECT row_id, 2, 'chmod', lpad(printf('%o', mode % 4096), 4, '0') FROM ({INDEX}) i
+@query(f"""WITH o AS (SELECT row_id, 1 AS p, 'chown' AS op, uid || ':' || gid AS argument FROM ({INDEX}) i WHERE uid IS NOT NULL AND gid IS NOT NULL UNION ALL SELECT row_id, 2,
+  'chmod', lpad(printf('%o', mode % 4096), 4, '0') FROM ({INDEX}) i
   UNION ALL SELECT row_id, 3, 'utimes', CASE WHEN atime_sec IS NULL THEN {_MT} ELSE {_AT} END || '/' || {_MT} FROM ({INDEX}) i WHERE mtime_sec IS NOT NULL)
 SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY p) - 1)::INT AS step, op, argument FROM o""")
 def attr_plan(spark, d):
@@ -272,7 +288,8 @@ def attr_plan(spark, d):
 
 
 @query(f"""SELECT row_id, 'SPECIAL_NOT_COPIED' AS kind FROM ({INDEX}) i WHERE file_type >= 4 UNION ALL SELECT row_id, 'NULL_OWNER' FROM ({INDEX}) i WHERE file_type < 4 AND uid IS NULL
-  UNION ALL SELECT row_id, 'NULL_MTIME' FROM ({INDEX}) i WHERE file_type < 4 AND mtime_sec IS NULL UNION ALL SELECT row_id, 'NULL_ATIME' FROM ({INDEX}) i WHERE file_type < 4 AND mtime_sec IS NOT NULL AND atime_sec IS NULL
+  UNION ALL SELECT row_id, 'NULL_MTIME' FROM ({INDEX}) i WHERE file_type < 4 AND mtime_sec IS NULL UNION ALL SELECT row_id, 'NULL_ATIME' FROM ({INDEX}) i WHERE file_type < 4 AND
+  mtime_sec IS NOT NULL AND atime_sec IS NULL
   UNION ALL SELECT row_id, 'SYMLINK_MODE_NFSV3' FROM ({INDEX}) i WHERE file_type = 3 AND mode % 4096 <> 511
   UNION ALL SELECT min(row_id), 'FSID_UNGROUPED' FROM ({INDEX}) i WHERE file_type = 1 AND nlink > 1 AND inode IS NOT NULL AND fsid IS NULL GROUP BY shard""")
 def downgrades(spark, d):
