@@ -56,8 +56,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema), schema.types)], schema=schema)
 
 
-PARTS_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("seq", pa.binary()), ("conv_id", pa.int64()), ("n", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("firsts", pa.list_(pa.int32())), ("lasts", pa.list_(pa.int32())), ("last", pa.binary())])
-POINTS_ARROW = pa.schema([("id", pa.binary()), ("parent", pa.binary()), ("depth", pa.int64()), ("conv_id", pa.int64()), ("n_convs", pa.int64()), ("n_children", pa.int64()), ("n_leaves", pa.int64()), ("said", pa.int64()), ("own", pa.int64()), ("suffix", pa.list_(pa.int64()))])
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+PARTS_ARROW, POINTS_ARROW = _arrow(PARTS), _arrow(POINTS)
 
 
 def sequences(conversations: DataFrame) -> DataFrame:
@@ -215,8 +221,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(now.rows, POINTS_ARROW)
 
 
-ENDS_ARROW = pa.schema([("id", pa.binary()), ("first", pa.int64()), ("ids", pa.binary())])
-SHA_ARROW = pa.schema([("id", pa.binary()), ("ends_sha256", pa.string())])
+ENDS, SHA = "id binary, first long, ids binary", "id binary, ends_sha256 string"
+ENDS_ARROW, SHA_ARROW = _arrow(ENDS), _arrow(SHA)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +293,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     )
     points = stash(points, "points")
     members = seqs.select(name_of(F.col("seq")).alias("id"), "conv_id").repartitionByRange(partitions(spark), "id", "conv_id").sortWithinPartitions("id", "conv_id")
-    packed = members.mapInArrow(_pack, "id binary, first long, ids binary").repartition(partitions(spark), "id").sortWithinPartitions("id", "first")
-    ends = packed.mapInArrow(_digest, "id binary, ends_sha256 string").withColumnRenamed("id", "end_id")
+    packed = members.mapInArrow(_pack, ENDS).repartition(partitions(spark), "id").sortWithinPartitions("id", "first")
+    ends = packed.mapInArrow(_digest, SHA).withColumnRenamed("id", "end_id")
     above = points.select(F.col("id").alias("above_id"), F.col("conv_id").alias("above_conv"))
     whole = points.join(ends, F.col("id") == F.col("end_id"), "left").join(above, F.col("parent") == F.col("above_id"), "left")
     nodes = whole.select("*", F.posexplode("suffix").alias("at", "below"))
