@@ -10,15 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treediff.llm.common import read
+from treediff.llm.pieces import binaries, places, slices
 
 #: Words whose ids a worker keeps at most.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 600_000
 #: Characters for which this module's own splitting is used: printable ASCII, Latin-1 and the
 #: Latin extensions, and common white space. Other texts take the vocabulary file's splitter.
 PLAIN = regex.compile("[\\t-\\r -~\\u00a0-\\u024f]*")
@@ -54,6 +56,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        shown = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        self.said = pa.array([x + " " for x in shown] + shown, pa.string())  # the second half: as the last token of a text
         self.cache: dict[str, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -142,23 +146,36 @@ class Bpe:
             out += [np.array([self.special[part]], "<u4").tobytes()] if part in self.special else self.words(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, held, size = [], [], 0
-        for text in [*texts, None]:
-            if text is None or size > 2_000_000:
-                self.learn({w for p in held for w in p if type(w) is str})
-                find = self.cache
-                out += [b"".join([find[w] if type(w) is str else w for w in p]) for p in held]
-                held, size = [], 0
-            if text is not None:
-                held.append(self.pieces(text))
-                size += len(text)
-        return out
+    def chunks(self, keys: list[str]) -> list[bytes]:
+        """Ids of each chunk, all new words through one index."""
+        pieces = [self.pieces(k) for k in keys]
+        self.learn({w for p in pieces for w in p if type(w) is str})
+        find = self.cache
+        return [find[p[0]] if len(p) == 1 and type(p[0]) is str else b"".join([find[w] if type(w) is str else w for w in p]) for p in pieces]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of texts.
 
-    def decode(self, ids: bytes) -> str:
-        token = self.token
-        return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        No word and no special token goes across a space or a line feed, and
+        neither does the normalisation: texts are cut there, and each distinct
+        chunk is taken apart and encoded once.
+        """
+        listed = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
+        of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))])
+        flat = pc.list_flatten(listed).dictionary_encode()
+        coded = self.chunks(flat.dictionary.to_pylist())
+        at, lengths = flat.indices.to_numpy(zero_copy_only=False), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, starts = np.frombuffer(b"".join(coded), "<u4"), np.concatenate([[0], np.cumsum(lengths)])
+        own = lengths[at]
+        return np.concatenate([[0], np.cumsum(own)])[of_text], ids[places(starts[at], own)]
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of ids: their tokens, joined by spaces."""
+        code = ids.astype(np.int64)
+        code[offsets[1:][offsets[1:] > offsets[:-1]] - 1] += len(self.said) // 2
+        said = self.said.take(pa.array(code))
+        ends = np.frombuffer(said.buffers()[1], "<i4", len(said) + 1, said.offset * 4) if len(said) else np.zeros(1, "<i4")
+        return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(ends[offsets].astype("<i4")), said.buffers()[2] or pa.py_buffer(b"")])
 
 
 @functools.lru_cache(maxsize=2)
@@ -170,13 +187,11 @@ def _code(source):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(source.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                coded = bpe.encode_batch([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
-                n = pa.array([len(x) // 4 for x in coded], pa.int64())
-                decoded = [bpe.decode(x) for x in coded]
-                rest = [part.column(c) for c in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*rest, n, pa.array(coded, pa.binary()), pa.array(decoded, pa.string())], [*part.schema.names[:-1], "n_tokens", "ids", "decoded"])
+            for at, n in slices(batch.column(1)):
+                part = batch.slice(at, n)
+                offsets, ids = bpe.encode(part.column(1))
+                cols = [part.column(0), pa.array(np.diff(offsets)), binaries(4 * offsets, ids, pa.binary()), bpe.decode(offsets, ids)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
