@@ -495,6 +495,22 @@ def test_weights_follow_the_slope():
     assert likelihood(mixing.newton(w, g, h)) > likelihood(w)
 
 
+def test_weights_are_fitted_on_all_training_texts(spark, monkeypatch):
+    """However many tokens the corpus has, no text is left out of the fit."""
+    import dataclasses
+
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "MOST_SLOTS", mixing.LEAST_SLOTS)  # the same slots for both
+    rng = np.random.default_rng(8)
+    texts = [rng.integers(0, 41, 60).astype(np.uint16) for _ in range(30)]
+    of = np.bincount(np.concatenate(texts), minlength=41)
+    encoded = spark.createDataFrame([(k, len(x), bytearray(x.tobytes())) for k, x in enumerate(texts)], "doc_id long, n_tokens long, symbols binary")
+    few = mixing.Vocabulary(mixing.Names([b"x"], 40), of[:1], of + 0.5, 1800, 41)
+    small, large = (mixing.train(encoded, v).weights for v in (few, dataclasses.replace(few, known=1 << 40)))
+    assert (small == large).all() and (large != np.tile(mixing.START, (mixing.GATES, 1))).any()
+
+
 def test_scores_dont_depend_on_partitions(spark, docs):
     rows = docs.select("doc_id", "text").unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), F.reverse("text").alias("text")))
     got = [{(r["doc_id"], r["n_tokens"], r["text_bytes"]): r for r in mixing.score(rows.repartition(n)).collect()} for n in (1, 8)]

@@ -29,6 +29,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +58,9 @@ START = np.array([0.5, 0.3, 0.2, 0.3, 0.4], np.float32)
 FIRST_BLOCK, LAST_BLOCK = 32, 4096
 #: Bits of a context's hash that pieces of one long text leave out, whatever their own number of decisions.
 PAST_DROPS = 6
-#: The weights of the gates, GATES * INPUTS numbers, are a logistic classifier of bits, fitted on the training texts
-#: of about so many tokens (chosen by a hash of the key; all of them where there are fewer) in so many damped Newton steps.
-FIT_TOKENS, FIT_STEPS = 1 << 22, 1
+#: The weights of the gates, GATES * INPUTS numbers, are a logistic classifier of bits, fitted on all training texts
+#: in so many damped Newton steps.
+FIT_STEPS = 1
 #: Strength of what holds back weights, factors and the map, and the cells of the map.
 RIDGE, RATE, FACTOR_PRIOR, MAP_PRIOR, CELLS = 50.0, 0.4, 1000.0, 10.0, 24
 COUNTS = "word binary, c long"
@@ -81,8 +83,7 @@ class Names(dict):
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, Counter[bytes]]:
         """The words' symbols, and the words behind buckets with their numbers."""
-        get = self.get
-        s = np.array([get(w, -1) for w in words], np.int32)
+        s = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
         at = np.flatnonzero(s < 0)
         behind = [words[k] for k in at.tolist()]
         counts = Counter(behind)
@@ -139,6 +140,11 @@ class Model:
     weights: np.ndarray
     odds: list[np.ndarray] = field(default_factory=list)  # the states' log odds, for scoring
 
+    @cached_property
+    def odds_without(self) -> list[np.ndarray]:
+        """The states' log odds without one count of a bit; flat by state and bit. Made where they are used, once a task."""
+        return [ODDS_WITHOUT.reshape(-1, 2).take(x, axis=0).ravel() for x in self.states]
+
 
 # words and symbols
 
@@ -377,6 +383,12 @@ def _odds_of_states() -> tuple[np.ndarray, np.ndarray]:
 ODDS, ODDS_WITHOUT = _odds_of_states()
 
 
+#: Log odds of decisions that came fewer than OFTEN times, by times * OFTEN + ones; 0 for none.
+OFTEN = 256
+ODDS_OF_TIMES = log_odds(np.maximum(np.arange(OFTEN)[:, None] - np.arange(OFTEN), 0), np.arange(OFTEN)).ravel()
+ODDS_OF_TIMES[:OFTEN] = 0
+
+
 # what a text has shown so far
 
 
@@ -408,33 +420,41 @@ def history(lane: np.ndarray, mark: np.ndarray, bit: np.ndarray, past: Past | No
     m = len(mark)
     low = max(1, (m - 1).bit_length()) + 1
     high = max(0, low - 17)  # 15 bits for the text, 32 less these for the context
-    key = (lane.astype(np.uint64) << np.uint64(32)) | mark
+    key = lane.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= mark
     key >>= np.uint64(high)
     key <<= np.uint64(low)
-    key |= np.arange(0, 2 * m, 2, dtype=np.uint64)
-    key |= bit
+    rest = np.arange(0, 2 * m, 2, dtype=np.uint32)
+    rest |= bit
+    key |= rest
     key.sort()
-    rest = key.astype(np.uint32) & np.uint32((1 << low) - 1)
-    y = (rest & np.uint32(1)).astype(np.int32)
+    rest = key.astype(np.uint32)
+    rest &= np.uint32((1 << low) - 1)
+    y = (rest & np.uint32(1)).view(np.int32)
     key >>= np.uint64(low)
     again = np.empty(m, bool)
     again[0] = False
     np.equal(key[1:], key[:-1], out=again[1:])
-    ones = np.cumsum(y, dtype=np.int32) - y
+    ones = np.cumsum(y, dtype=np.int32)
+    ones -= y
     heads = np.flatnonzero(~again)
     size = np.diff(np.append(heads, m))
-    times = np.arange(m, dtype=np.int32) - np.repeat(heads.astype(np.int32), size)
+    times = np.arange(m, dtype=np.int32)
+    times -= np.repeat(heads.astype(np.int32), size)
     ones -= np.repeat(ones[heads], size)
     if past is not None:
         k, total = key[heads] >> np.uint64(PAST_DROPS - high), np.add.reduceat(y, heads, dtype=np.int64)
         was, was_one = past.before(k)
         times, ones = times + np.repeat(was, size), ones + np.repeat(was_one, size)
-        again = times > 0
         past.add(k, size, total)
-    told = np.flatnonzero(again)
-    odds = np.zeros(m, np.float32)
-    one, n = ones[told], times[told]
-    odds[(rest[told] >> np.uint32(1)).astype(np.intp)] = log_odds(n - one, one)
+    often = np.flatnonzero(times >= OFTEN)
+    found = ODDS_OF_TIMES.take(times * OFTEN + ones, mode="clip")
+    if len(often):
+        found[often] = log_odds(times[often] - ones[often], ones[often])
+    odds = np.empty(m, np.float32)
+    rest >>= np.uint32(1)
+    odds[rest.astype(np.intp)] = found
     return odds
 
 
@@ -464,7 +484,7 @@ def inputs(model: Model, bits: Bits, lane: np.ndarray, again: np.ndarray, past:
     x = np.empty((INPUTS, len(bits.bit)), np.float32)
     for k, slots in enumerate(bits.slots):
         if own:
-            x[k] = ODDS_WITHOUT.take(model.states[k].take(slots).astype(np.int32) * np.int32(2) + bits.bit)
+            x[k] = model.odds_without[k].take(slots * np.int32(2) + bits.bit)
         else:
             x[k] = model.odds[k].take(slots)
     x[:3] *= np.float32(1 / STEPS)
@@ -478,7 +498,7 @@ def inputs(model: Model, bits: Bits, lane: np.ndarray, again: np.ndarray, past:
         x[4, told] = odds
         sure = told[odds != 0]
         gate[sure] = bits.depth[sure] * np.uint8(3) + np.uint8(2)
-    return x, gate.astype(np.intp)
+    return x, gate
 
 
 def block_of(place: np.ndarray) -> np.ndarray:
@@ -522,9 +542,9 @@ def run_mixer(model: Model, bits: Bits, lane: np.ndarray, one: np.ndarray, ends:
     each = np.repeat(lane, bits.size)
     again = recurring(lane, one) if reader.past is None else np.ones(len(lane), bool)
     x, gate = inputs(model, bits, each, again, reader.past, False)
-    weights = np.ascontiguousarray(model.weights.T)
+    weights, at = np.ascontiguousarray(model.weights.T), gate.astype(np.intp)
     for k in range(INPUTS):
-        x[k] *= weights[k].take(gate)
+        x[k] *= weights[k].take(at)
     stops = np.cumsum(bits.size)[ends - 1].tolist()
     unit, half, truth = np.float32(1), np.float32(0.5), bits.bit.astype(np.float32)
     begin = 0
@@ -579,8 +599,8 @@ def slopes(model: Model, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
         bits, lane, one, _ = lay_out(model, part, k, (int(held[0][k - 2]), int(held[0][k - 1])) if k else None)
         again = np.ones(len(lane), bool) if past else recurring(lane, one)
         x, gate = inputs(model, bits, np.repeat(lane, bits.size), again, past, True)
-        order = np.argsort(gate, kind="stable")
-        x, y, sizes = np.ascontiguousarray(x[:, order]), bits.bit[order].astype(np.float32), np.bincount(gate, minlength=GATES)
+        order = np.argsort(gate, kind="stable")  # of 8 bits: a radix sort
+        x, y, sizes = x.take(order, axis=1), bits.bit.take(order).astype(np.float32), np.bincount(gate, minlength=GATES)
         begin = 0
         for j, n in enumerate(sizes.tolist()):
             v, t = x[:, begin : begin + n], y[begin : begin + n]
@@ -607,8 +627,8 @@ def newton(weights: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.round(weights + np.clip(step, -0.6, 0.6), 4).astype(np.float32)
 
 
-def train(encoded: DataFrame, v: Vocabulary, fit_tokens: int = FIT_TOKENS) -> Model:
-    """encoded: doc_id, n_tokens and symbols of the training texts. All of them are counted; see FIT_TOKENS for the weights."""
+def train(encoded: DataFrame, v: Vocabulary) -> Model:
+    """encoded: symbols of the training texts. All of them are counted, and the weights are fitted on all."""
     spark, code = encoded.sparkSession, Code(v.masses)
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, (8 * v.known).bit_length()))
     held = spark.sparkContext.broadcast(code)
@@ -617,11 +637,9 @@ def train(encoded: DataFrame, v: Vocabulary, fit_tokens: int = FIT_TOKENS) -> Mo
     for kind, block, data in tables.toLocalIterator():  # 2 bytes a slot in all
         states[kind][block * BLOCK // 2 : (block + 1) * BLOCK // 2] = np.frombuffer(zstandard.decompress(bytes(data)), np.uint16)
     model = Model(code, slots, states, np.tile(START, (GATES, 1)), [ODDS.take(x) for x in states])
-    part = min(1.0, fit_tokens / max(1, v.known))
-    fitted = encoded.where(F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(1 << 20)) < int(part * (1 << 20))).select("symbols")
     cut = GATES * INPUTS
     for _ in range(FIT_STEPS):
-        sums = fitted.mapInArrow(_slopes(spark.sparkContext.broadcast(model)), SUMS).groupBy("at").agg(F.sum("x").alias("x")).collect()  # GATES * INPUTS * 6 rows
+        sums = encoded.select("symbols").mapInArrow(_slopes(spark.sparkContext.broadcast(model)), SUMS).groupBy("at").agg(F.sum("x").alias("x")).collect()  # GATES * INPUTS * 6 rows
         flat = np.zeros(cut * (1 + INPUTS))
         flat[[r["at"] for r in sums]] = [r["x"] for r in sums]
         model.weights = newton(model.weights, flat[:cut].reshape(GATES, INPUTS), flat[cut:].reshape(GATES, INPUTS, INPUTS))
@@ -665,7 +683,7 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(5)) == 1
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD, fit_tokens: int = FIT_TOKENS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, text_bytes, bits_per_byte: one row per row of docs.
 
     The model learns from the rows whose key's checksum leaves another rest than
@@ -684,7 +702,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head: int =
     counts = stash(rows.where(~F.col("held_out")).select("text").mapInArrow(_count_words, COUNTS).groupBy("word").agg(F.sum("c").alias("c")), "words")
     v = vocabulary(counts, head)
     encoded = stash(rows.mapInArrow(_encode(spark.sparkContext.broadcast(v)), ENCODED).withColumn("row", F.monotonically_increasing_id()), "symbols")
-    model = train(encoded.where(~F.col("held_out")).select("doc_id", "n_tokens", "symbols"), v, fit_tokens)
+    model = train(encoded.where(~F.col("held_out")).select("symbols"), v)
     mixed = encoded.select("row", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(model)), "row long, mixed double")
     rare = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
     rare = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
