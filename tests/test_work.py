@@ -57,6 +57,26 @@ def test_holes_match_a_byte_map(spark, span, monkeypatch):
     assert got == want
 
 
+def test_holes_deal_reads_out_without_joins(spark):
+    """Rows of reads go by file and offset, then by file and span; a join in between would deal them out again."""
+    s = spark.createDataFrame([("a", 150)], "file string, size long")
+    df = spark.createDataFrame([("a", 0, 100, 100)], READS)
+    for out in (planning.gaps(df, s), planning.delivered(df, s)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Window") <= 4
+
+
+@pytest.mark.parametrize("span", [planning.SPAN, 8])
+def test_holes_of_files_unlisted_unnamed_or_of_no_size(spark, span, monkeypatch):
+    monkeypatch.setattr(planning, "SPAN", span)
+    s = spark.createDataFrame([(None, 16), ("none", None), ("cut", None), ("edge", 16), ("idle", 24)], "file string, size long")
+    reads = [(None, 0, 8, 8), (None, 12, 4, 4), ("none", 0, 4, 4), ("cut", 8, 4, 4), ("cut", 12, 4, 0), ("edge", 0, 16, 16), ("edge", 16, 8, 8), ("gone", 0, 4, 4), ("gone", 2, 4, 0)]
+    df = spark.createDataFrame(reads + [("edge", None, 8, 8)], READS)
+    assert {tuple(r) for r in planning.gaps(df, s).collect()} == {(None, 8, 4), ("cut", 0, 8), ("idle", 0, 24)}
+    got = {tuple(r) for r in planning.delivered(df, s).collect()}
+    assert got == {(None, 16, 8, 4, False), ("none", None, 0, 0, True), ("cut", 12, 0, 4, False), ("edge", 16, 16, 0, True), ("idle", 24, 0, 0, False)}
+
+
 def test_repeats_short_reads_and_ends(spark):
     s = spark.createDataFrame([("a", 150), ("b", 100), ("c", 0)], "file string, size long")
     df = spark.createDataFrame([("a", 0, 100, 100), ("a", 0, 100, 100), ("a", 100, 50, 50), ("b", 0, 50, 30), ("b", 50, 50, 0)], READS)

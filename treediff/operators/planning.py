@@ -282,11 +282,36 @@ def _intervals(reads: DataFrame, file: str) -> DataFrame:
     return one.join(spans, on).select(file, "offset", "length", before.alias("before"))
 
 
-def file_ends(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
-    """(file, end): the size, or where a read found the file's end before it (length 0)."""
-    short = reads.where("length = 0").groupBy(F.col(file).alias("e_file")).agg(F.min("offset").alias("short"))
-    both = sizes.join(short, F.col(file).eqNullSafe(F.col("e_file")), "left")
-    return both.select(F.col(file).alias("e_file"), F.least("size", F.coalesce("short", "size")).alias("end"))
+def _span(offset: str) -> Column:
+    return F.floor(F.col(offset) / SPAN).cast("long")
+
+
+def _held(reads: DataFrame, sizes: DataFrame, file: str) -> DataFrame:
+    """(file, offset, top, before, end, is_end): reads with bytes that begin before their file's end, each offset once, and for each file one row at its end.
+
+    top: where a read ends; before: how far the file's reads before the row reach,
+    which at the end's row is how far all reach; end: the size, or where a read
+    found the file's end before it (length 0). No joins: the spans' ends and
+    what lies before them are put first among the span's reads, so rows are
+    dealt out by file and span alone, and a file of any number of reads is no
+    single task's. sizes has one row for each file.
+    """
+    none = F.lit(None).cast("long")
+    seen = reads.select(file, _span("offset").alias("span"), F.when(F.col("length") > 0, F.col("offset") + F.col("length")).alias("top"), F.when(F.col("length") == 0, F.col("offset")).alias("end"), F.lit(False).alias("listed"))
+    listed = sizes.select(file, none.alias("span"), none.alias("top"), F.col("size").alias("end"), F.lit(True).alias("listed"))
+    spans = seen.unionByName(listed).groupBy(file, "span").agg(F.max("top").alias("top"), F.min("end").alias("end"), F.max("listed").alias("listed"))
+    of_file = Window.partitionBy(file)
+    spans = spans.withColumn("end", F.min("end").over(of_file)).withColumn("known", F.max("listed").over(of_file)).where("known")
+    spans = spans.withColumn("span", F.when(F.col("listed"), _span("end")).otherwise(F.col("span")))
+    spans = spans.withColumn("earlier", F.max("top").over(of_file.orderBy("span").rangeBetween(Window.unboundedPreceding, -1)))
+    firsts = spans.select(file, "span", F.when(F.col("listed"), F.col("end")).alias("offset"), none.alias("top"), "earlier", "end", F.when(F.col("listed"), 1).otherwise(0).alias("part"))
+    longest = reads.where("length > 0").groupBy(file, "offset").agg(F.max("length").alias("length"))
+    rows = longest.select(file, _span("offset").alias("span"), "offset", (F.col("offset") + F.col("length")).alias("top"), none.alias("earlier"), none.alias("end"), F.lit(2).alias("part"))
+    order = Window.partitionBy(file, "span").orderBy("offset", "part")  # a span's first row has no offset
+    reach = F.max(F.greatest("top", "earlier")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = firsts.unionByName(rows).withColumn("before", F.greatest(reach, "earlier", F.lit(0).cast("long"))).withColumn("end", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    is_end = F.col("part") == 1
+    return rows.where(is_end | ((F.col("part") == 2) & (F.col("offset") < F.col("end")))).select(file, "offset", "top", "before", "end", is_end.alias("is_end"))
 
 
 def gaps(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
@@ -298,13 +323,8 @@ def gaps(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
     never asked for is a hole as well; nothing at or beyond the file's end is
     asked for again. Files without reads are whole holes, empty ones none.
     """
-    ends = file_ends(reads, sizes, file)
-    held = _intervals(reads, file).join(ends, F.col(file).eqNullSafe(F.col("e_file"))).where(F.col("offset") < F.col("end"))
-    inner = held.where(F.col("offset") > F.col("before")).select(file, F.col("before").alias("offset"), (F.col("offset") - F.col("before")).alias("length"))
-    reach = held.groupBy(F.col(file).alias("r_file")).agg(F.max(F.col("offset") + F.col("length")).alias("reach"))
-    last = ends.join(reach, F.col("e_file").eqNullSafe(F.col("r_file")), "left").withColumn("reach", F.coalesce("reach", F.lit(0)))
-    last = last.where(F.col("reach") < F.col("end")).select(F.col("e_file").alias(file), F.col("reach").alias("offset"), (F.col("end") - F.col("reach")).alias("length"))
-    return inner.unionByName(last)
+    missing = _held(reads, sizes, file).where(F.col("offset") > F.col("before"))
+    return missing.select(file, F.col("before").alias("offset"), (F.col("offset") - F.col("before")).alias("length"))
 
 
 def delivered(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFrame:
@@ -313,14 +333,12 @@ def delivered(reads: DataFrame, sizes: DataFrame, file: str = "file") -> DataFra
     A read that begins before the file's end and crosses it counts whole, as its
     bytes were there when they were read.
     """
-    first = gaps(reads, sizes, file).groupBy(F.col(file).alias("g_file")).agg(F.min("offset").alias("hole"))
-    ends = file_ends(reads, sizes, file).join(first, F.col("e_file").eqNullSafe(F.col("g_file")), "left")
-    held = _intervals(reads, file).join(ends, F.col(file).eqNullSafe(F.col("e_file"))).where(F.col("offset") < F.col("end"))
-    top, fresh = F.col("offset") + F.col("length"), F.greatest(F.lit(0), F.col("offset") + F.col("length") - F.greatest("offset", "before"))
-    waits = F.col("hole").isNotNull() & (F.col("offset") >= F.col("hole"))
-    sums = held.groupBy(F.col(file).alias("h_file")).agg(F.max(F.when(~waits, top)).alias("delivered"), F.sum(F.when(waits, fresh)).alias("buffered"))
-    out = ends.join(sums, F.col("e_file").eqNullSafe(F.col("h_file")), "left")
-    return out.select(F.col("e_file").alias(file), "end", F.coalesce("delivered", F.lit(0)).alias("delivered"), F.coalesce("buffered", F.lit(0)).alias("buffered"), F.col("hole").isNull().alias("drained"))
+    fresh = F.greatest(F.lit(0), F.col("top") - F.greatest("offset", "before"))
+    hole, reach = F.min(F.when(F.col("offset") > F.col("before"), F.col("before"))), F.max(F.when(F.col("is_end"), F.col("before")))
+    sums = _held(reads, sizes, file).groupBy(file).agg(F.max("end").alias("end"), hole.alias("hole"), reach.alias("reach"), F.coalesce(F.sum(F.when(~F.col("is_end"), fresh)), F.lit(0)).alias("held"))
+    sums = sums.withColumn("delivered", F.coalesce("hole", "reach"))
+    # up to the first hole, or to the last read's end, every byte is held once
+    return sums.select(file, "end", "delivered", (F.col("held") - F.col("delivered")).alias("buffered"), F.col("hole").isNull().alias("drained"))
 
 
 def contiguous_prefix(chunks: DataFrame, file: str = "file") -> DataFrame:
