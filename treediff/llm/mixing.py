@@ -45,8 +45,9 @@ from treediff.llm.simhash import LOWER
 HEAD, LEAST_BUCKETS, MOST_BUCKETS, BUCKET_WORDS = 49_151, 256, 16_384, 32
 #: Slots of contexts 1 and 2 as powers of two: eight for each training token, within these bounds.
 LEAST_SLOTS, MOST_SLOTS = 16, 22
-#: Tokens of whole texts that are taken at once; longer texts than the second go in pieces of that size.
-GROUP, PIECE = 32_768, 16_384
+#: Tokens of whole texts that are taken at once (their arrays of decisions stay in memory that the process has already);
+#: longer texts than the second go in pieces of that size.
+GROUP, PIECE = 8192, 16_384
 INPUTS, DEPTHS, BLOCK = 5, 12, 1 << 15
 #: Parts of a unit in which the log odds of the corpus's contexts are held, in 8 bits.
 STEPS = 18
