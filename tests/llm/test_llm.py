@@ -471,6 +471,47 @@ def test_history_counts_what_came_before():
     assert np.allclose(np.concatenate(again), whole, atol=1e-5)
 
 
+def test_texts_own_contexts_are_counted_exactly():
+    """Of long texts side by side too: no two contexts of a text share counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    model = small_model(40_000, slots=16)
+    texts = [np.append(rng.integers(0, 40_001, n), rng.integers(0, 9, n // 20)).astype(np.uint16) for n in (15_000, 12_000, 3, 1)]
+    bits, lane, one, _ = mixing.lay_out(model, texts)
+    each = np.repeat(lane, bits.size)
+    x, _ = mixing.inputs(model, bits, each, mixing.recurring(lane, one), None, False)
+    before, seen3, seen4 = np.repeat(one, bits.size), {}, {}
+    want = np.empty((2, len(each)))
+    for i, (t, node, w, y) in enumerate(zip(each.tolist(), bits.slots[0].tolist(), before.tolist(), bits.bit.tolist())):
+        for k, c in enumerate((seen3.setdefault((t, node), [0, 0]), seen4.setdefault((t, node, w), [0, 0]))):
+            want[k, i] = (c[1] + 0.4) / (c[0] + 0.4)
+            c[y] += 1
+    assert np.abs(x[3:] - np.log(want)).max() < 1e-4
+
+
+def test_words_told_apart_in_slices_are_those_of_split(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    texts = ["A\x0bB\tb  a\r\n", None, "", " \n ", "é x\x1cy Ä \u2003", "a b\x00 A", "word " * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    got = []
+    for begin, part in mixing.slices(batch, 0):
+        assert begin == len(got)
+        w = mixing.Words.of(part)
+        kinds, at = w.kinds.to_pylist(), 0
+        for end in w.ends.tolist():
+            got.append([kinds[c] for c in w.codes[at:end].tolist()])
+            at = end
+    assert got == [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    found = Counter()
+    for b in mixing._count_words(iter([batch])):
+        for r in b.to_pylist():
+            found[r["word"]] += r["c"]
+    assert found == Counter(w for t in got for w in t)
+
+
 def test_weights_follow_the_slope():
     """The gradient over the weights is that of the log likelihood, by differences."""
     import numpy as np

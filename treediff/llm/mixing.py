@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -34,11 +33,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treediff.llm.common import partitions, read, stash
+from treediff.llm.common import SPACES, partitions, read, stash
 from treediff.llm.simhash import LOWER
 
 #: Words with a symbol of their own; buckets of all others (at least, at most, words in each where neither binds).
@@ -53,6 +53,8 @@ STEPS = 18
 GATES = 3 * DEPTHS
 #: No word contains white space, so the end's name is none.
 END = b"\n"
+#: What makes lower case of A-Z and one kind of white space of all; bytes of texts whose words are told apart at once.
+TO_WORDS, SLICE = LOWER.translate(bytes.maketrans(SPACES.encode(), b" " * len(SPACES))), 1 << 22
 START = np.array([0.5, 0.3, 0.2, 0.3, 0.4], np.float32)
 #: Tokens of the first block, and of those from the last doubling on.
 FIRST_BLOCK, LAST_BLOCK = 32, 4096
@@ -68,10 +70,22 @@ TABLES = "kind int, block int, data binary"
 SUMS = "at int, x double"
 
 
+def keep_memory() -> None:
+    """From now on glibc's malloc keeps freed arrays of up to this size (at most twice as much in all) for the next ones.
+
+    By default it gives them back to the system, and each group of texts pays for page faults again.
+    """
+    np.empty(31 << 20, np.uint8)
+
+
 def scatter(x: np.ndarray) -> np.ndarray:
     """Hashes of 32 bits."""
-    x = (x.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-    return (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    x = x.astype(np.uint32)
+    x += np.uint32(1)
+    x *= np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    return x
 
 
 class Names(dict):
@@ -81,15 +95,11 @@ class Names(dict):
         super().__init__((w, k) for k, w in enumerate(words))
         self.first, self.mask = len(words), buckets - 1
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, Counter[bytes]]:
-        """The words' symbols, and the words behind buckets with their numbers."""
+    def symbols(self, words: list[bytes]) -> np.ndarray:
         s = np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
-        at = np.flatnonzero(s < 0)
-        behind = [words[k] for k in at.tolist()]
-        counts = Counter(behind)
-        bucket = {w: self.first + (zlib.crc32(w) & self.mask) for w in counts}
-        s[at] = [bucket[w] for w in behind]
-        return s.astype(np.uint16), counts
+        for k in np.flatnonzero(s < 0).tolist():
+            s[k] = self.first + (zlib.crc32(words[k]) & self.mask)
+        return s.astype(np.uint16)
 
 
 @dataclass
@@ -99,7 +109,7 @@ class Code:
     masses: np.ndarray
     start: np.ndarray = field(init=False)
     length: np.ndarray = field(init=False)
-    ways: np.ndarray = field(init=False)  # of all symbols in turn: node, depth (4 bits) and bit in one number
+    ways: np.ndarray = field(init=False)  # of all symbols in turn: node, whether its 1 and its 0 end a way, depth (4 bits) and bit in one number
 
     def __post_init__(self) -> None:
         n = len(self.masses)
@@ -124,11 +134,15 @@ class Code:
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
         flat = [x for w in ways for x in w]
         deep = np.minimum(np.arange(len(flat)) - np.repeat(self.start, self.length), DEPTHS - 1)
-        self.ways = (np.array([x for x, _ in flat], np.uint32) << np.uint32(5)) | (deep << 1).astype(np.uint32) | np.array([x for _, x in flat], np.uint32)
+        node, bit = np.array([x for x, _ in flat], np.uint32), np.array([x for _, x in flat], np.uint32)
+        ends = np.zeros(n, np.uint32)  # by node
+        last = (self.start + self.length)[self.length > 0] - 1
+        np.bitwise_or.at(ends, node[last], np.uint32(1) << bit[last])
+        self.ways = node << np.uint32(7) | ends[node] << np.uint32(5) | (deep << 1).astype(np.uint32) | bit
 
     def node_counts(self, symbols: np.ndarray) -> np.ndarray:
         """How often each node's bit was 0 and 1, of how often each symbol came; flat."""
-        node, bit = self.ways >> np.uint32(5), self.ways & np.uint32(1)
+        node, bit = self.ways >> np.uint32(7), self.ways & np.uint32(1)
         return np.bincount(2 * node.astype(np.int64) + bit, weights=np.repeat(symbols, self.length), minlength=2 * len(self.masses)).astype(np.int64)
 
 
@@ -149,25 +163,46 @@ class Model:
 # words and symbols
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+@dataclass
+class Words:
+    """Tokens of whole texts: the number of each among the distinct ones, and where each text's tokens end."""
 
+    codes: np.ndarray
+    ends: np.ndarray
+    kinds: pa.BinaryArray
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        buf = b" \n ".join([x.translate(TO_WORDS) for x in texts] + [b""])  # the end is a word of its own
+        b = np.frombuffer(buf, np.uint8)
+        at = np.concatenate([[0], np.flatnonzero(b == 32) + 1]).astype(np.int32)  # words with the space after them
+        found = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(buf)]).dictionary_encode()
+        full = np.flatnonzero(np.diff(at) > 1)
+        codes = found.indices.to_numpy().take(full)
+        return cls(codes, np.flatnonzero(b.take(at.take(full)) == END[0]) + 1, pc.binary_slice(found.dictionary, 0, -1))
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of about SLICE bytes in all, and the number of the first."""
+    held, size = [], 0
+    for k, x in enumerate(batch.column(column).cast(pa.binary())):
+        held.append(x.as_py() or b"")
+        size += len(held[-1])
+        if size >= SLICE:
+            yield k + 1 - len(held), held
+            held, size = [], 0
+    if held:
+        yield batch.num_rows - len(held), held
 
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["word", "c"])
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_memory()
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            found.update(tokens(text.as_py()))
-            found[END] += 1
-            if len(found) > 400_000:
-                yield flush()
-                found.clear()
-    if found:
-        yield flush()
+        for _, texts in slices(batch, 0):
+            w = Words.of(texts)
+            n = np.bincount(w.codes, minlength=len(w.kinds))
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([w.kinds.take(pa.array(some)), pa.array(n.take(some))], ["word", "c"])
 
 
 @dataclass
@@ -217,23 +252,25 @@ def _encode(words_of):
         base = np.concatenate([np.log10((v.counts + 0.5) / v.unit), np.zeros(len(v.masses) - first)])
         share = np.concatenate([np.zeros(first), -np.log10(v.masses[first:])])
         seen = np.concatenate([v.counts > 0, np.zeros(len(v.masses) - first, bool)])
+        keep_memory()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
-                out, kinds, times, size = [], [], [], []
-                for text in batch.column(2).cast(pa.binary()):
-                    raw = text.as_py() or b""
-                    words = tokens(raw)
-                    words.append(END)
-                    s, behind = v.names.encode(words)
-                    out.append((len(raw), len(s), int(seen[s].sum()), float(base[s].sum()), float(share[s].sum()), s.tobytes()))
-                    kinds += behind
-                    times += behind.values()
-                    size.append(len(behind))
-                pairs = pa.StructArray.from_arrays([pa.array(kinds, pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
-                at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-                columns = [pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(at, pairs)], [x.split()[0] for x in ENCODED.split(", ")])
+            for begin, texts in slices(whole, 2):
+                batch, w = whole.slice(begin, len(texts)), Words.of(texts)
+                s = v.names.symbols(w.kinds.to_numpy(zero_copy_only=False).tolist()).take(w.codes)
+                starts = np.concatenate([[0], w.ends[:-1]])
+                behind = np.flatnonzero(s >= first)
+                text = np.searchsorted(w.ends, behind, "right")
+                pair, times = np.unique(text * len(w.kinds) + w.codes.take(behind), return_counts=True)
+                text, kind = np.divmod(pair, len(w.kinds))
+                rare = pa.StructArray.from_arrays([w.kinds.take(pa.array(kind)), pa.array(times, pa.int64())], ["word", "n"])
+                at = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
+                raw = s.tobytes()
+                columns = [
+                    pa.array([len(x) for x in texts], pa.int64()), pa.array(w.ends - starts, pa.int64()),
+                    *(pa.array(np.add.reduceat(x.take(s), starts, dtype=kind), kind.__name__) for x, kind in ((seen, np.int64), (base, np.float64), (share, np.float64))),
+                    pa.array([raw[2 * a : 2 * b] for a, b in zip(starts.tolist(), w.ends.tolist())], pa.binary()), pa.ListArray.from_arrays(at, rare),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
@@ -246,7 +283,9 @@ class Bits:
     """Decisions, token by token."""
 
     size: np.ndarray  # of each token
+    one: np.ndarray  # symbol before each token
     bit: np.ndarray
+    ends: np.ndarray  # whether a bit of 0 (1) and of 1 (2) at this node is a token's last one
     depth: np.ndarray
     mark: np.ndarray  # hash of the node
     after: np.ndarray  # hash of node and symbol before
@@ -257,14 +296,22 @@ def decide(code: Code, slots: int, symbols: np.ndarray, one: np.ndarray, two: np
     """The decisions of symbols, each after two others (the number of symbols stands for none)."""
     size = code.length.take(symbols)
     begins = np.cumsum(size) - size
-    way = code.ways.take(np.arange(int(size.sum())) + np.repeat(code.start.take(symbols) - begins, size))
-    node, last = way >> np.uint32(5), scatter(one) * np.uint32(0x165667B1)
-    mark = scatter(node)
-    after = (np.repeat(last, size) ^ mark) * np.uint32(0xC2B2AE3D)
+    way = np.repeat(code.start.take(symbols) - begins, size)
+    way += np.arange(len(way))
+    way = code.ways.take(way)
+    low = way.astype(np.uint8)
+    node, bit, depth, ends = way >> np.uint32(7), low & np.uint8(1), (low >> np.uint8(1)) & np.uint8(15), (low >> np.uint8(5)) & np.uint8(3)
+    mark, last = scatter(node), scatter(one) * np.uint32(0x165667B1)
+    after = np.repeat(last, size)
+    after ^= mark
+    after *= np.uint32(0xC2B2AE3D)
     after ^= after >> np.uint32(15)
-    pair = (np.repeat(scatter(two) * np.uint32(3) ^ last, size) ^ mark) * np.uint32(0x27D4EB2F)
+    pair = np.repeat(scatter(two) * np.uint32(3) ^ last, size)
+    pair ^= mark
+    pair *= np.uint32(0x27D4EB2F)
     down = np.uint32(32 - slots)
-    return Bits(size, (way & np.uint32(1)).astype(np.uint8), ((way >> np.uint32(1)) & np.uint32(15)).astype(np.uint8), mark, after, [node.astype(np.int32), (after >> down).astype(np.int32), (pair >> down).astype(np.int32)])
+    pair >>= down
+    return Bits(size, one, bit, ends, depth, mark, after, [node.view(np.int32), (after >> down).view(np.int32), pair.view(np.int32)])
 
 
 def preceding(symbols: np.ndarray, place: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
@@ -308,6 +355,7 @@ def _count_bits(code_of, slots: int):
     """A task's counts of all decisions by context, as blocks of tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         code: Code = code_of.value
         tables = [np.zeros(len(code.masses), np.int64), *(np.zeros(2 << slots, np.int32) for _ in range(2))]
         some = False
@@ -387,6 +435,8 @@ ODDS, ODDS_WITHOUT = _odds_of_states()
 OFTEN = 256
 ODDS_OF_TIMES = log_odds(np.maximum(np.arange(OFTEN)[:, None] - np.arange(OFTEN), 0), np.arange(OFTEN)).ravel()
 ODDS_OF_TIMES[:OFTEN] = 0
+#: Logarithms that log odds are the difference of, for all that a text of one piece can count.
+LOGS = np.log(np.arange(GROUP, dtype=np.float32) + np.float32(0.4))
 
 
 # what a text has shown so far
@@ -458,12 +508,57 @@ def history(lane: np.ndarray, mark: np.ndarray, bit: np.ndarray, past: Past | No
     return odds
 
 
+def within(group: np.ndarray, at: np.ndarray, bits: Bits, odds: np.ndarray) -> None:
+    """Put in odds what history finds for tokens' decisions, told from the earlier ones of their groups. at: the tokens' first decisions.
+
+    Decision by decision, the tokens of a group that came to the same node stand
+    together in the text's order; then those of either bit go on to the next one.
+    A token that is alone at a node has nothing before it there or further down.
+    """
+    low = np.uint64(max(1, len(at).bit_length()))
+    key = group.astype(np.uint64)
+    key <<= low
+    key |= np.arange(len(at), dtype=np.uint64)
+    key.sort()
+    at = at.take((key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.intp))
+    key >>= low
+    size = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))) if len(key) else np.empty(0, np.intp)
+    at, size = at.take(np.flatnonzero(np.repeat(size > 1, size))), size[size > 1]
+    steps = np.arange(0, OFTEN * len(at), OFTEN, dtype=np.int32)
+    while len(at):
+        heads, bit = np.cumsum(size) - size, bits.bit.take(at)
+        both = np.cumsum(bit, dtype=np.int32)
+        both -= bit
+        first = both.take(heads)
+        both += steps[: len(at)]
+        both -= np.repeat(first + steps.take(heads), size)  # times and ones before in one number
+        found = ODDS_OF_TIMES.take(both, mode="clip")
+        often = np.flatnonzero(both >= OFTEN * OFTEN)
+        if len(often):
+            times = often - np.repeat(heads, size).take(often)
+            ones = both.take(often) - times * OFTEN
+            found[often] = LOGS.take(ones, mode="clip") - LOGS.take(times - ones, mode="clip")
+        odds[at] = found
+        ones = np.add.reduceat(bit, heads, dtype=np.intp)
+        zeros, ends = size - ones, bits.ends.take(at.take(heads))
+        on = (zeros > 1) & (ends & np.uint8(1) == 0), (ones > 1) & (ends < 2)
+        go = np.repeat(on[0].view(np.uint8) | on[1].view(np.uint8) << np.uint8(1), size)
+        go >>= bit
+        go &= np.uint8(1)
+        go ^= np.uint8(1)
+        go <<= np.uint8(1)
+        go |= bit  # 0 and 1 for those who go on, more for the others
+        size = np.concatenate([zeros[on[0]], ones[on[1]]])
+        at = at.take(np.argsort(go, kind="stable")[: size.sum()])  # of 8 bits: a radix sort, without branches
+        at += 1
+
+
 class Reader:
     """What texts that run side by side have learned: factors of the inputs and a map of predictions to outcomes."""
 
     def __init__(self, lanes: int) -> None:
-        self.factor = np.ones((INPUTS, lanes), np.float32)
-        self.weight = np.zeros((INPUTS, lanes))
+        self.factor = np.ones((lanes, INPUTS), np.float32)
+        self.weight = np.zeros((lanes, INPUTS))
         self.times, self.ones = np.zeros(lanes * CELLS, np.float32), np.zeros(lanes * CELLS, np.float32)
         self.past = None
 
@@ -484,20 +579,24 @@ def inputs(model: Model, bits: Bits, lane: np.ndarray, again: np.ndarray, past:
     x = np.empty((INPUTS, len(bits.bit)), np.float32)
     for k, slots in enumerate(bits.slots):
         if own:
-            x[k] = model.odds_without[k].take(slots * np.int32(2) + bits.bit)
+            x[k] = model.odds_without[k].take(slots << np.int32(1) | bits.bit)
         else:
             x[k] = model.odds[k].take(slots)
     x[:3] *= np.float32(1 / STEPS)
-    evidence = x[2] != 0
-    x[3] = history(lane, bits.mark, bits.bit, past and past[0])
     x[4] = 0
-    gate = bits.depth * np.uint8(3) + evidence
-    told = np.flatnonzero(np.repeat(again, bits.size))
-    if len(told):
-        odds = history(lane[told], bits.after[told], bits.bit[told], past and past[1])
-        x[4, told] = odds
-        sure = told[odds != 0]
-        gate[sure] = bits.depth[sure] * np.uint8(3) + np.uint8(2)
+    gate = bits.depth * np.uint8(3)
+    if past is None:
+        x[3] = 0
+        some = np.flatnonzero(bits.size)
+        first = (np.cumsum(bits.size) - bits.size)[some]
+        text, told = lane.take(first).astype(np.int64), again[some]
+        within(text, first, bits, x[3])
+        within(text[told] << 32 | bits.one[some[told]], first[told], bits, x[4])
+    else:
+        x[3] = history(lane, bits.mark, bits.bit, past[0])
+        told = np.flatnonzero(np.repeat(again, bits.size))
+        x[4, told] = history(lane[told], bits.after[told], bits.bit[told], past[1])
+    gate += np.maximum(x[2] != 0, (x[4] != 0).view(np.uint8) << np.uint8(1))
     return x, gate
 
 
@@ -542,35 +641,48 @@ def run_mixer(model: Model, bits: Bits, lane: np.ndarray, one: np.ndarray, ends:
     each = np.repeat(lane, bits.size)
     again = recurring(lane, one) if reader.past is None else np.ones(len(lane), bool)
     x, gate = inputs(model, bits, each, again, reader.past, False)
-    weights, at = np.ascontiguousarray(model.weights.T), gate.astype(np.intp)
+    weights, at = np.ascontiguousarray(model.weights.T, np.float32), gate.astype(np.intp)
     for k in range(INPUTS):
-        x[k] *= weights[k].take(at)
+        x[k] *= weights[k].take(at, mode="clip")
     stops = np.cumsum(bits.size)[ends - 1].tolist()
-    unit, half, truth = np.float32(1), np.float32(0.5), bits.bit.astype(np.float32)
+    unit, half, zero = np.float32(1), np.float32(0.5), bits.bit ^ np.uint8(1)
     begin = 0
     for stop in stops:
         here, of = slice(begin, stop), each[begin:stop]
         heads = np.flatnonzero(np.diff(of, prepend=-1))
-        lanes, v, y = of[heads], x[:, here], truth[here]
-        size = np.diff(np.append(heads, len(of)))
-        dot = np.zeros(len(of), np.float32)
-        for k in range(INPUTS):
-            dot += np.repeat(reader.factor[k, lanes], size) * v[k]
+        lanes, v = of[heads], x[:, here]
+        spans = [slice(*p) for p in zip(heads.tolist(), [*heads[1:].tolist(), len(of)])]
+        factor, dot, slope = reader.factor[lanes], np.empty(len(of), np.float32), np.empty((len(lanes), INPUTS), np.float32)
+        for f, span in zip(factor, spans):
+            np.matmul(f, v[:, span], out=dot[span])
         np.clip(dot, -11, 11, out=dot)
-        q = unit / (unit + np.exp(-dot))
-        cell = of * np.int32(CELLS) + np.clip(dot * np.float32(2) + np.float32(CELLS // 2), 0, CELLS - 1).astype(np.int32)
+        q = np.exp(-dot)
+        q += unit
+        np.divide(unit, q, out=q)
+        dot *= np.float32(2)
+        dot += np.float32(CELLS // 2)
+        np.clip(dot, 0, CELLS - 1, out=dot)
+        cell = dot.astype(np.intp)
+        cell += of * np.int32(CELLS)
         hold = half / (reader.times + MAP_PRIOR)
-        p = (reader.ones * hold).astype(np.float32).take(cell) + q * (MAP_PRIOR * hold + 0.5).astype(np.float32).take(cell)
-        score[lanes] += np.add.reduceat(np.log(np.abs(p - (unit - y))), heads, dtype=np.float64)
-        both = np.bincount(cell * np.int32(2) + bits.bit[here], minlength=2 * len(reader.times)).reshape(-1, 2)
+        p = (MAP_PRIOR * hold + 0.5).astype(np.float32).take(cell, mode="clip")
+        p *= q
+        p += (reader.ones * hold).astype(np.float32).take(cell, mode="clip")
+        p -= zero[here]
+        np.abs(p, out=p)
+        np.log(p, out=p)
+        score[lanes] += np.add.reduceat(p, heads, dtype=np.float64)
+        cell *= 2
+        cell += bits.bit[here]
+        both = np.bincount(cell, minlength=2 * len(reader.times)).reshape(-1, 2)
         reader.times += both.sum(axis=1)
         reader.ones += both[:, 1]
-        error = y - q
-        for k in range(INPUTS):
-            slope = np.add.reduceat(v[k] * error, heads, dtype=np.float64)
-            reader.weight[k, lanes] += slope * slope
-            reader.factor[k, lanes] += (RATE * slope / np.sqrt(reader.weight[k, lanes] + FACTOR_PRIOR)).astype(np.float32)
-        np.clip(reader.factor, 0, 3, out=reader.factor)
+        error = np.subtract(bits.bit[here], q, out=q)
+        for s, span in zip(slope, spans):
+            np.matmul(v[:, span], error[span], out=s)
+        weight = reader.weight[lanes] + slope.astype(np.float64) ** 2
+        reader.weight[lanes] = weight
+        reader.factor[lanes] = np.clip(factor + RATE * slope / np.sqrt(weight + FACTOR_PRIOR), 0, 3)
         begin = stop
 
 
@@ -613,6 +725,7 @@ def slopes(model: Model, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray
 
 def _slopes(model_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         total = np.zeros(GATES * INPUTS * (1 + INPUTS))
         for _, held, _ in pieces(_symbols(batches)):
             total += np.concatenate([x.ravel() for x in slopes(model_of.value, held)])
@@ -654,6 +767,7 @@ def _score(model_of):
     """Rows and their symbols (the last column) to rows and the logarithm of the symbols' probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         rows: list[list] = []
 
         def each() -> Iterator[tuple[int, np.ndarray]]:
