@@ -644,12 +644,14 @@ def run_mixer(model: Model, bits: Bits, lane: np.ndarray, one: np.ndarray, ends:
     weights, at = np.ascontiguousarray(model.weights.T, np.float32), gate.astype(np.intp)
     for k in range(INPUTS):
         x[k] *= weights[k].take(at, mode="clip")
-    stops = np.cumsum(bits.size)[ends - 1].tolist()
+    fresh = np.flatnonzero(np.diff(lane, prepend=-1))  # tokens that are their texts' first of a block
+    fresh = np.union1d(fresh, np.append(0, ends[:-1]))
+    stops, starts = np.cumsum(bits.size)[ends - 1].tolist(), (np.cumsum(bits.size) - bits.size)[fresh]
+    parts = np.searchsorted(fresh, ends).tolist()
     unit, half, zero = np.float32(1), np.float32(0.5), bits.bit ^ np.uint8(1)
-    begin = 0
-    for stop in stops:
-        here, of = slice(begin, stop), each[begin:stop]
-        heads = np.flatnonzero(np.diff(of, prepend=-1))
+    begin = part = 0
+    for stop, to in zip(stops, parts):
+        here, of, heads = slice(begin, stop), each[begin:stop], starts[part:to] - begin
         lanes, v = of[heads], x[:, here]
         spans = [slice(*p) for p in zip(heads.tolist(), [*heads[1:].tolist(), len(of)])]
         factor, dot, slope = reader.factor[lanes], np.empty(len(of), np.float32), np.empty((len(lanes), INPUTS), np.float32)
@@ -683,7 +685,7 @@ def run_mixer(model: Model, bits: Bits, lane: np.ndarray, one: np.ndarray, ends:
         weight = reader.weight[lanes] + slope.astype(np.float64) ** 2
         reader.weight[lanes] = weight
         reader.factor[lanes] = np.clip(factor + RATE * slope / np.sqrt(weight + FACTOR_PRIOR), 0, 3)
-        begin = stop
+        begin, part = stop, to
 
 
 def score_texts(model: Model, held: list[np.ndarray]) -> np.ndarray:
